@@ -172,3 +172,72 @@ def with_base(select_sql: str, extra_ctes: str = "") -> str:
     if extra_ctes.strip():
         ctes += ",\n" + extra_ctes.strip()
     return f"WITH {ctes}\n{select_sql}"
+
+
+def _occ(col: str, pattern: str) -> str:
+    return f"len(regexp_extract_all(coalesce({col}, ''), {_lit(pattern)}, 0))"
+
+
+_NEST = _list(P.NEST_KINDS)
+_COG = _list(P.COG_NEST_KINDS)
+_LOOP = _list(P.LOOP_KINDS)
+
+METRIC_CTES = f"""
+sdepth AS (
+  SELECT s.file_id, s.ln,
+    (SELECT count(*) FROM blocks b WHERE b.file_id = s.file_id AND b.kind IN {_NEST} AND b.ln < s.ln AND b.ln_end >= s.ln AND b.indent < s.indent) AS d_all,
+    (SELECT count(*) FROM blocks b WHERE b.file_id = s.file_id AND b.kind IN {_COG} AND b.ln < s.ln AND b.ln_end >= s.ln AND b.indent < s.indent) AS d_cog,
+    (SELECT count(*) FROM blocks b WHERE b.file_id = s.file_id AND b.kind IN {_LOOP} AND b.ln < s.ln AND b.ln_end >= s.ln AND b.indent < s.indent) AS d_loop
+  FROM stmts s
+),
+fst AS (
+  SELECT s.*, f.ln_start AS fn_ln, f.qualified_name,
+         d.d_all - h.d_all AS nest, d.d_cog - h.d_cog AS nest_cog, d.d_loop - h.d_loop > 0 AS in_loop
+  FROM stmts s
+  JOIN functions f ON f.file_id = s.file_id AND s.ln > f.ln_start AND s.ln <= f.ln_end AND s.indent > f.indent
+  JOIN sdepth d ON d.file_id = s.file_id AND d.ln = s.ln
+  JOIN sdepth h ON h.file_id = s.file_id AND h.ln = f.ln_start
+),
+fper AS (
+  SELECT file_id, fn_ln, ln, kind,
+    CASE WHEN kind <> 'docstring' THEN {_occ('bare', P.DECISION_WORDS)} ELSE 0 END
+      + CASE WHEN kind = 'else' AND prev_sibling_kind IN ('for', 'while', 'except') THEN 1 ELSE 0 END AS dec,
+    CASE WHEN kind IN ('if', 'elif', 'for', 'while', 'try') THEN 1 + nest_cog ELSE 0 END
+      + CASE WHEN kind = 'except' THEN 1 ELSE 0 END
+      + CASE WHEN kind <> 'docstring' THEN {_occ('bare', P.COMPREHENSION)} ELSE 0 END * (1 + nest_cog)
+      + CASE WHEN kind = 'expr' THEN {_occ('bare', P.BOOL_WORDS)} ELSE 0 END AS cog,
+    (CASE WHEN kind IN ('if', 'elif', 'for', 'while', 'try', 'with') THEN 1 ELSE 0 END) AS node,
+    (CASE WHEN kind <> 'docstring' AND {_occ('bare', P.COMPREHENSION)} + {_occ('bare', P.LAMBDA)} > 0 THEN 1 ELSE 0 END) AS comp,
+    nest
+  FROM fst
+),
+fper2 AS (
+  SELECT *, CASE WHEN node + comp > 0 THEN nest + node + comp ELSE 0 END AS depth FROM fper
+),
+fagg AS (
+  SELECT file_id, fn_ln, 1 + sum(dec) AS cyclomatic, sum(cog) AS cognitive, max(depth) AS max_nesting
+  FROM fper2 GROUP BY file_id, fn_ln
+),
+fmax AS (
+  SELECT p.file_id, p.fn_ln, min(p.ln) AS nesting_ln
+  FROM fper2 p JOIN fagg a ON a.file_id = p.file_id AND a.fn_ln = p.fn_ln AND p.depth = a.max_nesting
+  WHERE a.max_nesting > 0 GROUP BY p.file_id, p.fn_ln
+),
+fmetrics AS (
+  SELECT f.*, f.ln_end - f.ln_start + 1 AS loc,
+    (SELECT count(*) FROM params p WHERE p.file_id = f.file_id AND p.ln_start = f.ln_start) AS n_params,
+    CAST(coalesce(a.cyclomatic, 1) AS BIGINT) AS cyclomatic, CAST(coalesce(a.cognitive, 0) AS BIGINT) AS cognitive,
+    CAST(coalesce(a.max_nesting, 0) AS BIGINT) AS max_nesting, m.nesting_ln,
+    (SELECT p.kind FROM fper2 p WHERE p.file_id = f.file_id AND p.fn_ln = f.ln_start AND p.ln = m.nesting_ln) AS nesting_kind
+  FROM functions f
+  LEFT JOIN fagg a ON a.file_id = f.file_id AND a.fn_ln = f.ln_start
+  LEFT JOIN fmax m ON m.file_id = f.file_id AND m.fn_ln = f.ln_start
+)
+"""
+
+
+def with_metrics(select_sql: str, extra_ctes: str = "") -> str:
+    ctes = METRIC_CTES.strip()
+    if extra_ctes.strip():
+        ctes += ",\n" + extra_ctes.strip()
+    return with_base(select_sql, ctes)

@@ -11,6 +11,7 @@ from functools import cached_property
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
+from lintlake.operators import metrics as M
 from lintlake.operators import structure as S
 from lintlake.sources import corpus
 
@@ -45,6 +46,14 @@ class Substrate:
     def functions(self) -> DataFrame:
         return self._keep(S.functions(self.lines, self.stmts, self.blocks, self.defs))
 
+    @cached_property
+    def fn_stmts(self) -> DataFrame:
+        return self._keep(M.fn_stmts(self.stmts, self.blocks, self.functions))
+
+    @cached_property
+    def fn_metrics(self) -> DataFrame:
+        return self._keep(M.function_metrics(self.fn_stmts, self.functions))
+
     @cached_property
     def classes(self) -> DataFrame:
         return S.classes(self.lines, self.stmts, self.blocks, self.defs)
