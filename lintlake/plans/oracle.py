@@ -241,3 +241,68 @@ def with_metrics(select_sql: str, extra_ctes: str = "") -> str:
     if extra_ctes.strip():
         ctes += ",\n" + extra_ctes.strip()
     return with_base(select_sql, ctes)
+
+
+from lintlake.operators import facts as _FX  # noqa: E402
+
+FACT_CTES = f"""
+parent AS (
+  SELECT s.file_id, s.ln,
+    (SELECT b.ln FROM blocks b WHERE b.file_id = s.file_id AND b.ln < s.ln AND b.ln_end >= s.ln AND b.indent < s.indent
+      ORDER BY b.ln DESC LIMIT 1) AS parent_ln,
+    (SELECT b.kind FROM blocks b WHERE b.file_id = s.file_id AND b.ln < s.ln AND b.ln_end >= s.ln AND b.indent < s.indent
+      ORDER BY b.ln DESC LIMIT 1) AS parent_kind
+  FROM stmts s
+),
+fcalls AS (
+  SELECT file_id, fn_ln, qualified_name, ln, kind, code, pos, call FROM (
+    SELECT file_id, fn_ln, qualified_name, ln, kind, code, unnest(generate_series(1, len(cs))) AS pos, unnest(cs) AS call
+    FROM (SELECT *, regexp_extract_all(coalesce(bare, ''), {_lit(P.CALL)}, 1) AS cs FROM fst))
+  WHERE call NOT IN {_list(_FX.NOT_CALLS)}
+),
+fcall_first AS (
+  SELECT file_id, fn_ln, call, min(ln * 100000 + pos) AS first_at FROM fcalls GROUP BY file_id, fn_ln, call
+),
+fst2 AS (
+  SELECT s.*, p.parent_kind,
+    s.kind = 'except' AND regexp_matches(s.code, '^except\\s*:') AS bare_except,
+    CASE WHEN s.kind = 'except' THEN nullif(trim(regexp_extract(s.code, {_lit(_FX.EXCEPT_TYPE)}, 1)), '') END AS caught,
+    CASE WHEN s.kind = 'raise' THEN nullif(trim(regexp_extract(s.code, {_lit(_FX.RAISE_TYPE)}, 1)), '') END AS raised,
+    nullif(regexp_extract(s.code, {_lit(_FX.TYPE_CHECK)}, 2), '') AS type_var,
+    regexp_matches(s.code, {_lit(_FX.COMMAND_FSTRING)}) AS cmd_fstring,
+    (s.kind IN ('return', 'raise') AND p.parent_kind IN ('if', 'elif', 'for', 'while', 'with', 'try')
+      AND EXISTS (SELECT 1 FROM fst n WHERE n.file_id = s.file_id AND n.ln = s.next_ln AND n.indent = s.indent)) AS unreach
+  FROM fst s LEFT JOIN parent p ON p.file_id = s.file_id AND p.ln = s.ln
+),
+fnone AS (
+  SELECT file_id, fn_ln, unnest(regexp_extract_all(coalesce(bare, ''), {_lit(_FX.NONE_CHECK)}, 2)) AS v FROM fst
+),
+ffacts AS (
+  SELECT f.file_id, f.name AS function_name, f.qualified_name, f.class_name, f.ln_start AS line_start, f.ln_end AS line_end,
+    f.return_type AS return_annotation, f.loc, f.cyclomatic, f.n_params,
+    coalesce((SELECT bool_or(bare_except) FROM fst2 s WHERE s.file_id = f.file_id AND s.fn_ln = f.ln_start), false) AS has_bare_except,
+    coalesce((SELECT bool_or(caught IN ('Exception', 'BaseException')) FROM fst2 s WHERE s.file_id = f.file_id AND s.fn_ln = f.ln_start), false) AS has_broad_except,
+    coalesce((SELECT string_agg(DISTINCT caught, ',' ORDER BY caught) FROM fst2 s WHERE s.file_id = f.file_id AND s.fn_ln = f.ln_start), '') AS caught_types,
+    coalesce((SELECT string_agg(DISTINCT raised, ',' ORDER BY raised) FROM fst2 s WHERE s.file_id = f.file_id AND s.fn_ln = f.ln_start), '') AS raise_types,
+    coalesce((SELECT string_agg(DISTINCT type_var, ',' ORDER BY type_var) FROM fst2 s WHERE s.file_id = f.file_id AND s.fn_ln = f.ln_start), '') AS type_checks,
+    coalesce((SELECT string_agg(DISTINCT v, ',' ORDER BY v) FROM fnone s WHERE s.file_id = f.file_id AND s.fn_ln = f.ln_start), '') AS none_checks,
+    coalesce((SELECT bool_or(cmd_fstring) FROM fst2 s WHERE s.file_id = f.file_id AND s.fn_ln = f.ln_start), false) AS command_execution_has_fstring,
+    coalesce((SELECT bool_or(kind = 'return') FROM fst2 s WHERE s.file_id = f.file_id AND s.fn_ln = f.ln_start), false) AS has_return_on_all_paths,
+    coalesce((SELECT bool_or(unreach) FROM fst2 s WHERE s.file_id = f.file_id AND s.fn_ln = f.ln_start), false) AS has_unreachable_code,
+    coalesce((SELECT string_agg(call, ',' ORDER BY first_at) FROM fcall_first c WHERE c.file_id = f.file_id AND c.fn_ln = f.ln_start), '') AS calls,
+    coalesce((SELECT bool_or(call = 'open' AND kind <> 'with') FROM fcalls c WHERE c.file_id = f.file_id AND c.fn_ln = f.ln_start), false) AS uses_open_without_with,
+    coalesce((SELECT bool_or(call IN {_list(P.COMMAND_CALLS)}) FROM fcalls c WHERE c.file_id = f.file_id AND c.fn_ln = f.ln_start), false) AS uses_command_execution,
+    coalesce((SELECT bool_or(default_is_mutable) FROM params p WHERE p.file_id = f.file_id AND p.ln_start = f.ln_start), false) AS has_mutable_default_args,
+    coalesce((SELECT string_agg(name, ',' ORDER BY pos) FROM params p WHERE p.file_id = f.file_id AND p.ln_start = f.ln_start
+              AND NOT starts_with(name, '*') AND name IN {_list(P.BUILTINS)}), '') AS shadows_builtin,
+    EXISTS (SELECT 1 FROM imports i WHERE i.file_id = f.file_id AND i.name = '*') AS star_imports_used
+  FROM fmetrics f
+)
+"""
+
+
+def with_facts(select_sql: str, extra_ctes: str = "") -> str:
+    ctes = FACT_CTES.strip()
+    if extra_ctes.strip():
+        ctes += ",\n" + extra_ctes.strip()
+    return with_metrics(select_sql, ctes)

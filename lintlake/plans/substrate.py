@@ -1,58 +1,78 @@
 """Shared fact tables of one corpus, built once and reused by every query.
 
-``lines``/``stmts``/``blocks`` are persisted (memory and disk) because every rule reads
-them; the rest stay lazy plans so Catalyst prunes what a query does not use.
+The substrate tables are written as parquet under the session's shared checkpoint
+folder and read back: lineage is cut (a lost executor re-reads the table instead of
+recomputing the chain), and later queries get column pruning and filter pushdown on
+the scan.  Plans built on top therefore stay small.
 """
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
+from lintlake.operators import facts as FX
 from lintlake.operators import metrics as M
 from lintlake.operators import structure as S
+from lintlake.session import ensure_checkpoint_dir
 from lintlake.sources import corpus
 
 _CACHE: dict[tuple[int, str], "Substrate"] = {}
 
 
 class Substrate:
-    def __init__(self, files: DataFrame, persist: bool = True):
+    def __init__(self, files: DataFrame, materialize: bool = True):
         self.files = files
-        self._persist = persist
-
-    def _keep(self, df: DataFrame) -> DataFrame:
-        return df.persist(StorageLevel.MEMORY_AND_DISK) if self._persist else df
+        self._materialize = materialize
+        self._root = None
+
+    def _keep(self, df: DataFrame, name: str) -> DataFrame:
+        if not self._materialize:
+            return df
+        spark = df.sparkSession
+        if self._root is None:
+            self._root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/lintlake-tables/{uuid.uuid4().hex}"
+        path = f"{self._root}/{name}"
+        df.write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)
 
     @cached_property
     def lines(self) -> DataFrame:
-        return self._keep(S.lines(self.files))
+        return self._keep(S.lines(self.files), "lines")
 
     @cached_property
     def stmts(self) -> DataFrame:
-        return self._keep(S.statements(self.lines))
+        return self._keep(S.statements(self.lines), "stmts")
 
     @cached_property
     def blocks(self) -> DataFrame:
-        return self._keep(S.blocks(self.stmts))
+        return self._keep(S.blocks(self.stmts), "blocks")
 
     @cached_property
     def defs(self) -> DataFrame:
-        return self._keep(S.definitions(self.stmts, self.blocks))
+        return self._keep(S.definitions(self.stmts, self.blocks), "defs")
 
     @cached_property
     def functions(self) -> DataFrame:
-        return self._keep(S.functions(self.lines, self.stmts, self.blocks, self.defs))
+        return self._keep(S.functions(self.lines, self.stmts, self.blocks, self.defs), "functions")
 
     @cached_property
     def fn_stmts(self) -> DataFrame:
-        return self._keep(M.fn_stmts(self.stmts, self.blocks, self.functions))
+        return self._keep(M.fn_stmts(self.stmts, self.blocks, self.functions), "fn_stmts")
 
     @cached_property
     def fn_metrics(self) -> DataFrame:
-        return self._keep(M.function_metrics(self.fn_stmts, self.functions))
+        return self._keep(M.function_metrics(self.fn_stmts, self.functions), "fn_metrics")
+
+    @cached_property
+    def parent(self) -> DataFrame:
+        return self._keep(FX.parents(self.stmts, self.blocks), "parent")
+
+    @cached_property
+    def facts(self) -> DataFrame:
+        return self._keep(FX.facts(self.fn_stmts, self.fn_metrics, self.parent, self.imports), "facts")
 
     @cached_property
     def classes(self) -> DataFrame:

@@ -381,7 +381,7 @@ def pairs_{i}(items, db):
     return out
 
 
-def join_{i}(words):
+def join_{i}(words, extra=[]):
     text = ""
     for word in words:
         text += word
