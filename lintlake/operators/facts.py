@@ -62,7 +62,7 @@ def facts(fst: DataFrame, functions_m: DataFrame, parent: DataFrame, imports: Da
     raised = F.when(F.col("kind") == "raise", F.nullif(F.trim(F.regexp_extract(code, RAISE_TYPE, 1)), F.lit("")))
     none_vars = F.transform(F.regexp_extract_all(F.coalesce("bare", F.lit("")), F.lit(NONE_CHECK), 2), lambda x: x)
     type_var = F.nullif(F.regexp_extract(code, TYPE_CHECK, 2), F.lit(""))
-    st = fst.join(parent, ["file_id", "ln"], "left")
+    st = fst if "parent_kind" in fst.columns else fst.join(parent, ["file_id", "ln"], "left")
     nxt_same = F.col("next_ln").isNotNull()
     per = st.select(
         "file_id", "fn_ln", "kind", "ln",

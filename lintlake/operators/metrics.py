@@ -31,6 +31,8 @@ def depths(stmts: DataFrame, blocks: DataFrame) -> DataFrame:
             F.count(F.lit(1)).alias("d_all"),
             F.count_if(F.col("b.bkind") != "with").alias("d_cog"),
             F.count_if(F.col("b.bkind").isin(*P.LOOP_KINDS)).alias("d_loop"),
+            F.count_if(F.col("b.bkind") == "for").alias("d_for"),
+            F.count_if(F.col("b.bkind") == "with").alias("d_with"),
         )
     )
 
@@ -38,17 +40,20 @@ def depths(stmts: DataFrame, blocks: DataFrame) -> DataFrame:
 def fn_stmts(stmts: DataFrame, blocks: DataFrame, functions: DataFrame) -> DataFrame:
     """Statements of each function with nesting measured from the function header.
 
-    Columns: statement columns + fn_ln, qualified_name, nest (all kinds), nest_cog, in_loop.
+    Columns: statement columns + fn_ln, qualified_name, nest (all kinds), nest_cog, in_loop,
+    in_for, in_with.
     """
+    kinds = ("d_all", "d_cog", "d_loop", "d_for", "d_with")
     d = depths(stmts, blocks)
     st = stmts.join(d, ["file_id", "ln"], "left").select(
-        "*", *[F.coalesce(F.col(c), F.lit(0)).alias(c + "_") for c in ("d_all", "d_cog", "d_loop")]
-    ).drop("d_all", "d_cog", "d_loop")
+        "*", *[F.coalesce(F.col(c), F.lit(0)).alias(c + "_") for c in kinds]
+    ).drop(*kinds)
     fn = functions.select("file_id", F.col("ln_start").alias("ln"), "ln_end", "indent", "qualified_name")
     member = enclosing(st.select("file_id", "ln", "indent"), fn).select(
         "file_id", "ln", F.col("b.ln").alias("fn_ln"), F.col("b.qualified_name").alias("qualified_name"))
     heads = st.select("file_id", F.col("ln").alias("fn_ln"), F.col("d_all_").alias("h_all"),
-                      F.col("d_cog_").alias("h_cog"), F.col("d_loop_").alias("h_loop"))
+                      F.col("d_cog_").alias("h_cog"), F.col("d_loop_").alias("h_loop"),
+                      F.col("d_for_").alias("h_for"), F.col("d_with_").alias("h_with"))
     return (
         st.join(member, ["file_id", "ln"])
         .join(heads, ["file_id", "fn_ln"])
@@ -57,8 +62,10 @@ def fn_stmts(stmts: DataFrame, blocks: DataFrame, functions: DataFrame) -> DataF
             (F.col("d_all_") - F.col("h_all")).alias("nest"),
             (F.col("d_cog_") - F.col("h_cog")).alias("nest_cog"),
             (F.col("d_loop_") - F.col("h_loop") > 0).alias("in_loop"),
+            (F.col("d_for_") - F.col("h_for") > 0).alias("in_for"),
+            (F.col("d_with_") - F.col("h_with") > 0).alias("in_with"),
         )
-        .drop("d_all_", "d_cog_", "d_loop_", "h_all", "h_cog", "h_loop")
+        .drop("d_all_", "d_cog_", "d_loop_", "d_for_", "d_with_", "h_all", "h_cog", "h_loop", "h_for", "h_with")
     )
 
 
@@ -88,7 +95,7 @@ def function_metrics(fst: DataFrame, functions: DataFrame) -> DataFrame:
     )
     return functions.join(agg.withColumnRenamed("fn_ln", "ln_start"), ["file_id", "ln_start"], "left").select(
         "file_id", "name", "class_name", "qualified_name", "ln_start", "ln_end", "params", "return_type", "docstring",
-        (F.col("ln_end") - F.col("ln_start") + 1).alias("loc"),
+        "doc_lines", (F.col("ln_end") - F.col("ln_start") + 1).alias("loc"),
         F.size("params").alias("n_params"),
         F.coalesce("cyclomatic", F.lit(1)).cast("bigint").alias("cyclomatic"),
         F.coalesce("cognitive", F.lit(0)).cast("bigint").alias("cognitive"),

@@ -201,7 +201,8 @@ def functions(ln_df: DataFrame, st: DataFrame, blk: DataFrame, defs: DataFrame |
         F.nullif(F.trim(F.regexp_extract("code", P.DEF_RETURN, 1)), F.lit("")).alias("return_type"),
         F.when(F.col("next_kind") == "docstring", F.col("next_region")).alias("doc_region"),
     )
-    docs = docstrings(ln_df).select("file_id", F.col("str_region").alias("doc_region"), "docstring")
+    docs = docstrings(ln_df).select("file_id", F.col("str_region").alias("doc_region"), "docstring",
+                                    (F.col("doc_end") - F.col("doc_start") + 1).alias("doc_lines"))
     return f.join(docs, ["file_id", "doc_region"], "left").drop("doc_region")
 
 

@@ -114,7 +114,7 @@ defs AS (
   FROM defs0 d
 ),
 docstrings AS (
-  SELECT file_id, str_region,
+  SELECT file_id, str_region, min(ln) AS doc_start, max(ln) AS doc_end,
     trim(regexp_replace(regexp_replace(string_agg(line, chr(10) ORDER BY ln), '^\\s*\"\"\"', ''), '\"\"\"\\s*$', '')) AS docstring
   FROM lines WHERE str_region IS NOT NULL GROUP BY file_id, str_region
 ),
@@ -125,7 +125,7 @@ functions AS (
     d.ln AS ln_start, d.ln_end, d.indent, d.code,
     nullif(trim(regexp_extract(d.code, {_lit(P.DEF_PARAMS)}, 1)), '') AS params_txt,
     nullif(trim(regexp_extract(d.code, {_lit(P.DEF_RETURN)}, 1)), '') AS return_type,
-    ds.docstring
+    ds.docstring, ds.doc_end - ds.doc_start + 1 AS doc_lines
   FROM defs d
   LEFT JOIN docstrings ds ON ds.file_id = d.file_id AND d.next_kind = 'docstring' AND ds.str_region = d.next_region
   WHERE d.kind = 'def' AND NOT d.in_def
@@ -187,12 +187,17 @@ sdepth AS (
   SELECT s.file_id, s.ln,
     (SELECT count(*) FROM blocks b WHERE b.file_id = s.file_id AND b.kind IN {_NEST} AND b.ln < s.ln AND b.ln_end >= s.ln AND b.indent < s.indent) AS d_all,
     (SELECT count(*) FROM blocks b WHERE b.file_id = s.file_id AND b.kind IN {_COG} AND b.ln < s.ln AND b.ln_end >= s.ln AND b.indent < s.indent) AS d_cog,
-    (SELECT count(*) FROM blocks b WHERE b.file_id = s.file_id AND b.kind IN {_LOOP} AND b.ln < s.ln AND b.ln_end >= s.ln AND b.indent < s.indent) AS d_loop
+    (SELECT count(*) FROM blocks b WHERE b.file_id = s.file_id AND b.kind IN {_LOOP} AND b.ln < s.ln AND b.ln_end >= s.ln AND b.indent < s.indent) AS d_loop,
+    (SELECT count(*) FROM blocks b WHERE b.file_id = s.file_id AND b.kind = 'for' AND b.ln < s.ln AND b.ln_end >= s.ln AND b.indent < s.indent) AS d_for,
+    (SELECT count(*) FROM blocks b WHERE b.file_id = s.file_id AND b.kind = 'with' AND b.ln < s.ln AND b.ln_end >= s.ln AND b.indent < s.indent) AS d_with
   FROM stmts s
 ),
 fst AS (
   SELECT s.*, f.ln_start AS fn_ln, f.qualified_name,
-         d.d_all - h.d_all AS nest, d.d_cog - h.d_cog AS nest_cog, d.d_loop - h.d_loop > 0 AS in_loop
+         (SELECT b.ln FROM blocks b WHERE b.file_id = s.file_id AND b.ln < s.ln AND b.ln_end >= s.ln AND b.indent < s.indent
+           ORDER BY b.ln DESC LIMIT 1) AS parent_ln,
+         d.d_all - h.d_all AS nest, d.d_cog - h.d_cog AS nest_cog, d.d_loop - h.d_loop > 0 AS in_loop,
+         d.d_for - h.d_for > 0 AS in_for, d.d_with - h.d_with > 0 AS in_with
   FROM stmts s
   JOIN functions f ON f.file_id = s.file_id AND s.ln > f.ln_start AND s.ln <= f.ln_end AND s.indent > f.indent
   JOIN sdepth d ON d.file_id = s.file_id AND d.ln = s.ln

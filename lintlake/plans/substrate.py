@@ -13,6 +13,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lintlake.operators import critics as CR
 from lintlake.operators import facts as FX
 from lintlake.operators import metrics as M
 from lintlake.operators import structure as S
@@ -60,7 +61,8 @@ class Substrate:
 
     @cached_property
     def fn_stmts(self) -> DataFrame:
-        return self._keep(M.fn_stmts(self.stmts, self.blocks, self.functions), "fn_stmts")
+        fst = M.fn_stmts(self.stmts, self.blocks, self.functions).join(self.parent, ["file_id", "ln"], "left")
+        return self._keep(fst, "fn_stmts")
 
     @cached_property
     def fn_metrics(self) -> DataFrame:
@@ -74,6 +76,19 @@ class Substrate:
     def facts(self) -> DataFrame:
         return self._keep(FX.facts(self.fn_stmts, self.fn_metrics, self.parent, self.imports), "facts")
 
+    @cached_property
+    def calls(self) -> DataFrame:
+        return self._keep(FX.calls(self.fn_stmts), "calls")
+
+    @cached_property
+    def critic_issues(self) -> DataFrame:
+        """The four critics in one findings table (materialized once, read by every rollup)."""
+        out = (CR.logic_issues(self.fn_stmts, self.functions)
+               .unionByName(CR.security_issues(self.fn_stmts, self.calls))
+               .unionByName(CR.performance_issues(self.fn_stmts, self.calls, self.blocks))
+               .unionByName(CR.maintainability_issues(self.fn_stmts, self.fn_metrics)))
+        return self._keep(out, "critic_issues")
+
     @cached_property
     def classes(self) -> DataFrame:
         return S.classes(self.lines, self.stmts, self.blocks, self.defs)

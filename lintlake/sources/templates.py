@@ -72,8 +72,8 @@ def find_user_{i}(cursor, user_input):
 
 def render_{i}(request):
     name = request.args.get("name")
-    html = "<div>" + name + "</div>"
-    return html
+    html = "<div>" + request.args.get("title") + "</div>"
+    return html + name
 
 
 def evaluate_{i}(expr):
@@ -168,6 +168,7 @@ def short_{i}(value):
 
 _T4 = '''"""Exception handling for module {i}."""
 import logging
+from typing import Optional
 from m{j} import helper_{j}
 
 
@@ -213,6 +214,13 @@ def convert_{i}(text) -> int:
 def finish_{i}(value):
     return value
     print(value)
+
+
+def pick_{i}(value: Optional[int], items):
+    total = value + 1
+    if value is None:
+        return items
+    return total
 '''
 
 _T5 = '''"""Classes for module {i}."""
@@ -377,7 +385,7 @@ def pairs_{i}(items, db):
             out.insert(0, (a, b))
     for item in items:
         row = db.query(item)
-        out.append(row)
+        out.append(row[item])
     return out
 
 
@@ -394,7 +402,16 @@ def countdown_{i}(n):
     total = 0
     for k in range(n):
         total *= 2
-    return helper_{j}(total)
+    ratio = total / n
+    return helper_{j}(ratio)
+
+
+def sign_{i}(value, items):
+    if value > 0:
+        return items[:3]
+    else:
+        value = -value
+    return value
 '''
 
 _T8 = '''"""Imports for module {i}."""
