@@ -231,9 +231,9 @@ def classes(ln_df: DataFrame, st: DataFrame, blk: DataFrame, defs: DataFrame | N
 def imports(st: DataFrame) -> DataFrame:
     """One row per imported item: module, name, alias, line, from-flag."""
     imp = st.filter(F.col("kind") == "import").select(
-        "file_id", "ln", F.explode(F.split(F.regexp_extract("code", P.IMPORT_LINE, 1), ",")).alias("item")
+        "file_id", "ln", F.posexplode(F.split(F.regexp_extract("code", P.IMPORT_LINE, 1), ",")).alias("pos", "item")
     ).select(
-        "file_id", "ln",
+        "file_id", "ln", "pos",
         F.regexp_extract(F.trim("item"), r"^([A-Za-z0-9_.]+)", 1).alias("module"),
         F.regexp_extract(F.trim("item"), r"^([A-Za-z0-9_.]+)", 1).alias("name"),
         F.nullif(F.regexp_extract("item", r"\sas\s+([A-Za-z_][A-Za-z0-9_]*)", 1), F.lit("")).alias("alias"),
@@ -242,9 +242,9 @@ def imports(st: DataFrame) -> DataFrame:
     frm = st.filter((F.col("kind") == "from") & F.col("code").rlike(P.FROM_LINE)).select(
         "file_id", "ln",
         F.regexp_extract("code", P.FROM_LINE, 1).alias("module"),
-        F.explode(F.split(F.regexp_extract("code", P.FROM_LINE, 2), ",")).alias("item"),
+        F.posexplode(F.split(F.regexp_extract("code", P.FROM_LINE, 2), ",")).alias("pos", "item"),
     ).select(
-        "file_id", "ln", "module",
+        "file_id", "ln", "pos", "module",
         F.regexp_extract(F.trim("item"), r"^([A-Za-z0-9_*]+)", 1).alias("name"),
         F.nullif(F.regexp_extract("item", r"\sas\s+([A-Za-z_][A-Za-z0-9_]*)", 1), F.lit("")).alias("alias"),
         F.lit(True).alias("is_from"),

@@ -25,6 +25,7 @@ def load_all() -> dict[str, tuple[QueryFn, str | None]]:
     from lintlake.plans import (  # noqa: F401
         q_critics,
         q_facts,
+        q_graph,
         q_hotspots,
         q_metrics,
         q_structure,

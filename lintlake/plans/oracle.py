@@ -151,15 +151,17 @@ classes AS (
   WHERE d.kind = 'class'
 ),
 imports AS (
-  SELECT file_id, ln, regexp_extract(trim(item), '^([A-Za-z0-9_.]+)', 1) AS module,
+  SELECT file_id, ln, pos, regexp_extract(trim(item), '^([A-Za-z0-9_.]+)', 1) AS module,
          regexp_extract(trim(item), '^([A-Za-z0-9_.]+)', 1) AS name,
          nullif(regexp_extract(item, '\\sas\\s+([A-Za-z_][A-Za-z0-9_]*)', 1), '') AS alias, false AS is_from
-  FROM (SELECT file_id, ln, unnest(string_split(regexp_extract(code, {_lit(P.IMPORT_LINE)}, 1), ',')) AS item
+  FROM (SELECT file_id, ln, unnest(generate_series(0, len(string_split(regexp_extract(code, {_lit(P.IMPORT_LINE)}, 1), ',')) - 1)) AS pos,
+               unnest(string_split(regexp_extract(code, {_lit(P.IMPORT_LINE)}, 1), ',')) AS item
         FROM stmts WHERE kind = 'import')
   UNION ALL
-  SELECT file_id, ln, module, regexp_extract(trim(item), '^([A-Za-z0-9_*]+)', 1) AS name,
+  SELECT file_id, ln, pos, module, regexp_extract(trim(item), '^([A-Za-z0-9_*]+)', 1) AS name,
          nullif(regexp_extract(item, '\\sas\\s+([A-Za-z_][A-Za-z0-9_]*)', 1), '') AS alias, true AS is_from
   FROM (SELECT file_id, ln, regexp_extract(code, {_lit(P.FROM_LINE)}, 1) AS module,
+               unnest(generate_series(0, len(string_split(regexp_extract(code, {_lit(P.FROM_LINE)}, 2), ',')) - 1)) AS pos,
                unnest(string_split(regexp_extract(code, {_lit(P.FROM_LINE)}, 2), ',')) AS item
         FROM stmts WHERE kind = 'from' AND regexp_matches(code, {_lit(P.FROM_LINE)}))
 )
@@ -171,7 +173,8 @@ def with_base(select_sql: str, extra_ctes: str = "") -> str:
     ctes = BASE_CTES.strip()
     if extra_ctes.strip():
         ctes += ",\n" + extra_ctes.strip()
-    return f"WITH {ctes}\n{select_sql}"
+    head = "WITH RECURSIVE" if "RECURSIVE_CTE" in extra_ctes else "WITH"
+    return f"{head} {ctes}\n{select_sql}"
 
 
 def _occ(col: str, pattern: str) -> str:
