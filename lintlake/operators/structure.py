@@ -89,6 +89,7 @@ def statements(ln_df: DataFrame) -> DataFrame:
         F.lead("ln").over(w).alias("next_ln"),
         F.lead("kind").over(w).alias("next_kind"),
         F.lead("str_region").over(w).alias("next_region"),
+        F.lead("code").over(w).alias("next_code"),
         F.lag("kind").over(Window.partitionBy("file_id", "indent").orderBy("ln")).alias("prev_sibling_kind"),
     )
 
@@ -142,6 +143,22 @@ def enclosing(points: DataFrame, spans: DataFrame) -> DataFrame:
     return u.filter(F.col("is_point") & F.col("b").isNotNull() & (F.col("b.ln_end") >= F.col("ln"))).drop("is_point")
 
 
+def owner(lines_df: DataFrame, spans: DataFrame) -> DataFrame:
+    """Lines inside non-overlapping spans (file_id, ln, ln_end + payload) with the span as ``o``.
+
+    Spans of one file must not overlap (top-level functions and methods never do), so
+    the owner of a line is the latest span that starts at or before it: one running
+    window per file instead of a range join.
+    """
+    payload = [c for c in spans.columns if c != "file_id"]
+    st = spans.select("file_id", F.col("ln"), F.struct(*payload).alias("o"), F.lit(0).alias("is_line"))
+    ln = lines_df.select("file_id", "ln", F.lit(None).cast(st.schema["o"].dataType).alias("o"), F.lit(1).alias("is_line"))
+    w = Window.partitionBy("file_id").orderBy("ln", "is_line").rowsBetween(_PRE, 0)
+    u = st.unionByName(ln).withColumn("o", F.last("o", ignorenulls=True).over(w))
+    keep = u.filter((F.col("is_line") == 1) & F.col("o").isNotNull() & (F.col("ln") <= F.col("o.ln_end")))
+    return keep.select("file_id", "ln", "o").join(lines_df, ["file_id", "ln"])
+
+
 def _split_top(col: Column) -> Column:
     """Split a parameter list on commas that are not inside brackets."""
     return F.split(col, r",(?![^\[({]*[\])}])")

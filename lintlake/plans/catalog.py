@@ -28,6 +28,7 @@ def load_all() -> dict[str, tuple[QueryFn, str | None]]:
         q_graph,
         q_hotspots,
         q_metrics,
+        q_patterns,
         q_structure,
     )
 

@@ -83,6 +83,7 @@ stmts AS (
   SELECT *, lead(ln) OVER (PARTITION BY file_id ORDER BY ln) AS next_ln,
          lead(kind) OVER (PARTITION BY file_id ORDER BY ln) AS next_kind,
          lead(str_region) OVER (PARTITION BY file_id ORDER BY ln) AS next_region,
+         lead(code) OVER (PARTITION BY file_id ORDER BY ln) AS next_code,
          lag(kind) OVER (PARTITION BY file_id, indent ORDER BY ln) AS prev_sibling_kind
   FROM stmt0
 ),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lintlake.operators import facts as FX
+from lintlake.operators import structure as S
 from lintlake.operators import rules as R
 from lintlake.plans.catalog import query
 from lintlake.plans.oracle import with_base, with_facts
@@ -96,15 +97,12 @@ GROUP BY f.file_id, f.qualified_name
 def x15_function_source(spark, sf_dir):
     """Source slice of each function's line range; the first function of a name per file."""
     sub = for_corpus(spark, sf_dir)
-    first = sub.functions.groupBy("file_id", "name").agg(F.min_by(F.struct("ln_start", "ln_end", "qualified_name"), "ln_start").alias("f"))
-    f = first.select("file_id", "f.*")
-    ln = sub.lines.select("file_id", "ln", "line")
-    # Range join through the statement-to-function map keeps the equi-key (file_id, fn_ln).
-    member = sub.lines.select("file_id", "ln", "line").join(
-        f.select("file_id", "ln_start", "ln_end", "qualified_name"), "file_id").filter(
-        (F.col("ln") >= F.col("ln_start")) & (F.col("ln") <= F.col("ln_end")))
-    del ln
-    return member.groupBy("file_id", "qualified_name").agg(
+    first = sub.functions.groupBy("file_id", "name").agg(
+        F.min_by(F.struct("ln_start", "ln_end", "qualified_name"), "ln_start").alias("f"))
+    spans = first.select("file_id", F.col("f.ln_start").alias("ln"), F.col("f.ln_end").alias("ln_end"),
+                         F.col("f.qualified_name").alias("qualified_name"))
+    member = S.owner(sub.lines.select("file_id", "ln", "line"), spans)
+    return member.groupBy("file_id", F.col("o.qualified_name").alias("qualified_name")).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ln", "line"))), lambda x: x["line"]), "\n").alias("source"))
 
 

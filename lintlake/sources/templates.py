@@ -419,6 +419,7 @@ import os
 import sys
 import numpy as np
 from collections import *
+from typing import Callable
 from m{j} import helper_{j}, unused_{j}
 import json as js
 
@@ -427,6 +428,12 @@ def paths_{i}(base):
     return os.path.join(base, "x")
 
 
+def timed_{i}(func: Callable):
+    def wrapper(*args):
+        return func(*args)
+    return wrapper
+
+
 def arguments_{i}():
     return np.array(sys.argv)
 '''
