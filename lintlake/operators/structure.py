@@ -220,7 +220,7 @@ def functions(ln_df: DataFrame, st: DataFrame, blk: DataFrame, defs: DataFrame |
     )
     docs = docstrings(ln_df).select("file_id", F.col("str_region").alias("doc_region"), "docstring",
                                     (F.col("doc_end") - F.col("doc_start") + 1).alias("doc_lines"))
-    return f.join(docs, ["file_id", "doc_region"], "left").drop("doc_region")
+    return f.join(docs, ["file_id", "doc_region"], "left")
 
 
 def classes(ln_df: DataFrame, st: DataFrame, blk: DataFrame, defs: DataFrame | None = None) -> DataFrame:

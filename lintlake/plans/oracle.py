@@ -126,7 +126,8 @@ functions AS (
     d.ln AS ln_start, d.ln_end, d.indent, d.code,
     nullif(trim(regexp_extract(d.code, {_lit(P.DEF_PARAMS)}, 1)), '') AS params_txt,
     nullif(trim(regexp_extract(d.code, {_lit(P.DEF_RETURN)}, 1)), '') AS return_type,
-    ds.docstring, ds.doc_end - ds.doc_start + 1 AS doc_lines
+    ds.docstring, ds.doc_end - ds.doc_start + 1 AS doc_lines,
+    CASE WHEN d.next_kind = 'docstring' THEN d.next_region END AS doc_region
   FROM defs d
   LEFT JOIN docstrings ds ON ds.file_id = d.file_id AND d.next_kind = 'docstring' AND ds.str_region = d.next_region
   WHERE d.kind = 'def' AND NOT d.in_def

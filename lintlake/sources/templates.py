@@ -265,6 +265,9 @@ class Order:
         Store.save(self)
         return self.store
 
+    def apply(self, rate):
+        self.amount = self.amount * rate
+
 
 class ReportFactory:
     """Builds reports."""
@@ -317,6 +320,14 @@ class Manager:
 
     def unfreeze(self):
         return None
+
+
+class Basket:
+    def __len__(self):
+        return 0
+
+    def __contains__(self, item):
+        return False
 '''
 
 _T6 = '''"""Contracts for module {i}."""
@@ -336,10 +347,10 @@ def divide_{i}(num, den):
         ZeroDivisionError: when den is zero
         KeyError: never raised here
 
-    Pre:
+    Preconditions:
         den is not zero
 
-    Post:
+    Postconditions:
         result times den equals num
     """
     assert den != 0
