@@ -23,6 +23,7 @@ def query(name: str, sql: str | None = None):
 def load_all() -> dict[str, tuple[QueryFn, str | None]]:
     # Importing the modules fills the registry.
     from lintlake.plans import (  # noqa: F401
+        q_boundaries,
         q_contracts,
         q_critics,
         q_facts,

@@ -53,6 +53,7 @@ from m{j} import helper_{j}
 
 
 def run_task_{i}(request, cmd):
+    message = "bad input %s" % cmd
     os.system(cmd)
     subprocess.run(f"ls {cmd}", shell=True)
     return helper_{j}(1)
