@@ -24,6 +24,7 @@ def load_all() -> dict[str, tuple[QueryFn, str | None]]:
     # Importing the modules fills the registry.
     from lintlake.plans import (  # noqa: F401
         q_boundaries,
+        q_claims,
         q_contracts,
         q_critics,
         q_facts,
