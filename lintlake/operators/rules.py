@@ -34,8 +34,24 @@ def _giant_reasons() -> Column:
     ))
 
 
+# The rules with severity, category, title and confidence (plain data, no session needed).
+META = [
+    ("bare_except", "medium", "maintainability", "Bare except clause without exception type", "high"),
+    ("mutable_defaults", "medium", "logic", "Mutable default argument detected", "high"),
+    ("resource_leak", "medium", "maintainability", "File opened without context manager", "medium"),
+    ("command_injection", "critical", "security", "Command injection risk via f-string in command execution", "high"),
+    ("command_execution", "high", "security", "Command execution detected", "medium"),
+    ("implicit_none_return", "medium", "logic", "Possible implicit None return with type annotation", "medium"),
+    ("unreachable_code", "low", "maintainability", "Unreachable code detected", "medium"),
+    ("giant_function", "medium", "maintainability", "Function exceeds size/complexity thresholds", "medium"),
+    ("star_imports", "low", "maintainability", "Star import detected", "medium"),
+    ("broad_exception", "medium", "maintainability", "Broad exception catch detected", "high"),
+    ("shadow_builtin", "low", "maintainability", "Parameter shadows Python builtin", "high"),
+]
+
+
 def registry() -> list[Rule]:
-    """The ten rules with severity, category, title and confidence."""
+    """The rules of ``META`` with their condition and evidence columns."""
     c = F.col
     cmd = F.filter("calls", lambda x: x.isin("os.system", "subprocess.call", "subprocess.run", "subprocess.Popen", "os.popen"))
     broad = F.array_intersect(c("caught_types"), F.array(F.lit("Exception"), F.lit("BaseException")))

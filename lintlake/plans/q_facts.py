@@ -133,15 +133,15 @@ _RULE_SQL = {
 
 def _rules_sql(only: str | None = None) -> str:
     parts = []
-    for r in R.registry():
-        if only and r.name != only:
+    for name, severity, category, title, confidence in R.META:
+        if only and name != only:
             continue
-        title = r.title.replace("'", "''")
+        title = title.replace("'", "''")
         parts.append(
-            f"SELECT file_id, qualified_name, qualified_name || ':{r.name}' AS issue_id, '{r.name}' AS rule, "
-            f"'{r.severity}' AS severity, '{r.category}' AS category, '{title}' AS title, "
+            f"SELECT file_id, qualified_name, qualified_name || ':{name}' AS issue_id, '{name}' AS rule, "
+            f"'{severity}' AS severity, '{category}' AS category, '{title}' AS title, "
             f"function_name || ':' || CAST(line_start AS VARCHAR) AS location, CAST(line_start AS BIGINT) AS ln, "
-            f"'{R.TIER2}' AS tier, '{r.confidence}' AS confidence FROM ffacts WHERE {_RULE_SQL[r.name]}")
+            f"'{R.TIER2}' AS tier, '{confidence}' AS confidence FROM ffacts WHERE {_RULE_SQL[name]}")
     return "\nUNION ALL\n".join(parts)
 
 
