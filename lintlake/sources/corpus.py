@@ -51,10 +51,9 @@ def scan_directory(spark: SparkSession, root: str, glob: str = "*.py") -> DataFr
     repeated scans agree without a global sort.
     """
     raw = (
-        spark.read.option("wholetext", "true")
-        .option("recursiveFileLookup", "true")
+        spark.read.option("recursiveFileLookup", "true")
         .option("pathGlobFilter", glob)
-        .text(root)
+        .text(root, wholetext=True)
         .select(F.col("value").alias("content"), F.col("_metadata.file_path").alias("uri"))
     )
     rel = F.regexp_replace(F.col("uri"), r"^.*?" + _escape(root.rstrip("/")) + "/", "")
