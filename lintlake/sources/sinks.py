@@ -52,4 +52,4 @@ def scan_tree(spark: SparkSession, root: str) -> DataFrame:
     raw = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt")
            .text(root, wholetext=True).select(F.col("value").alias("content"), F.col("_metadata.file_path").alias("uri")))
     return raw.select(F.regexp_extract("uri", r"file_id=(\d+)", 1).cast("bigint").alias("file_id"), "uri",
-                      F.regexp_replace("content", r"\n$", "").alias("content"))
+                      "content")
