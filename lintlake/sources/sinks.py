@@ -52,4 +52,6 @@ def scan_tree(spark: SparkSession, root: str) -> DataFrame:
     raw = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt")
            .text(root, wholetext=True).select(F.col("value").alias("content"), F.col("_metadata.file_path").alias("uri")))
     return raw.select(F.regexp_extract("uri", r"file_id=(\d+)", 1).cast("bigint").alias("file_id"), "uri",
-                      "content")
+                      # The text writer ends every record with one line separator; drop exactly that one.
+                      F.when(F.col("content").endswith("\n"), F.expr("substring(content, 1, length(content) - 1)"))
+                      .otherwise(F.col("content")).alias("content"))
