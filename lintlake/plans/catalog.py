@@ -32,6 +32,7 @@ def load_all() -> dict[str, tuple[QueryFn, str | None]]:
         q_hotspots,
         q_metrics,
         q_patterns,
+        q_repair,
         q_rollup,
         q_structure,
     )
