@@ -34,6 +34,7 @@ def load_all() -> dict[str, tuple[QueryFn, str | None]]:
         q_patterns,
         q_repair,
         q_rollup,
+        q_streaming,
         q_structure,
     )
 

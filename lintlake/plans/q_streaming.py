@@ -1,0 +1,19 @@
+"""Streaming queries (W01, W02): no SQL oracle (micro-batch semantics); tests check their properties."""
+
+from __future__ import annotations
+
+from lintlake.plans.catalog import query
+from lintlake.sources import corpus
+from lintlake.streaming import changes
+
+
+@query("w01_dedup_within_ttl")
+def w01_dedup_within_ttl(spark, sf_dir):
+    ev = corpus.table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
+    return changes.dedup_stream(spark, ev)
+
+
+@query("w02_window_gate_status")
+def w02_window_gate_status(spark, sf_dir):
+    ev = corpus.table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
+    return changes.gate_stream(spark, ev)
