@@ -81,7 +81,7 @@ def _sub(spark, sf_dir):
 
 
 def _items(sub):
-    return C.contract_items(sub.lines, sub.functions, sub.fn_stmts)
+    return sub.contract_items
 
 
 def _table(sub):

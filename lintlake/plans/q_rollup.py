@@ -214,7 +214,7 @@ def r11_selected_stages(spark, sf_dir):
     if stages["critics"]:
         parts.append(_issues(sub).groupBy(F.col("category").alias("stage")).agg(F.count(F.lit(1)).alias("n")))
     if stages["contracts"]:
-        items = C.contract_items(sub.lines, sub.functions, sub.fn_stmts)
+        items = sub.contract_items
         v = C.violations(C.contract_table(sub.functions, items), items, sub.fn_stmts)
         parts.append(v.agg(F.count(F.lit(1)).alias("n")).select(F.lit("contracts").alias("stage"), "n"))
     out = parts[0]

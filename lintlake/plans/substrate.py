@@ -89,6 +89,32 @@ class Substrate:
                .unionByName(CR.maintainability_issues(self.fn_stmts, self.fn_metrics)))
         return self._keep(out, "critic_issues")
 
+    @cached_property
+    def contract_items(self) -> DataFrame:
+        from lintlake.operators import contracts as C
+        return self._keep(C.contract_items(self.lines, self.functions, self.fn_stmts), "contract_items")
+
+    @cached_property
+    def fn_pairs(self) -> DataFrame:
+        """Near-duplicate function pairs of every file (Dice >= 0.8) with names and body lengths."""
+        from pyspark.sql import functions as F
+
+        from lintlake.operators import similarity as SIM
+        spans = self.functions.select("file_id", F.col("ln_start").alias("ln"), "ln_end", "qualified_name")
+        own = S.owner(self.lines.select("file_id", "ln", "line"), spans)
+        bodies = own.groupBy("file_id", F.col("o.ln").alias("fn_ln")).agg(
+            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ln", "line"))), lambda x: x["line"]), "\n").alias("body"))
+        items = bodies.select(F.col("file_id").alias("grp"), F.col("fn_ln").alias("item"), "body")
+        el = SIM.elements(items, F.regexp_extract_all("body", F.lit(SIM.CODE_TOKEN), 0))
+        pairs = SIM.similar_pairs(el, 0.8)
+        names = self.functions.select("file_id", "ln_start", "qualified_name")
+        lens = bodies.select(F.col("file_id").alias("grp"), F.col("fn_ln"), F.length("body").alias("len"))
+        out = (pairs.join(names.select(F.col("file_id").alias("grp"), F.col("ln_start").alias("a"), F.col("qualified_name").alias("fn_a")), ["grp", "a"])
+               .join(names.select(F.col("file_id").alias("grp"), F.col("ln_start").alias("b"), F.col("qualified_name").alias("fn_b")), ["grp", "b"])
+               .join(lens.select("grp", F.col("fn_ln").alias("a"), F.col("len").alias("len_a")), ["grp", "a"])
+               .join(lens.select("grp", F.col("fn_ln").alias("b"), F.col("len").alias("len_b")), ["grp", "b"]))
+        return self._keep(out, "fn_pairs")
+
     @cached_property
     def classes(self) -> DataFrame:
         return S.classes(self.lines, self.stmts, self.blocks, self.defs)
