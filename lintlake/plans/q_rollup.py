@@ -236,13 +236,13 @@ def r12_invariants_and_boundaries(spark, sf_dir):
 
 
 @query("s01_directory_scan", with_facts("""
-SELECT file_id, sha256(content) AS content_hash, CAST(len(string_split(content, chr(10))) AS BIGINT) AS n_lines FROM code_files
+SELECT file_id // 10 AS pkg, sha256(content) AS content_hash, CAST(len(string_split(content, chr(10))) AS BIGINT) AS n_lines FROM code_files
 """))
 def s01_directory_scan(spark, sf_dir):
-    """The corpus written as a folder tree under the checkpoint folder, then scanned recursively."""
+    """The corpus written as a nested folder tree under the checkpoint folder, then scanned recursively."""
     root = sinks.write_tree(_sub(spark, sf_dir).files, sinks.scratch(spark, "tree"))
     t = sinks.scan_tree(spark, root)
-    return t.select("file_id", F.sha2("content", 256).alias("content_hash"), F.size(F.split("content", "\n")).cast("bigint").alias("n_lines"))
+    return t.select("pkg", F.sha2("content", 256).alias("content_hash"), F.size(F.split("content", "\n")).cast("bigint").alias("n_lines"))
 
 
 @query("s04_report_round_trip", _r("SELECT * FROM critic_all"))

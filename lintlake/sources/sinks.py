@@ -42,16 +42,17 @@ def load(spark: SparkSession, fmt: str, path: str, schema: T.StructType) -> Data
 
 
 def write_tree(files: DataFrame, root: str) -> str:
-    """Materialise a corpus as a folder tree: one text file per source file (partition folder per file)."""
-    files.select("file_id", "content").repartition("file_id").write.mode("overwrite").partitionBy("file_id").text(root)
+    """Materialise a corpus as a nested folder tree: one folder per package, one text file per source file."""
+    (files.select((F.col("file_id") / 10).cast("bigint").alias("pkg"), "content")
+     .repartition("pkg").write.option("maxRecordsPerFile", 1).mode("overwrite").partitionBy("pkg").text(root))
     return root
 
 
 def scan_tree(spark: SparkSession, root: str) -> DataFrame:
-    """S01 on a written tree: recursive whole-file scan; the id comes back from the folder name."""
+    """S01 on a written tree: recursive whole-file scan; the package comes back from the folder name."""
     raw = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt")
            .text(root, wholetext=True).select(F.col("value").alias("content"), F.col("_metadata.file_path").alias("uri")))
-    return raw.select(F.regexp_extract("uri", r"file_id=(\d+)", 1).cast("bigint").alias("file_id"), "uri",
+    return raw.select(F.xxhash64("uri").alias("file_id"), F.regexp_extract("uri", r"pkg=(\d+)", 1).cast("bigint").alias("pkg"), "uri",
                       # The text writer ends every record with one line separator; drop exactly that one.
                       F.when(F.col("content").endswith("\n"), F.expr("substring(content, 1, length(content) - 1)"))
                       .otherwise(F.col("content")).alias("content"))
