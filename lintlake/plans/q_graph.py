@@ -95,8 +95,7 @@ def g03_stdlib_imports(spark, sf_dir):
 
 
 def _reach(spark, sf_dir):
-    sub = _sub(spark, sf_dir)
-    return G.closure(G.file_edges(G.resolve_imports(spark, sub.files, sub.imports)))
+    return _sub(spark, sf_dir).reach
 
 
 @query("g04_transitive_dependencies", _g("""

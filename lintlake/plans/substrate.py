@@ -115,6 +115,13 @@ class Substrate:
                .join(lens.select("grp", F.col("fn_ln").alias("b"), F.col("len").alias("len_b")), ["grp", "b"]))
         return self._keep(out, "fn_pairs")
 
+    @cached_property
+    def reach(self) -> DataFrame:
+        """Transitive closure of the resolved file-import graph (shared by G04-G06)."""
+        from lintlake.operators import graph as G
+        spark = self.files.sparkSession
+        return self._keep(G.closure(G.file_edges(G.resolve_imports(spark, self.files, self.imports))), "reach")
+
     @cached_property
     def classes(self) -> DataFrame:
         return S.classes(self.lines, self.stmts, self.blocks, self.defs)
