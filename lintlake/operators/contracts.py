@@ -130,7 +130,7 @@ def loop_facts(fst: DataFrame, blocks: DataFrame) -> DataFrame:
     inside = enclosing(acc, spans).groupBy("file_id", F.col("b.ln").alias("ln")).agg(
         F.array_join(F.array_sort(F.collect_set("acc")), ",").alias("accumulators"))
     return loops.join(inside, ["file_id", "ln"], "left").select(
-        "file_id", "fn_ln", F.col("ln").cast("bigint").alias("ln"), "kind", "loop_var", F.coalesce("accumulators", F.lit("")).alias("accumulators"),
+        "file_id", F.col("fn_ln").cast("bigint").alias("fn_ln"), F.col("ln").cast("bigint").alias("ln"), "kind", "loop_var", F.coalesce("accumulators", F.lit("")).alias("accumulators"),
         "bounded")
 
 

@@ -235,7 +235,7 @@ def c13_merged_contracts(spark, sf_dir):
 
 
 @query("c14_loop_facts", _c("""
-SELECT l.file_id, l.fn_ln, CAST(l.ln AS BIGINT) AS ln, l.kind, regexp_extract(l.code, '^for\\s+([A-Za-z_][A-Za-z0-9_]*)', 1) AS loop_var,
+SELECT l.file_id, CAST(l.fn_ln AS BIGINT) AS fn_ln, CAST(l.ln AS BIGINT) AS ln, l.kind, regexp_extract(l.code, '^for\\s+([A-Za-z_][A-Za-z0-9_]*)', 1) AS loop_var,
   coalesce((SELECT string_agg(DISTINCT regexp_extract(a.code, '^([A-Za-z_][A-Za-z0-9_.]*)', 1), ',' ORDER BY regexp_extract(a.code, '^([A-Za-z_][A-Za-z0-9_.]*)', 1))
             FROM fst a JOIN blocks b ON b.file_id = a.file_id AND b.ln = l.ln
             WHERE a.file_id = l.file_id AND a.kind = 'augassign' AND regexp_matches(a.code, '^[A-Za-z_][A-Za-z0-9_.]*\\s*(\\+|\\*)=')

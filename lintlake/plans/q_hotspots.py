@@ -27,11 +27,11 @@ def _cand_sql() -> str:
     for key, col in cols.items():
         v, t, d = th[key]
         parts.append(f"SELECT file_id, 'function' AS entity_type, name, qualified_name, ln_start, ln_end, '{key}' AS key, "
-                     f"'{t}' AS hotspot_type, CAST({col} AS DOUBLE) AS value, {v} AS threshold, '{d}' AS template FROM fmetrics")
+                     f"'{t}' AS hotspot_type, CAST({col} AS DOUBLE) AS value, CAST({v} AS DOUBLE) AS threshold, '{d}' AS template FROM fmetrics")
     for key, col in (("methods", "n_methods"), ("class_loc", "ln_end - ln_start + 1")):
         v, t, d = th[key]
         parts.append(f"SELECT file_id, 'class' AS entity_type, name, name AS qualified_name, ln_start, ln_end, '{key}' AS key, "
-                     f"'{t}' AS hotspot_type, CAST({col} AS DOUBLE) AS value, {v} AS threshold, '{d}' AS template FROM classes")
+                     f"'{t}' AS hotspot_type, CAST({col} AS DOUBLE) AS value, CAST({v} AS DOUBLE) AS threshold, '{d}' AS template FROM classes")
     return " UNION ALL ".join(parts)
 
 
@@ -86,7 +86,7 @@ def h09_band_advice(spark, sf_dir):
 @query("h10_threshold_override", with_metrics("""
 SELECT file_id, qualified_name, hotspot_type, value, threshold FROM (
   SELECT file_id, qualified_name, hotspot_type, value,
-         CASE WHEN key = 'cyclomatic' THEN 5.0 WHEN key = 'function_loc' THEN 20.0 ELSE threshold END AS threshold
+         CASE WHEN key = 'cyclomatic' THEN CAST(5.0 AS DOUBLE) WHEN key = 'function_loc' THEN CAST(20.0 AS DOUBLE) ELSE threshold END AS threshold
   FROM hs_cand) WHERE value > threshold
 """, HS_CTES))
 def h10_threshold_override(spark, sf_dir):

@@ -253,11 +253,11 @@ def s04_report_round_trip(spark, sf_dir):
 
 
 @query("s05_nested_report", _r("""
-SELECT t.file_id, to_json(struct_pack(file := c.path, total := t.total, issues := (
+SELECT t.file_id, CAST(to_json(struct_pack(file := c.path, total := t.total, issues := (
   SELECT list(struct_pack(category := category, items := items) ORDER BY category) FROM (
     SELECT category, list(struct_pack(line := ln, type := issue_type, function := function, severity := severity)
                           ORDER BY ln, issue_type, function, severity) AS items
-    FROM critic_all a WHERE a.file_id = t.file_id GROUP BY category)))) AS report
+    FROM critic_all a WHERE a.file_id = t.file_id GROUP BY category)))) AS VARCHAR) AS report
 FROM (SELECT file_id, count(*) AS total FROM critic_all GROUP BY file_id) t JOIN code_files c ON c.file_id = t.file_id
 """))
 def s05_nested_report(spark, sf_dir):
