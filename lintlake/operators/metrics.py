@@ -19,32 +19,44 @@ def _occ(col, pattern: str):
     return F.size(F.regexp_extract_all(F.coalesce(col, F.lit("")), F.lit(pattern), 0))
 
 
-def depths(stmts: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Count of enclosing control blocks of every statement (all kinds, and without ``with``)."""
+def containment(stmts: DataFrame, blocks: DataFrame) -> DataFrame:
+    """One containment pass per statement: innermost enclosing block and counts of enclosing blocks by kind.
+
+    Blocks of one indent level never overlap, so counting the containing blocks of the
+    wanted kinds among all containing blocks equals a pass over those kinds alone.
+    """
     pts = stmts.select("file_id", "ln", "indent")
-    spans = blocks.filter(F.col("kind").isin(P.NEST_KINDS)).select(
-        "file_id", "ln", "ln_end", "indent", F.col("kind").alias("bkind"))
+    spans = blocks.select("file_id", "ln", "ln_end", "indent", F.col("kind").alias("bkind"))
+    k = F.col("b.bkind")
     return (
         enclosing(pts, spans)
         .groupBy("file_id", "ln")
         .agg(
-            F.count(F.lit(1)).alias("d_all"),
-            F.count_if(F.col("b.bkind") != "with").alias("d_cog"),
-            F.count_if(F.col("b.bkind").isin(*P.LOOP_KINDS)).alias("d_loop"),
-            F.count_if(F.col("b.bkind") == "for").alias("d_for"),
-            F.count_if(F.col("b.bkind") == "with").alias("d_with"),
+            F.max_by("b", "d").alias("p"),
+            F.count_if(k.isin(*P.NEST_KINDS)).alias("d_all"),
+            F.count_if(k.isin(*P.COG_NEST_KINDS)).alias("d_cog"),
+            F.count_if(k.isin(*P.LOOP_KINDS)).alias("d_loop"),
+            F.count_if(k == "for").alias("d_for"),
+            F.count_if(k == "with").alias("d_with"),
         )
+        .select("file_id", "ln", F.col("p.ln").alias("parent_ln"), F.col("p.bkind").alias("parent_kind"),
+                "d_all", "d_cog", "d_loop", "d_for", "d_with")
     )
 
 
-def fn_stmts(stmts: DataFrame, blocks: DataFrame, functions: DataFrame) -> DataFrame:
+def depths(stmts: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Counts of enclosing control blocks of every statement (all kinds, without ``with``, loops, for, with)."""
+    return containment(stmts, blocks).drop("parent_ln", "parent_kind")
+
+
+def fn_stmts(stmts: DataFrame, blocks: DataFrame, functions: DataFrame, depth: DataFrame | None = None) -> DataFrame:
     """Statements of each function with nesting measured from the function header.
 
     Columns: statement columns + fn_ln, qualified_name, nest (all kinds), nest_cog, in_loop,
     in_for, in_with.
     """
     kinds = ("d_all", "d_cog", "d_loop", "d_for", "d_with")
-    d = depths(stmts, blocks)
+    d = depth.select("file_id", "ln", *kinds) if depth is not None else depths(stmts, blocks)
     st = stmts.join(d, ["file_id", "ln"], "left").select(
         "*", *[F.coalesce(F.col(c), F.lit(0)).alias(c + "_") for c in kinds]
     ).drop(*kinds)

@@ -61,7 +61,7 @@ class Substrate:
 
     @cached_property
     def fn_stmts(self) -> DataFrame:
-        fst = M.fn_stmts(self.stmts, self.blocks, self.functions).join(self.parent, ["file_id", "ln"], "left")
+        fst = M.fn_stmts(self.stmts, self.blocks, self.functions, self.containment).join(self.parent, ["file_id", "ln"], "left")
         return self._keep(fst, "fn_stmts")
 
     @cached_property
@@ -70,7 +70,12 @@ class Substrate:
 
     @cached_property
     def parent(self) -> DataFrame:
-        return self._keep(FX.parents(self.stmts, self.blocks), "parent")
+        return self.containment.select("file_id", "ln", "parent_ln", "parent_kind")
+
+    @cached_property
+    def containment(self) -> DataFrame:
+        """Innermost enclosing block and enclosing-block counts of every statement (one pass)."""
+        return self._keep(M.containment(self.stmts, self.blocks), "containment")
 
     @cached_property
     def facts(self) -> DataFrame:
