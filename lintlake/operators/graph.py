@@ -1,8 +1,8 @@
 """Graph operators (G01-G14): import edges, resolution, closure, cycles, unused imports, class coupling.
 
 Closure is an iterative frontier join: each round joins the new pairs to the edge list,
-removes pairs already known with an anti join and cuts lineage with ``checkpoint()``
-(reliable, into the session's checkpoint folder).  It stops on an empty frontier.
+removes pairs already known with an anti join and cuts lineage by writing the round's
+result into the session's checkpoint folder (computed once, re-read on executor loss).  It stops on an empty frontier.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintlake.operators.critics import ATTR_BASE, FREE_NAME
+from lintlake.session import materialize
 
 # Standard-library module names come from the running interpreter (a rule, not a copied list).
 STDLIB = sorted(set(sys.stdlib_module_names))
@@ -68,15 +69,15 @@ def file_edges(resolved: DataFrame) -> DataFrame:
 def closure(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """All (src, dst) pairs with dst reachable from src in one or more steps."""
     e = edges.select("src", "dst").distinct()
-    reach = e.checkpoint(eager=True)
+    reach = materialize(e, "reach")
     frontier = reach
     for _ in range(max_rounds):
         step = frontier.alias("f").join(e.alias("e"), F.col("f.dst") == F.col("e.src")).select(
             F.col("f.src").alias("src"), F.col("e.dst").alias("dst")).distinct()
-        new = step.join(reach, ["src", "dst"], "left_anti").checkpoint(eager=True)
+        new = materialize(step.join(reach, ["src", "dst"], "left_anti"), "frontier")
         if new.isEmpty():
             break
-        reach = reach.unionByName(new).checkpoint(eager=True)
+        reach = materialize(reach.unionByName(new), "reach")
         frontier = new
     return reach
 
