@@ -53,3 +53,36 @@ def test_components_min_label(spark):
     p = spark.createDataFrame([(0, 1, 2), (0, 2, 3), (0, 7, 8)], "grp int, a int, b int")
     comp = {r.item: r.component for r in SIM.components(p).collect()}
     assert comp == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7}
+
+
+def test_document_groups_equal_brute_force(spark):
+    from lintlake.plans.q_patterns import d11_document_duplicate_groups
+
+    got = sorted(r.n_docs for r in d11_document_duplicate_groups(spark, SF).collect())
+    docs = sorted(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect(), key=lambda r: r.doc_id)
+    parent = {d.doc_id: d.doc_id for d in docs}
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    def union(a, b):
+        ra, rb = find(a), find(b)
+        if ra != rb:
+            parent[max(ra, rb)] = min(ra, rb)
+
+    rep = {}
+    for d in docs:
+        if d.text in rep:
+            union(rep[d.text], d.doc_id)
+        else:
+            rep[d.text] = d.doc_id
+    items = sorted((i, [t for t in txt.lower().split() if t]) for txt, i in rep.items())
+    for (a, ta), (b, tb) in itertools.combinations(items, 2):
+        if ta and tb and _dice(ta, tb) >= 0.8:
+            union(a, b)
+    sizes = Counter(find(d.doc_id) for d in docs)
+    want = sorted(n for n in sizes.values() if n > 1)
+    assert got == want
