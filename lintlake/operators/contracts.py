@@ -80,7 +80,6 @@ def contract_table(functions: DataFrame, items: DataFrame) -> DataFrame:
 
 def violations(contracts: DataFrame, items: DataFrame, fst: DataFrame) -> DataFrame:
     """Undocumented raise, documented-but-not-raised, complex without contract, asserts undocumented."""
-    base = contracts.select("file_id", "fn_ln", "name")
     ex = contracts.select("file_id", "fn_ln", "name", F.explode(F.array_except(
         F.array_except("raises_in_code", F.array(*[F.lit(e) for e in GENERIC_EXCEPTIONS])), "raises")).alias("exc"))
     c06 = ex.select("file_id", "fn_ln", "name", F.lit("undocumented_raise").alias("violation_type"), "exc", F.lit("low").alias("severity"))
@@ -98,7 +97,6 @@ def violations(contracts: DataFrame, items: DataFrame, fst: DataFrame) -> DataFr
     c09 = j.filter((F.coalesce("asserts", F.lit(0)) > 0) & F.col("doc_pre").isNull()).select(
         "file_id", "fn_ln", "name", F.lit("undocumented_precondition").alias("violation_type"), F.lit(None).cast("string").alias("exc"),
         F.lit("low").alias("severity"))
-    del base
     return c06.unionByName(c07).unionByName(c08).unionByName(c09)
 
 
