@@ -129,7 +129,7 @@ class Substrate:
 
     @cached_property
     def classes(self) -> DataFrame:
-        return S.classes(self.lines, self.stmts, self.blocks, self.defs)
+        return self._keep(S.classes(self.lines, self.stmts, self.blocks, self.defs), "classes")
 
     @cached_property
     def imports(self) -> DataFrame:
