@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintlake.llm import mixing, urlfilter
+from lintlake.llm import mixing, packedids, packing, urlfilter
 from lintlake.llm.common import table
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -21,12 +21,34 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op3_packing")
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best-fit packing of all documents into sequences of 1024 tokens."""
+    packed = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), with_ids=False)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 @query("op4_mixing")
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sainte-Laguë mix of all documents by source."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op5_packed_ids")
+def op5_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as bit-packed ids in files, read back."""
+    docs = table(spark, sf_dir, "documents")
+    folder = packedids.new_folder(docs)
+    files = packedids.write(docs, folder, tokenizer_path("word_bpe_49k.json"), vocabulary=49408)
+    return packedids.digest(files, folder)
+
+
 @query("op9_url_filter")
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules and path templates over all page urls."""
