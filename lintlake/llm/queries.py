@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintlake.llm import mixing, packedids, packing, urlfilter
+from lintlake.llm import mixing, ngramjoin, packedids, packing, urlfilter
 from lintlake.llm.common import table
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -27,6 +27,12 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query("op2_ngram_join")
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all documents: 3-word shingles, Jaccard of at least 0.9."""
+    return ngramjoin.components(table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
 @query("op3_packing")
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best-fit packing of all documents into sequences of 1024 tokens."""
