@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintlake.llm import mixing, ngramjoin, packedids, packing, suffixdedup, urlfilter
-from lintlake.llm.common import table
+from lintlake.llm import mixing, ngramjoin, packedids, packing, suffixdedup, suffixtree, urlfilter
+from lintlake.llm.common import id_remainder, table
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -55,6 +55,13 @@ def op5_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packedids.digest(files, folder)
 
 
+@query("op6_suffix_tree")
+def op6_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of all documents under a probabilistic suffix tree of six sevenths of them."""
+    out = suffixtree.score(table(spark, sf_dir, "documents"), id_remainder(F.col("doc_id"), 7) != 2)
+    return out.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", F.col("train_tokens").cast("long").alias("train_tokens"), "base_score", "score")
+
+
 @query("op9_url_filter")
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules and path templates over all page urls."""
