@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintlake.llm import mixing, ngramjoin, packedids, packing, suffixdedup, suffixtree, urlfilter
+from lintlake.llm import langid, mixing, ngramjoin, packedids, packing, suffixdedup, suffixtree, urlfilter
 from lintlake.llm.common import id_remainder, table
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -27,6 +27,15 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query("op1_language_id")
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents, learned from two thirds of them."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = id_remainder(F.col("doc_id"), 3) == 1
+    out = langid.identify(docs, ~held_out)
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 @query("op2_ngram_join")
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents: 3-word shingles, Jaccard of at least 0.9."""
