@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintlake.llm import langid, mixing, ngramjoin, packedids, packing, suffixdedup, suffixtree, urlfilter
+from lintlake.llm import langid, mixing, ngramjoin, nndescent, packedids, packing, suffixdedup, suffixtree, threshold, urlfilter
 from lintlake.llm.common import id_remainder, table
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -71,6 +71,30 @@ def op6_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", F.col("train_tokens").cast("long").alias("train_tokens"), "base_score", "score")
 
 
+@query("op7_nn_descent")
+def op7_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors, found by graph search, of every twentieth vector."""
+    return nndescent.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+OP8_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), p -> p[1] * p[2])) AS BIGINT) AS score
+  FROM v q, v c WHERE q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20
+"""
+
+
+@query("op8_threshold", OP8_SQL)
+def op8_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest integer inner products of every twentieth vector."""
+    return threshold.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 @query("op9_url_filter")
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules and path templates over all page urls."""
