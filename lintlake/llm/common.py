@@ -51,3 +51,13 @@ def running_offset(totals: DataFrame, order: list[str], value: str, out: str) ->
     """
     w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return totals.withColumn(out, F.coalesce(F.sum(value).over(w), F.lit(0)))
+
+
+def carried(docs: DataFrame, *apart: str) -> Column:
+    """All columns but ``apart`` as one struct ``row``, so that no name of the input can clash with an operator's own."""
+    return F.struct(*[F.col(f"`{c}`").alias(c) for c in docs.columns if c not in apart], F.lit(True).alias("__row")).alias("row")
+
+
+def restored(df: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
+    """The original ``columns`` from ``row``, or from ``changed`` where an operator made them anew."""
+    return df.select(*[(changed[c] if c in changed else F.col("row").getField(c)).alias(c) for c in columns])

@@ -29,6 +29,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lintlake.llm.textbuf import BYTE_CODE, U, chunks, mix, prefix_sums, ranges, span_hash, words
 
@@ -176,10 +177,10 @@ def viterbi(scores: np.ndarray, row: np.ndarray, rows: int, penalty: float) -> n
 
 
 def predict(docs: DataFrame, model: Model, penalty: float = 12.0) -> DataFrame:
-    """(doc_id, lang_pred, score, spans): spans are (start, stop, lang) in bytes of the text."""
+    """The input's columns (among them ``text``) with lang_pred, score and spans (start, stop, lang) in bytes of the text."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     span = pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("lang", pa.string())])
-    schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("spans", pa.list_(span))])
+    names_out = [*docs.columns, "lang_pred", "score", "spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
@@ -188,7 +189,6 @@ def predict(docs: DataFrame, model: Model, penalty: float = 12.0) -> DataFrame:
         memo: dict[int, int] = {}
         table, letters = np.zeros((1 << 16, k)), np.zeros(1 << 16, np.int64)
         for b in batches:
-            doc = b.column("doc_id")
             for i, j, data, off in chunks(b.column("text")):
                 rows = j - i
                 code, row, uniq, start, end, at = _distinct_words(data, off)
@@ -239,13 +239,14 @@ def predict(docs: DataFrame, model: Model, penalty: float = 12.0) -> DataFrame:
                 base = off[row[s0]]
                 ends = np.concatenate([[0], np.cumsum(np.bincount(row[s0], minlength=rows))]).astype(np.int32)
                 spans = pa.StructArray.from_arrays([pa.array(start[s0] - base, pa.int64()), pa.array(end[last] - base, pa.int64()), pa.array(names[label[s0]], pa.string())], fields=list(span))
-                yield pa.RecordBatch.from_arrays([doc.slice(i, rows), pa.array(names[pick], pa.string()), pa.array(np.clip(np.nan_to_num(score), 0, 1)),
-                                                  pa.ListArray.from_arrays(pa.array(ends), spans)], schema=schema)
+                yield pa.RecordBatch.from_arrays([*(c.slice(i, rows) for c in b.columns), pa.array(names[pick], pa.string()), pa.array(np.clip(np.nan_to_num(score), 0, 1)),
+                                                  pa.ListArray.from_arrays(pa.array(ends), spans)], names=names_out)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double, spans array<struct<start:long,stop:long,lang:string>>")
+    added = T.StructType.fromDDL("lang_pred string, score double, spans array<struct<start:long,stop:long,lang:string>>")
+    return docs.mapInArrow(run, T.StructType(docs.schema.fields + added.fields))
 
 
 def identify(docs: DataFrame, training: Column, sample: int = 2000, penalty: float = 12.0) -> DataFrame:
     """``predict`` with a model of the rows of (doc_id, text, lang) that ``training`` selects."""
     model = learn(docs.filter(training).select("doc_id", "text", "lang"), sample)
-    return predict(docs, model, penalty)
+    return predict(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model, penalty)

@@ -25,7 +25,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lintlake.llm.common import WORD, keep
+from lintlake.llm.common import WORD, carried, keep
 
 WEIGHTS = (1, 2, 3)
 # Primes above every shard's number of blocks, so each is coprime to it.
@@ -76,15 +76,18 @@ def seats(parties: DataFrame, group: list[str], party: list[str], share: str, n_
     return p.join(won, on, "left").select(*parties.columns, (F.col("_sure") + F.coalesce("_won", F.lit(0))).alias("quota"))
 
 
-def mix(docs: DataFrame, block_words: int = 16, shard_words: int = 1 << 21, max_repeat: int = 3, seed: int = 20260101) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, copies): what the mix takes of every document.
+def mix(docs: DataFrame, block_words: int = 16, shard_words: int = 1 << 21, max_repeat: int = 3, seed: int = 20260101, rows: bool = False) -> DataFrame:
+    """(doc_id, source, mark, size, source_size, target, taken, copies[, row]): what the mix takes of every document.
 
     ``taken`` counts words, repeats included; ``copies`` is how often the block of the document's first word is taken,
-    an unbiased choice of whole documents for callers that cannot cut them.
+    an unbiased choice of whole documents for callers that cannot cut them.  ``rows`` carries the input's columns along.
     """
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
     d = docs.select("doc_id", "source", size.alias("size"), F.xxhash64(F.col("doc_id"), F.length("text"), F.lit(seed)).alias("mark"))
-    d = keep(d, "mix-sizes")
+    if rows:
+        d = docs.select("doc_id", "source", size.alias("size"), F.xxhash64(F.col("doc_id"), F.length("text"), F.lit(seed)).alias("mark"), carried(docs))
+    else:
+        d = keep(d, "mix-sizes")
     per_source = d.groupBy("source").agg(F.sum("size").alias("source_size"))
     t = keep(targets(per_source, max_repeat), "mix-targets")
 
@@ -120,4 +123,4 @@ def mix(docs: DataFrame, block_words: int = 16, shard_words: int = 1 << 21, max_
     taken = F.aggregate(F.sequence("lo", "hi"), F.lit(0).cast("long"), lambda acc, k: acc + times(k) * overlap(k))
     d = d.withColumns({"taken": F.when(F.col("size") > 0, taken).otherwise(F.lit(0)).cast("long"),
                        "copies": F.when(F.col("size") > 0, times(F.col("lo"))).otherwise(F.lit(0))})
-    return d.select("doc_id", "source", "mark", "size", "source_size", "target", "taken", "copies")
+    return d.select("doc_id", "source", "mark", "size", "source_size", "target", "taken", "copies", *(["row"] if rows else []))

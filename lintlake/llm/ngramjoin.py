@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintlake.llm.common import keep
+from lintlake.llm.common import carried, keep, restored
 from lintlake.llm.textbuf import U, chunks, mix, signed, word_hashes
 from lintlake.operators.components import connected_components
 
@@ -134,9 +134,9 @@ def _sets(data: np.ndarray, off: np.ndarray, rows: int, width: int):
 
 
 def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(doc_id, n, s1, s2, counts, p1, p2): set size, set id, bucket counts and the prefix under each order."""
+    """(th, doc_id, n, s1, s2, counts, p1, p2): text hash, set size, set id, bucket counts and the prefix under each order."""
     hot = docs.sparkSession.sparkContext.broadcast(frequent(docs, width))
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("counts", pa.list_(pa.int32())),
+    schema = pa.schema([("th", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("counts", pa.list_(pa.int32())),
                         ("p1", pa.list_(pa.int64())), ("p2", pa.list_(pa.int64()))])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,10 +163,11 @@ def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
                     lists.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(s[pick]))))
                 c = np.minimum(np.bincount(own * BUCKETS + (s >> U(58)).astype(np.int64), minlength=rows * BUCKETS), 1 << 30)
                 fixed = pa.ListArray.from_arrays(pa.array(np.arange(0, rows * BUCKETS + 1, BUCKETS, dtype=np.int32)), pa.array(c.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([doc.slice(i, rows), pa.array(n), pa.array(signed(ids[0])), pa.array(signed(ids[1])), fixed, *lists], schema=schema)
+                yield pa.RecordBatch.from_arrays([b.column("th").slice(i, rows), doc.slice(i, rows), pa.array(n), pa.array(signed(ids[0])), pa.array(signed(ids[1])), fixed, *lists], schema=schema)
 
     ddl = "doc_id long, n long, s1 long, s2 long, counts array<int>, p1 array<long>, p2 array<long>"
-    return keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, ddl), "ngram-signatures")
+    texts = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    return keep(texts.mapInArrow(sign, "th long, " + ddl), "ngram-signatures")
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -189,8 +190,10 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
 
 def components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every document."""
-    spark = docs.sparkSession
+    """(doc_id, th, n_shingles, component_id, component) for every document.
+
+    ``component`` names the class even where its ids are null (null for empty sets); th = xxhash64(text).
+    """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sig = signatures(docs, width, percent)
     some = sig.filter("n > 0")
@@ -258,6 +261,27 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     comp = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "cid")
     named = reps.join(comp, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = named.join(least, "component").select("s1", "s2", "component_id")
-    out = some.select("doc_id", "n", "s1", "s2").join(named, same).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return out.unionByName(sig.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    named = named.join(least, "component").select("s1", "s2", "component_id", "component")
+    out = some.select("doc_id", "th", "n", "s1", "s2").join(named, same).select("doc_id", "th", F.col("n").alias("n_shingles"), "component_id", "component")
+    none = sig.filter("n = 0").select("doc_id", "th", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("component"))
+    return out.unionByName(none)
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The input's rows without near duplicates: the smallest (id, text) of every component stays, once.
+
+    Documents without words are no one's duplicates and all stay.
+    """
+    found = keep(components(docs, width, percent), "ngram-classes")
+    lead = found.filter("component IS NOT NULL").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id", "th")).alias("x")).select("x.doc_id", "x.th")
+    stay = lead.select("doc_id", "th", F.lit(True).alias("once")).unionByName(found.filter("component IS NULL").select("doc_id", "th", F.lit(False).alias("once")).distinct())
+    times = found.groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("c"))
+    key = [F.col("_d"), F.col("_t")]
+    stay = stay.join(times.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "c"), F.col("doc_id").eqNullSafe(key[0]) & F.col("th").eqNullSafe(key[1]))
+    stay = keep(stay.select("_d", "_t", (F.col("once") & (F.col("c") > 1)).alias("_again")), "ngram-stay")
+    if stay.count() <= BROADCAST_ROWS:
+        stay = F.broadcast(stay)
+    d = docs.select(F.col("doc_id").cast("long").alias("_i"), F.xxhash64("text").alias("_h"), carried(docs))
+    d = d.join(stay, F.col("_i").eqNullSafe(key[0]) & F.col("_h").eqNullSafe(key[1]))
+    again = d.filter("_again").groupBy("_i", "_h").agg(F.first("row").alias("row"))  # repeated rows: one stays
+    return restored(d.filter("NOT _again").select("row").unionByName(again.select("row")), docs.columns)

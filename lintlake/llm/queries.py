@@ -39,7 +39,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_ngram_join")
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents: 3-word shingles, Jaccard of at least 0.9."""
-    return ngramjoin.components(table(spark, sf_dir, "documents"), width=3, percent=90)
+    return ngramjoin.components(table(spark, sf_dir, "documents"), width=3, percent=90).select("doc_id", "n_shingles", "component_id")
 
 
 @query("op3_packing")

@@ -32,8 +32,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lintlake.llm.common import keep, partitions
+from lintlake.llm.common import carried, keep, partitions
 from lintlake.llm.textbuf import BYTE_CODE, U, buffers, chunks, mix, powers, prefix_sums, ranges, signed, span_hash
 
 SLICE = 1 << 25  # longer texts are scanned in slices that overlap by a window, so places fit the key's 26 bits
@@ -262,26 +263,25 @@ def repeats(docs: DataFrame, length: int = 400, gram: int = 256, first: bool = F
     return out.unionByName(compared)
 
 
-def remove(docs: DataFrame, length: int = 400, gram: int = 256, first: bool = False, group_limit: int = 32, columns: list[str] | None = None) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept, spans): every document without its repeated bytes.
+def remove(docs: DataFrame, length: int = 400, gram: int = 256, first: bool = False, group_limit: int = 32, whole_chars: bool = False) -> DataFrame:
+    """(doc_id, row, n_bytes, n_removed, n_spans, kept_sha256, kept, spans): every document without its repeated bytes.
 
-    ``kept`` is the remaining bytes, ``spans`` the maximal removed runs as [start, end) pairs.
+    ``kept`` is the remaining bytes, ``spans`` the maximal removed runs as [start, stop), ``row`` the input's other columns.
+    With ``whole_chars`` a run leaves the characters that it holds only in part.
     """
     runs = repeats(docs, length, gram, first, group_limit)
     spans = runs.groupBy("doc_id", "th").agg(F.collect_set(F.struct("a", "z")).alias("runs"))
     s = spans.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "runs")
-    d = keyed(docs)
-    d = d.join(s, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t")), "left").select("doc_id", "text", "runs")
-    pair = pa.struct([("start", pa.int64()), ("stop", pa.int64())])
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()),
-                        ("kept", pa.binary()), ("spans", pa.list_(pair))])
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text"), carried(docs, "text"))
+    d = d.join(s, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t")), "left").select("doc_id", "row", "text", "runs")
 
     def trim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, off = buffers(b.column("text"))
+            tail = (data & 0xC0) == 0x80  # bytes inside a character
             raw = data.tobytes()
-            rows, size = [], 0
             runs_ = b.column("runs")
+            removed, count, sha, kept, cuts_of = [], [], [], [], []
             for r in range(b.num_rows):
                 text = raw[off[r] : off[r + 1]]
                 cuts: list[list[int]] = []
@@ -291,18 +291,28 @@ def remove(docs: DataFrame, length: int = 400, gram: int = 256, first: bool = Fa
                             cuts[-1][1] = max(z, cuts[-1][1])
                         else:
                             cuts.append([a, z])
+                if whole_chars:
+                    inside = tail[off[r] : off[r + 1]]
+                    for c in cuts:
+                        while c[0] < c[1] and inside[c[0]]:
+                            c[0] += 1
+                        while c[0] < c[1] < len(text) and inside[c[1]]:
+                            c[1] -= 1
+                    cuts = [c for c in cuts if c[0] < c[1]]
                 at, left = 0, []
                 for a, z in cuts:
                     left.append(text[at:a])
                     at = z
                 left.append(text[at:])
-                kept = b"".join(left)
-                rows.append({"doc_id": b.column("doc_id")[r].as_py(), "n_bytes": len(text), "n_removed": len(text) - len(kept), "n_spans": len(cuts),
-                             "kept_sha256": hashlib.sha256(kept).hexdigest(), "kept": kept, "spans": [{"start": a, "stop": z} for a, z in cuts]})
-                size += len(kept)
-                if size > 8 << 20:
-                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
-                    rows, size = [], 0
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
-
-    return d.mapInArrow(trim, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<start:long,stop:long>>")
+                rest = b"".join(left)
+                removed.append(len(text) - len(rest))
+                count.append(len(cuts))
+                sha.append(hashlib.sha256(rest).hexdigest())
+                kept.append(rest)
+                cuts_of.append([{"start": a, "stop": z} for a, z in cuts])
+            cols = [b.column("doc_id"), b.column("row"), pa.array(np.diff(off)), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(sha, pa.string()),
+                    pa.array(kept, pa.binary()), pa.array(cuts_of, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "row", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"])
+
+    added = T.StructType.fromDDL("n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<start:long,stop:long>>")
+    return d.mapInArrow(trim, T.StructType([d.schema["doc_id"], d.schema["row"], *added.fields]))
