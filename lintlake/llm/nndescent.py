@@ -179,7 +179,7 @@ def search(nodes: DataFrame, edges: DataFrame, starts: DataFrame, ef: int) -> Da
             for r in range(b.num_rows):
                 new = b.column("new")[r].values
                 nid = new.field("v").to_numpy()
-                s = _rows(new.field("half")).astype(np.float32) @ own[r]
+                s = _rows(new.field("half")).astype(np.float32) @ own[r] if len(nid) else np.zeros(0, np.float32)
                 beam = b.column("beam")[r].values
                 seen = beam.field("v").to_numpy()
                 fresh = ~np.isin(nid, seen)
