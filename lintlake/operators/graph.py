@@ -66,20 +66,22 @@ def file_edges(resolved: DataFrame) -> DataFrame:
     return resolved.select(F.col("src_path").alias("src"), F.col("dst_path").alias("dst")).distinct()
 
 
-def closure(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """All (src, dst) pairs with dst reachable from src in one or more steps."""
+def closure(edges: DataFrame) -> DataFrame:
+    """All (src, dst) pairs with dst reachable from src in one or more steps.
+
+    For the small import graphs of one code base; large graphs use ``linkgraph.reachable`` from seeds.
+    """
     e = edges.select("src", "dst").distinct()
     reach = materialize(e, "reach")
     frontier = reach
-    for _ in range(max_rounds):
+    while True:
         step = frontier.alias("f").join(e.alias("e"), F.col("f.dst") == F.col("e.src")).select(
             F.col("f.src").alias("src"), F.col("e.dst").alias("dst")).distinct()
         new = materialize(step.join(reach, ["src", "dst"], "left_anti"), "frontier")
         if new.isEmpty():
-            break
+            return reach
         reach = materialize(reach.unionByName(new), "reach")
         frontier = new
-    return reach
 
 
 def with_self(reach: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 
 import duckdb
 import pandas as pd
@@ -15,6 +16,8 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     con.execute("SET threads TO 4")
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
+    if os.path.exists(f"{sf_dir}/code_files.parquet"):
+        con.execute(f"CREATE VIEW code_files AS SELECT * FROM read_parquet('{sf_dir}/code_files.parquet/*.parquet')")
     return con
 
 

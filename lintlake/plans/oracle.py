@@ -8,7 +8,6 @@ Patterns come from ``lintlake.functions.patterns`` so both sides read the same r
 from __future__ import annotations
 
 from lintlake.functions import patterns as P
-from lintlake.sources.templates import TEMPLATES
 
 
 def _lit(text: str) -> str:
@@ -19,16 +18,7 @@ def _list(values: list[str]) -> str:
     return "(" + ", ".join(_lit(v) for v in values) + ")"
 
 
-TEMPLATE_LIST = "[" + ", ".join(_lit(t) for t in TEMPLATES) + "]"
-
 BASE_CTES = f"""
-code_files AS (
-  SELECT doc_id AS file_id,
-         'pkg' || (doc_id // 10) || '/m' || doc_id || '.py' AS path,
-         replace(replace({TEMPLATE_LIST}[doc_id % 10 + 1], '{{i}}', CAST(doc_id AS VARCHAR)),
-                 '{{j}}', CAST((doc_id // 10) * 10 + (doc_id * 7 + 3) % 10 AS VARCHAR)) AS content
-  FROM documents
-),
 raw_lines AS (
   SELECT file_id, unnest(generate_series(1, len(arr))) AS ln, unnest(arr) AS line
   FROM (SELECT file_id, string_split(replace(content, chr(13) || chr(10), chr(10)), chr(10)) AS arr FROM code_files)

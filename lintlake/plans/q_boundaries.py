@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lintlake.operators import boundaries as B
-from lintlake.plans.catalog import query
+from lintlake.plans.catalog import code_query
 from lintlake.plans.oracle import _lit, _list, with_facts
 from lintlake.plans.substrate import for_corpus
 
@@ -57,7 +57,7 @@ def _bound(spark, sf_dir):
 
 
 def _register(qid: str, kind_filter: str, spark_filter):
-    @query(qid, _b(f"SELECT * FROM b_all WHERE {kind_filter}"))
+    @code_query(qid, _b(f"SELECT * FROM b_all WHERE {kind_filter}"))
     def _q(spark, sf_dir):
         return _bound(spark, sf_dir).filter(spark_filter())
 
@@ -71,13 +71,13 @@ _register("b03_privilege_boundaries", "kind = 'privilege'", lambda: F.col("kind"
 _register("b04_format_string_risk", "source_or_sink = 'string_format'", lambda: F.col("source_or_sink") == "string_format")
 
 
-@query("b05_trust_levels", _b("SELECT * FROM b_trust"))
+@code_query("b05_trust_levels", _b("SELECT * FROM b_trust"))
 def b05_trust_levels(spark, sf_dir):
     sub = for_corpus(spark, sf_dir)
     return B.trust_levels(spark, sub.fn_stmts, sub.calls, sub.functions)
 
 
-@query("b06_boundary_report", _b("""
+@code_query("b06_boundary_report", _b("""
 SELECT 'by_kind' AS dimension, kind AS key, CAST(count(*) AS BIGINT) AS n FROM b_all GROUP BY kind
 UNION ALL SELECT 'by_risk', r.key, CAST(count(b.risk) AS BIGINT) FROM (VALUES ('low'), ('medium'), ('high'), ('critical')) r(key)
           LEFT JOIN b_all b ON b.risk = r.key GROUP BY r.key

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lintlake.operators import claims as K
 from lintlake.operators import flow as FL
 from lintlake.operators import language as LG
-from lintlake.plans.catalog import query
+from lintlake.plans.catalog import code_query, query
 from lintlake.plans.oracle import _lit, with_facts
 from lintlake.plans.substrate import for_corpus
 from lintlake.sources import corpus
@@ -60,7 +60,7 @@ def _validated(spark, sf_dir):
     return K.validate(K.claims(f), f)
 
 
-@query("x22_parsed_answers", _k("SELECT file_id, qualified_name, response, answer, array_to_string(unsafe_params, ',') AS unsafe_params FROM k_parsed"))
+@code_query("x22_parsed_answers", _k("SELECT file_id, qualified_name, response, answer, array_to_string(unsafe_params, ',') AS unsafe_params FROM k_parsed"))
 def x22_parsed_answers(spark, sf_dir):
     f = for_corpus(spark, sf_dir).facts
     c = K.claims(f)
@@ -72,25 +72,25 @@ def _pair(col):
     return F.concat_ws("|", F.col(f"{col}.c"), F.col(f"{col}.r"))
 
 
-@query("k01_null_safety_claims", _k("SELECT file_id, qualified_name, answer, k01 AS validation FROM k_valid"))
+@code_query("k01_null_safety_claims", _k("SELECT file_id, qualified_name, answer, k01 AS validation FROM k_valid"))
 def k01_null_safety_claims(spark, sf_dir):
     v = _validated(spark, sf_dir)
     return v.select("file_id", "qualified_name", "answer", _pair("null_safety").alias("validation"))
 
 
-@query("k02_return_claims", _k("SELECT file_id, qualified_name, answer, k02 AS validation FROM k_valid"))
+@code_query("k02_return_claims", _k("SELECT file_id, qualified_name, answer, k02 AS validation FROM k_valid"))
 def k02_return_claims(spark, sf_dir):
     v = _validated(spark, sf_dir)
     return v.select("file_id", "qualified_name", "answer", _pair("return_paths").alias("validation"))
 
 
-@query("k03_exception_claims", _k("SELECT file_id, qualified_name, response, k03 AS validation FROM k_valid"))
+@code_query("k03_exception_claims", _k("SELECT file_id, qualified_name, response, k03 AS validation FROM k_valid"))
 def k03_exception_claims(spark, sf_dir):
     v = _validated(spark, sf_dir)
     return v.select("file_id", "qualified_name", "response", _pair("exceptions").alias("validation"))
 
 
-@query("k04_null_safety_findings", _k("""
+@code_query("k04_null_safety_findings", _k("""
 SELECT file_id, qualified_name || ':null_safety' AS issue_id, CASE WHEN split_part(k01, '|', 2) = 'confirmed' THEN 'high' ELSE 'medium' END AS severity,
        'logic' AS category, 'Null safety issue: ' || array_to_string(unsafe_params, ', ') AS title,
        function_name || ':' || CAST(line_start AS VARCHAR) AS location, 'tier3_semantic' AS tier, split_part(k01, '|', 1) AS confidence
@@ -100,7 +100,7 @@ def k04_null_safety_findings(spark, sf_dir):
     return K.null_safety_findings(_validated(spark, sf_dir)).drop("llm_metadata")
 
 
-@query("x23_contract_answers", _k("""
+@code_query("x23_contract_answers", _k("""
 SELECT file_id, qualified_name,
   CAST(CASE WHEN json_valid(response) THEN coalesce(json_array_length(json_extract(response, '$.preconditions')), 0) ELSE 0 END AS BIGINT) AS n_pre,
   CAST(CASE WHEN json_valid(response) THEN coalesce(json_array_length(json_extract(response, '$.postconditions')), 0) ELSE 0 END AS BIGINT) AS n_post,
@@ -120,7 +120,7 @@ def x23_contract_answers(spark, sf_dir):
     return K.parse_contract_answers(K.json_answers(for_corpus(spark, sf_dir).facts))
 
 
-@query("x24_prompts", _k("""
+@code_query("x24_prompts", _k("""
 SELECT f.file_id, f.qualified_name,
   'Function: ' || f.qualified_name || chr(10) || 'Parameters: ' ||
   coalesce((SELECT string_agg(p.name || ': ' || coalesce(p.type_hint, 'no type hint') || ', ' || CASE WHEN p.has_default THEN 'has default' ELSE 'no default' END,
@@ -155,7 +155,7 @@ detected AS (
 """
 
 
-@query("x17_language_by_extension", with_facts("SELECT * FROM detected", LANG_CTES))
+@code_query("x17_language_by_extension", with_facts("SELECT * FROM detected", LANG_CTES))
 def x17_language_by_extension(spark, sf_dir):
     files = LG.mixed_paths(for_corpus(spark, sf_dir).files)
     return LG.detect(spark, files)
@@ -164,13 +164,19 @@ def x17_language_by_extension(spark, sf_dir):
 @query("x18_text_language", "SELECT d.doc_id, g.guess, d.lang, g.guess = d.lang AS correct FROM documents d JOIN "
        + _kw_sql(LG.TEXT_KEYWORDS, "documents", "doc_id", "text") + " g ON g.doc_id = d.doc_id")
 def x18_text_language(spark, sf_dir):
-    """X18 at size: keyword-score language guess of every document against ``documents.lang``."""
-    docs = corpus.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    g = LG.keyword_guess(spark, docs.select("doc_id", "text"), "doc_id", "text", LG.TEXT_KEYWORDS)
-    return docs.select("doc_id", "lang").join(g, "doc_id").select("doc_id", "guess", "lang", (F.col("guess") == F.col("lang")).alias("correct"))
+    """Keyword-score language guess of every document against ``documents.lang``; array functions, no shuffle."""
+    docs = corpus.table(spark, sf_dir, "documents").select("doc_id", "text", "lang", F.split(F.lower("text"), r"[^\p{L}\p{N}_]+").alias("w"))
 
+    def hits(keywords: list[str]):
+        return F.size(F.filter("w", lambda x: x.isin(*keywords)))
 
-@query("x19_supported_share", with_facts("""
+    scores = [F.struct((-hits(ws)).alias("s"), F.lit(lang).alias("l")) for lang, ws in LG.TEXT_KEYWORDS.items()]
+    best = F.array_min(F.array(*scores))
+    guess = F.when((F.trim("text") == "") | (best["s"] == 0), "unknown").otherwise(best["l"])
+    return docs.select("doc_id", guess.alias("guess"), "lang").withColumn("correct", F.col("guess") == F.col("lang"))
+
+
+@code_query("x19_supported_share", with_facts("""
 SELECT language, CAST(count(*) AS BIGINT) AS n, language IN ('python') AS supported,
        round(count(*) / sum(count(*)) OVER (), 4) AS share FROM detected GROUP BY language
 """, LANG_CTES))
@@ -182,7 +188,7 @@ def x19_supported_share(spark, sf_dir):
                                                   F.round(F.col("n") / F.col("t"), 4).alias("share"))
 
 
-@query("x20_size_guards", with_facts(f"""
+@code_query("x20_size_guards", with_facts(f"""
 SELECT reason, CAST(count(*) AS BIGINT) AS n FROM (
   SELECT 'file_too_large' AS reason FROM code_files WHERE octet_length(encode(content)) > {LG.MAX_FILE_BYTES}
   UNION ALL SELECT CASE WHEN loc > {LG.MAX_LLM_LOC} THEN 'function_too_long' ELSE 'function_checked' END FROM fmetrics)
@@ -217,7 +223,7 @@ c_edges AS (
 """
 
 
-@query("x21_cfg_edges", with_facts("""
+@code_query("x21_cfg_edges", with_facts("""
 SELECT file_id, CAST(fn_ln AS BIGINT) AS fn_ln, CAST(src AS BIGINT) AS src, CAST(dst AS BIGINT) AS dst, kind FROM c_edges
 """, _CFG_CTES))
 def x21_cfg_edges(spark, sf_dir):
@@ -226,7 +232,7 @@ def x21_cfg_edges(spark, sf_dir):
     return FL.cfg_edges(sub.fn_stmts, sub.blocks)
 
 
-@query("x21_cfg_edge_counts", with_facts("SELECT kind, CAST(count(*) AS BIGINT) AS n FROM c_edges GROUP BY kind", _CFG_CTES))
+@code_query("x21_cfg_edge_counts", with_facts("SELECT kind, CAST(count(*) AS BIGINT) AS n FROM c_edges GROUP BY kind", _CFG_CTES))
 def x21_cfg_edge_counts(spark, sf_dir):
     """Edge counts by type over the corpus."""
     return x21_cfg_edges(spark, sf_dir).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lintlake.operators import contracts as C
-from lintlake.plans.catalog import query
+from lintlake.plans.catalog import code_query
 from lintlake.plans.oracle import _lit, with_facts
 from lintlake.plans.substrate import for_corpus
 
@@ -92,7 +92,7 @@ def _j(col):
     return F.array_join(col, " | ")
 
 
-@query("c01_declared_types", _c("""
+@code_query("c01_declared_types", _c("""
 SELECT file_id, qualified_name AS function, name, type_hint AS type FROM params WHERE type_hint IS NOT NULL
 UNION ALL SELECT file_id, qualified_name, 'return', return_type FROM functions WHERE return_type IS NOT NULL
 """))
@@ -105,7 +105,7 @@ def c01_declared_types(spark, sf_dir):
     return p.unionByName(r)
 
 
-@query("c02_docstring_sections", _c("""
+@code_query("c02_docstring_sections", _c("""
 SELECT file_id, CAST(fn_ln AS BIGINT) AS fn_ln, CAST(ln AS BIGINT) AS ln, text, section FROM c_dl
 WHERE marker IS NULL AND text <> '' AND section IS NOT NULL
 """))
@@ -116,14 +116,14 @@ def c02_docstring_sections(spark, sf_dir):
         "file_id", F.col("fn_ln").cast("bigint").alias("fn_ln"), F.col("ln").cast("bigint").alias("ln"), "text", "section")
 
 
-@query("c03_c04_contract_items", _c("SELECT file_id, CAST(fn_ln AS BIGINT) AS fn_ln, part, item, source FROM c_items"))
+@code_query("c03_c04_contract_items", _c("SELECT file_id, CAST(fn_ln AS BIGINT) AS fn_ln, part, item, source FROM c_items"))
 def c03_c04_contract_items(spark, sf_dir):
     """C03 inline tags, C04 asserts and raised types, with C02 section entries, as rows."""
     it = _items(_sub(spark, sf_dir))
     return it.select("file_id", F.col("fn_ln").cast("bigint").alias("fn_ln"), "part", "item", "source")
 
 
-@query("c05_contracts", _c("""
+@code_query("c05_contracts", _c("""
 SELECT file_id, qualified_name, array_to_string(pre, ' | ') AS pre, array_to_string(post, ' | ') AS post,
        array_to_string(raises, ' | ') AS raises, array_to_string(raises_in_code, ' | ') AS raises_in_code FROM c_table
 """))
@@ -137,7 +137,7 @@ def _viol(sub):
     return C.violations(_table(sub), _items(sub), sub.fn_stmts)
 
 
-@query("c06_c09_contract_violations", _c("""
+@code_query("c06_c09_contract_violations", _c("""
 SELECT file_id, CAST(fn_ln AS BIGINT) AS fn_ln, name AS function, violation_type, exc, severity FROM c_viol
 """))
 def c06_c09_contract_violations(spark, sf_dir):
@@ -146,7 +146,7 @@ def c06_c09_contract_violations(spark, sf_dir):
     return v.select("file_id", F.col("fn_ln").cast("bigint").alias("fn_ln"), F.col("name").alias("function"), "violation_type", "exc", "severity")
 
 
-@query("c10_contract_report", _c("""
+@code_query("c10_contract_report", _c("""
 SELECT 'coverage' AS dimension, 'functions' AS key, CAST(count(*) AS BIGINT) AS n FROM c_table
 UNION ALL SELECT 'coverage', 'with_preconditions', CAST(count(*) FILTER (WHERE len(pre) > 0) AS BIGINT) FROM c_table
 UNION ALL SELECT 'coverage', 'with_postconditions', CAST(count(*) FILTER (WHERE len(post) > 0) AS BIGINT) FROM c_table
@@ -168,7 +168,7 @@ def c10_contract_report(spark, sf_dir):
     return cov.unionByName(v)
 
 
-@query("c11_assert_positions", _c("""
+@code_query("c11_assert_positions", _c("""
 SELECT file_id, CAST(fn_ln AS BIGINT) AS fn_ln, CAST(ln AS BIGINT) AS ln, role, condition FROM (
   SELECT *, 'precondition' AS role FROM (
     SELECT file_id, fn_ln, ln, kind, trim(regexp_extract(code, '^assert\\s+(.*)$', 1)) AS condition,
@@ -188,7 +188,7 @@ def c11_assert_positions(spark, sf_dir):
     return a.select("file_id", F.col("fn_ln").cast("bigint").alias("fn_ln"), F.col("ln").cast("bigint").alias("ln"), "role", "condition")
 
 
-@query("c12_inferred_contracts", _c("""
+@code_query("c12_inferred_contracts", _c("""
 SELECT file_id, CAST(fn_ln AS BIGINT) AS fn_ln, 'pre' AS part, trim(regexp_extract(code, '^assert\\s+(.*)$', 1)) AS item FROM fst
 WHERE kind = 'assert' AND ln - fn_ln <= 5
 UNION ALL SELECT file_id, CAST(fn_ln AS BIGINT), 'raises', regexp_extract(code, '^raise\\s+([A-Za-z_][A-Za-z0-9_.]*)', 1) FROM fst
@@ -212,7 +212,7 @@ def c12_inferred_contracts(spark, sf_dir):
     return out.select("file_id", F.col("fn_ln").cast("bigint").alias("fn_ln"), "part", "item")
 
 
-@query("c13_merged_contracts", _c("""
+@code_query("c13_merged_contracts", _c("""
 SELECT file_id, fn_ln, part, item, bool_or(declared) AS declared, bool_or(inferred) AS inferred FROM (
   SELECT file_id, CAST(fn_ln AS BIGINT) AS fn_ln, part, item, true AS declared, false AS inferred FROM c_items WHERE part IN ('pre', 'post', 'raises')
   UNION ALL
@@ -234,7 +234,7 @@ def c13_merged_contracts(spark, sf_dir):
         F.bool_or("declared").alias("declared"), F.bool_or("inferred").alias("inferred"))
 
 
-@query("c14_loop_facts", _c("""
+@code_query("c14_loop_facts", _c("""
 SELECT l.file_id, CAST(l.fn_ln AS BIGINT) AS fn_ln, CAST(l.ln AS BIGINT) AS ln, l.kind, regexp_extract(l.code, '^for\\s+([A-Za-z_][A-Za-z0-9_]*)', 1) AS loop_var,
   coalesce((SELECT string_agg(DISTINCT regexp_extract(a.code, '^([A-Za-z_][A-Za-z0-9_.]*)', 1), ',' ORDER BY regexp_extract(a.code, '^([A-Za-z_][A-Za-z0-9_.]*)', 1))
             FROM fst a JOIN blocks b ON b.file_id = a.file_id AND b.ln = l.ln
@@ -248,13 +248,13 @@ def c14_loop_facts(spark, sf_dir):
     return C.loop_facts(sub.fn_stmts, sub.blocks)
 
 
-@query("c15_class_invariants", _c("SELECT * FROM c_inv"))
+@code_query("c15_class_invariants", _c("SELECT * FROM c_inv"))
 def c15_class_invariants(spark, sf_dir):
     sub = _sub(spark, sf_dir)
     return C.class_invariants(sub.fn_stmts, sub.functions)
 
 
-@query("c16_data_structures", _c("""
+@code_query("c16_data_structures", _c("""
 SELECT file_id, name, structure FROM (
   SELECT c.file_id, c.name, CASE
     WHEN list_contains(m, 'push') AND list_contains(m, 'pop') THEN 'stack'
@@ -269,13 +269,13 @@ def c16_data_structures(spark, sf_dir):
     return C.data_structures(_sub(spark, sf_dir).classes)
 
 
-@query("c17_invariant_preservation", _c("SELECT * FROM c_pres"))
+@code_query("c17_invariant_preservation", _c("SELECT * FROM c_pres"))
 def c17_invariant_preservation(spark, sf_dir):
     sub = _sub(spark, sf_dir)
     return C.preservation(C.class_invariants(sub.fn_stmts, sub.functions), sub.fn_stmts, sub.functions)
 
 
-@query("c18_invariant_report", _c("""
+@code_query("c18_invariant_report", _c("""
 SELECT 'invariants' AS dimension, class_name AS key, CAST(count(*) AS BIGINT) AS n FROM c_inv GROUP BY class_name
 UNION ALL SELECT 'violations', severity, CAST(count(*) AS BIGINT) FROM c_pres GROUP BY severity
 """))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lintlake.functions import patterns as P
 from lintlake.operators import critics as CR
 from lintlake.operators import facts as FX
-from lintlake.plans.catalog import query
+from lintlake.plans.catalog import code_query
 from lintlake.plans.oracle import _lit, _list, with_facts
 from lintlake.plans.substrate import for_corpus
 
@@ -142,7 +142,7 @@ def _issues(spark, sf_dir):
     return for_corpus(spark, sf_dir).critic_issues
 
 
-@query("r01_critic_findings", _with("SELECT * FROM critic_all"))
+@code_query("r01_critic_findings", _with("SELECT * FROM critic_all"))
 def r01_critic_findings(spark, sf_dir):
     """One findings table from the four critics."""
     return _issues(spark, sf_dir)
@@ -163,7 +163,7 @@ _CATEGORY = {"l": "logic", "v": "security", "p": "performance", "q": "maintainab
 def _register(tid: str, issue_type: str):
     cat = _CATEGORY[tid[0]]
 
-    @query(f"{tid}_{issue_type}", _with(f"SELECT * FROM critic_all WHERE issue_type = '{issue_type}' AND category = '{cat}'"))
+    @code_query(f"{tid}_{issue_type}", _with(f"SELECT * FROM critic_all WHERE issue_type = '{issue_type}' AND category = '{cat}'"))
     def _q(spark, sf_dir):
         return _issues(spark, sf_dir).filter((F.col("issue_type") == issue_type) & (F.col("category") == cat))
 
@@ -174,7 +174,7 @@ for _t, _it in _PER_TYPE:
     _register(_t, _it)
 
 
-@query("l06_preconditions_verified", _with("""
+@code_query("l06_preconditions_verified", _with("""
 SELECT p.file_id, p.qualified_name AS function, p.name AS parameter,
   EXISTS (SELECT 1 FROM (SELECT s.*, row_number() OVER (PARTITION BY s.file_id, s.fn_ln ORDER BY s.ln) AS rn FROM fst s WHERE s.parent_ln = s.fn_ln) t
           WHERE t.file_id = p.file_id AND t.fn_ln = p.ln_start AND t.rn <= 5 AND t.kind = 'if'
@@ -194,7 +194,7 @@ FROM critic_all {where} GROUP BY GROUPING SETS ((category, issue_type), (categor
 
 
 def _register_report(tid: str, cat: str):
-    @query(f"{tid}_{cat}_report", _with(_REPORT.format(where=f"WHERE category = '{cat}'")))
+    @code_query(f"{tid}_{cat}_report", _with(_REPORT.format(where=f"WHERE category = '{cat}'")))
     def _q(spark, sf_dir):
         return CR.report(_issues(spark, sf_dir).filter(F.col("category") == cat))
 
@@ -205,7 +205,7 @@ for _t, _c in [("l08", "logic"), ("v06", "security"), ("p07", "performance"), ("
     _register_report(_t, _c)
 
 
-@query("v05_user_input_share", with_facts(f"""
+@code_query("v05_user_input_share", with_facts(f"""
 SELECT file_id, CAST(count(*) AS BIGINT) AS n_calls, CAST(count(*) FILTER (WHERE {_ul('code')}) AS BIGINT) AS n_user_like
 FROM fcalls GROUP BY file_id
 """))

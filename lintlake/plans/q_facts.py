@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lintlake.operators import facts as FX
 from lintlake.operators import structure as S
 from lintlake.operators import rules as R
-from lintlake.plans.catalog import query
+from lintlake.plans.catalog import code_query
 from lintlake.plans.oracle import with_base, with_facts
 from lintlake.plans.substrate import for_corpus
 
@@ -16,7 +16,7 @@ def _j(col):
     return F.array_join(col, ",")
 
 
-@query("x06_parameters", with_base("""
+@code_query("x06_parameters", with_base("""
 SELECT file_id, qualified_name, CAST(pos AS BIGINT) AS pos, name, type_hint, has_default, default_is_mutable FROM params
 """))
 def x06_parameters(spark, sf_dir):
@@ -26,7 +26,7 @@ def x06_parameters(spark, sf_dir):
                     "p.has_default", "p.default_is_mutable")
 
 
-@query("x07_handlers", with_facts("""
+@code_query("x07_handlers", with_facts("""
 SELECT file_id, qualified_name, has_bare_except, has_broad_except, caught_types FROM ffacts
 """))
 def x07_handlers(spark, sf_dir):
@@ -34,26 +34,26 @@ def x07_handlers(spark, sf_dir):
     return f.select("file_id", "qualified_name", "has_bare_except", "has_broad_except", _j("caught_types").alias("caught_types"))
 
 
-@query("x08_raises", with_facts("SELECT file_id, qualified_name, raise_types FROM ffacts"))
+@code_query("x08_raises", with_facts("SELECT file_id, qualified_name, raise_types FROM ffacts"))
 def x08_raises(spark, sf_dir):
     f = for_corpus(spark, sf_dir).facts
     return f.select("file_id", "qualified_name", _j("raise_types").alias("raise_types"))
 
 
-@query("x09_calls", with_facts("SELECT file_id, qualified_name, calls FROM ffacts"))
+@code_query("x09_calls", with_facts("SELECT file_id, qualified_name, calls FROM ffacts"))
 def x09_calls(spark, sf_dir):
     f = for_corpus(spark, sf_dir).facts
     return f.select("file_id", "qualified_name", _j("calls").alias("calls"))
 
 
-@query("x10_checks", with_facts("SELECT file_id, qualified_name, none_checks, type_checks FROM ffacts"))
+@code_query("x10_checks", with_facts("SELECT file_id, qualified_name, none_checks, type_checks FROM ffacts"))
 def x10_checks(spark, sf_dir):
     f = for_corpus(spark, sf_dir).facts
     return f.select("file_id", "qualified_name", _j("has_none_checks").alias("none_checks"),
                     _j("has_type_checks").alias("type_checks"))
 
 
-@query("x11_call_flags", with_facts("""
+@code_query("x11_call_flags", with_facts("""
 SELECT file_id, qualified_name, uses_open_without_with, uses_command_execution, command_execution_has_fstring FROM ffacts
 """))
 def x11_call_flags(spark, sf_dir):
@@ -62,19 +62,19 @@ def x11_call_flags(spark, sf_dir):
                     "command_execution_has_fstring")
 
 
-@query("x12_unreachable", with_facts("SELECT file_id, qualified_name FROM ffacts WHERE has_unreachable_code"))
+@code_query("x12_unreachable", with_facts("SELECT file_id, qualified_name FROM ffacts WHERE has_unreachable_code"))
 def x12_unreachable(spark, sf_dir):
     f = for_corpus(spark, sf_dir).facts
     return f.filter("has_unreachable_code").select("file_id", "qualified_name")
 
 
-@query("x13_shadow_builtins", with_facts("SELECT file_id, qualified_name, shadows_builtin FROM ffacts WHERE shadows_builtin <> ''"))
+@code_query("x13_shadow_builtins", with_facts("SELECT file_id, qualified_name, shadows_builtin FROM ffacts WHERE shadows_builtin <> ''"))
 def x13_shadow_builtins(spark, sf_dir):
     f = for_corpus(spark, sf_dir).facts
     return f.filter(F.size("shadows_builtin") > 0).select("file_id", "qualified_name", _j("shadows_builtin").alias("shadows_builtin"))
 
 
-@query("x14_facts", with_facts("""
+@code_query("x14_facts", with_facts("""
 SELECT file_id, qualified_name, CAST(line_start AS BIGINT) AS line_start, CAST(line_end AS BIGINT) AS line_end,
        class_name IS NOT NULL AS is_method, return_annotation, CAST(loc AS BIGINT) AS loc,
        cyclomatic AS cyclomatic_complexity, has_mutable_default_args, has_return_on_all_paths, star_imports_used
@@ -88,7 +88,7 @@ def x14_facts(spark, sf_dir):
                     "has_return_on_all_paths", "star_imports_used")
 
 
-@query("x15_function_source", with_base("""
+@code_query("x15_function_source", with_base("""
 SELECT f.file_id, f.qualified_name, string_agg(l.line, chr(10) ORDER BY l.ln) AS source
 FROM functions f JOIN lines l ON l.file_id = f.file_id AND l.ln BETWEEN f.ln_start AND f.ln_end
 WHERE f.ln_start = (SELECT min(g.ln_start) FROM functions g WHERE g.file_id = f.file_id AND g.name = f.name)
@@ -106,7 +106,7 @@ def x15_function_source(spark, sf_dir):
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ln", "line"))), lambda x: x["line"]), "\n").alias("source"))
 
 
-@query("x16_used_names", with_base("""
+@code_query("x16_used_names", with_base("""
 SELECT DISTINCT file_id, unnest(regexp_extract_all(coalesce(bare, ''), '[A-Za-z_][A-Za-z0-9_]*', 0)) AS name
 FROM stmts WHERE kind NOT IN ('import', 'from')
 """))
@@ -149,14 +149,14 @@ def _findings(spark, sf_dir):
     return R.run_rules(for_corpus(spark, sf_dir).facts).drop("evidence")
 
 
-@query("t11_all_rules", with_facts(_rules_sql()))
+@code_query("t11_all_rules", with_facts(_rules_sql()))
 def t11_all_rules(spark, sf_dir):
     """Every rule over every function in one pass."""
     return _findings(spark, sf_dir)
 
 
 def _register_rule(tid: str, rule: str):
-    @query(f"{tid}_{rule}", with_facts(_rules_sql(rule)))
+    @code_query(f"{tid}_{rule}", with_facts(_rules_sql(rule)))
     def _q(spark, sf_dir):
         return _findings(spark, sf_dir).filter(F.col("rule") == rule)
 

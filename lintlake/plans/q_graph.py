@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lintlake.operators import graph as G
 from lintlake.operators.critics import ATTR_BASE, FREE_NAME
-from lintlake.plans.catalog import query
+from lintlake.plans.catalog import code_query, query
 from lintlake.plans.oracle import _lit, with_base, with_facts
 from lintlake.plans.substrate import for_corpus
 from lintlake.sources import corpus
@@ -69,7 +69,7 @@ def _sub(spark, sf_dir):
     return for_corpus(spark, sf_dir)
 
 
-@query("g01_import_edges", with_base("""
+@code_query("g01_import_edges", with_base("""
 SELECT DISTINCT regexp_replace(regexp_replace(c.path, '(/__init__)?\\.py$', ''), '/', '.', 'g') AS src, i.module AS dst
 FROM imports i JOIN code_files c ON c.file_id = i.file_id WHERE i.module <> ''
 """))
@@ -78,13 +78,13 @@ def g01_import_edges(spark, sf_dir):
     return G.import_edges(sub.files, sub.imports)
 
 
-@query("g02_resolved_imports", _g("SELECT file_id, module, src_path, dst_path, dst_id FROM g_resolved"))
+@code_query("g02_resolved_imports", _g("SELECT file_id, module, src_path, dst_path, dst_id FROM g_resolved"))
 def g02_resolved_imports(spark, sf_dir):
     sub = _sub(spark, sf_dir)
     return G.resolve_imports(spark, sub.files, sub.imports)
 
 
-@query("g03_stdlib_imports", with_base(f"""
+@code_query("g03_stdlib_imports", with_base(f"""
 SELECT file_id, CAST(ln AS BIGINT) AS ln, module, module IN {_STD} AS is_stdlib FROM imports WHERE module <> ''
 """))
 def g03_stdlib_imports(spark, sf_dir):
@@ -98,7 +98,7 @@ def _reach(spark, sf_dir):
     return _sub(spark, sf_dir).reach
 
 
-@query("g04_transitive_dependencies", _g("""
+@code_query("g04_transitive_dependencies", _g("""
 SELECT src AS module, dst AS dependency FROM g_reach UNION SELECT path, path FROM code_files
 """))
 def g04_transitive_dependencies(spark, sf_dir):
@@ -107,7 +107,7 @@ def g04_transitive_dependencies(spark, sf_dir):
     return r.select(F.col("src").alias("module"), F.col("dst").alias("dependency"))
 
 
-@query("g05_reverse_dependencies", _g("""
+@code_query("g05_reverse_dependencies", _g("""
 SELECT dst AS module, src AS dependent FROM g_reach UNION SELECT path, path FROM code_files
 """))
 def g05_reverse_dependencies(spark, sf_dir):
@@ -116,7 +116,7 @@ def g05_reverse_dependencies(spark, sf_dir):
     return r.select(F.col("dst").alias("module"), F.col("src").alias("dependent"))
 
 
-@query("g06_cycles", _g("""
+@code_query("g06_cycles", _g("""
 SELECT a.src AS node, least(a.src, min(a.dst)) AS component, CAST(count(*) AS BIGINT) AS cycle_size
 FROM g_reach a JOIN g_reach b ON a.src = b.dst AND a.dst = b.src
 WHERE EXISTS (SELECT 1 FROM g_reach s WHERE s.src = a.src AND s.dst = a.src)
@@ -135,7 +135,7 @@ rec AS (SELECT file_id, ln, module, is_from,
 """
 
 
-@query("g07_unused_imports", with_base("""
+@code_query("g07_unused_imports", with_base("""
 SELECT r.file_id, CAST(r.ln AS BIGINT) AS ln, r.module, array_to_string(r.names, ',') AS names, r.alias, r.is_from FROM rec r
 WHERE NOT list_contains(r.names, '*')
   AND NOT EXISTS (SELECT 1 FROM used u WHERE u.file_id = r.file_id
@@ -150,12 +150,12 @@ def _cedges(sub):
     return G.class_edges(sub.classes, sub.functions, sub.calls)
 
 
-@query("g08_class_edges", _g("SELECT file_id, src, dst FROM g_cedge_all"))
+@code_query("g08_class_edges", _g("SELECT file_id, src, dst FROM g_cedge_all"))
 def g08_class_edges(spark, sf_dir):
     return _cedges(_sub(spark, sf_dir))
 
 
-@query("g09_class_accesses", _g("SELECT file_id, class_name, CAST(fn_ln AS BIGINT) AS fn_ln, obj, CAST(n AS BIGINT) AS n FROM g_acc"))
+@code_query("g09_class_accesses", _g("SELECT file_id, class_name, CAST(fn_ln AS BIGINT) AS fn_ln, obj, CAST(n AS BIGINT) AS n FROM g_acc"))
 def g09_class_accesses(spark, sf_dir):
     sub = _sub(spark, sf_dir)
     a = G.class_accesses(sub.classes, sub.fn_stmts, sub.functions)
@@ -166,7 +166,7 @@ def _cp(sub):
     return G.coupling(sub.classes, _cedges(sub))
 
 
-@query("g10_coupling", _g("""
+@code_query("g10_coupling", _g("""
 SELECT file_id, name, efferent, afferent, round(instability, 4) AS instability, dependencies, dependents FROM g_cp2
 """))
 def g10_coupling(spark, sf_dir):
@@ -188,7 +188,7 @@ def g10_supplier_part_coupling(spark, sf_dir):
     return G.supplier_part_coupling(corpus.table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey"))
 
 
-@query("g11_god_classes", _g("""
+@code_query("g11_god_classes", _g("""
 SELECT file_id, name AS class_name,
   CASE WHEN efferent >= 16 OR n_methods >= 10 THEN 'critical' WHEN efferent >= 12 OR n_methods >= 7.5 THEN 'high' ELSE 'medium' END AS severity,
   concat_ws('; ', CASE WHEN efferent >= 8 THEN printf('high efferent coupling (%d dependencies)', efferent) END,
@@ -200,7 +200,7 @@ def g11_god_classes(spark, sf_dir):
     return G.god_classes(_cp(_sub(spark, sf_dir)))
 
 
-@query("g12_feature_envy", _g("""
+@code_query("g12_feature_envy", _g("""
 SELECT file_id, class_name, method_name, envied_class, ratio, CASE WHEN ratio >= 0.85 THEN 'high' ELSE 'medium' END AS severity FROM (
   SELECT a.file_id, a.class_name, f.name AS method_name, arg_max(a.obj, (a.n, a.obj)) AS envied_class,
          round(sum(a.n) / (sum(a.n) + coalesce((SELECT sum(len(regexp_extract_all(coalesce(s.bare, ''), '(^|[^A-Za-z0-9_.])self\\.', 0)))
@@ -215,7 +215,7 @@ def g12_feature_envy(spark, sf_dir):
     return G.feature_envy(acc, sub.fn_stmts, sub.functions)
 
 
-@query("g13_intimacy", _g("""
+@code_query("g13_intimacy", _g("""
 SELECT a.file_id, a.src AS source, a.dst AS target, s.efferent + t.efferent AS access_count,
        CASE WHEN s.efferent + t.efferent >= 20 THEN 'high' ELSE 'medium' END AS severity
 FROM g_cedge_all a JOIN g_cedge_all b ON a.file_id = b.file_id AND a.src = b.dst AND a.dst = b.src
@@ -228,7 +228,7 @@ def g13_intimacy(spark, sf_dir):
     return G.intimacy(e, G.coupling(sub.classes, e))
 
 
-@query("g14_coupling_report", _g("""
+@code_query("g14_coupling_report", _g("""
 SELECT file_id, CAST(count(*) AS BIGINT) AS total_classes, round(avg(afferent), 2) AS avg_afferent, round(avg(efferent), 2) AS avg_efferent,
        round(avg(instability), 2) AS avg_instability, CAST(count(*) FILTER (WHERE instability > 0.8) AS BIGINT) AS high_instability,
        CAST(count(*) FILTER (WHERE instability < 0.2) AS BIGINT) AS low_instability

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lintlake.operators import hotspots as H
-from lintlake.plans.catalog import query
+from lintlake.plans.catalog import code_query, query
 from lintlake.plans.oracle import with_metrics
 from lintlake.plans.substrate import for_corpus
 from lintlake.sources import corpus
@@ -57,7 +57,7 @@ def _hotspots(spark, sf_dir, overrides=None):
     return H.hotspots(spark, sub.fn_metrics, sub.classes, overrides)
 
 
-@query("h01_h07_hotspots", with_metrics("""
+@code_query("h01_h07_hotspots", with_metrics("""
 SELECT file_id, entity_type, qualified_name, ln_start, ln_end, hotspot_type, severity, value, threshold, description FROM hs
 """, HS_CTES))
 def h01_h07_hotspots(spark, sf_dir):
@@ -65,7 +65,7 @@ def h01_h07_hotspots(spark, sf_dir):
     return _hotspots(spark, sf_dir).drop("name", "suggestion")
 
 
-@query("h08_top_hotspots_per_file", with_metrics("""
+@code_query("h08_top_hotspots_per_file", with_metrics("""
 SELECT file_id, qualified_name, hotspot_type, severity, value, CAST(rank AS BIGINT) AS rank FROM hs_ranked WHERE rank <= 3
 """, HS_CTES))
 def h08_top_hotspots_per_file(spark, sf_dir):
@@ -74,7 +74,7 @@ def h08_top_hotspots_per_file(spark, sf_dir):
     return r.select("file_id", "qualified_name", "hotspot_type", "severity", "value", F.col("rank").cast("bigint").alias("rank"))
 
 
-@query("h09_band_advice", with_metrics("""
+@code_query("h09_band_advice", with_metrics("""
 SELECT hotspot_type, severity, CAST(count(*) AS BIGINT) AS n FROM hs GROUP BY hotspot_type, severity
 """, HS_CTES))
 def h09_band_advice(spark, sf_dir):
@@ -83,7 +83,7 @@ def h09_band_advice(spark, sf_dir):
     return hs.groupBy("hotspot_type", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("h10_threshold_override", with_metrics("""
+@code_query("h10_threshold_override", with_metrics("""
 SELECT file_id, qualified_name, hotspot_type, value, threshold FROM (
   SELECT file_id, qualified_name, hotspot_type, value,
          CASE WHEN key = 'cyclomatic' THEN CAST(5.0 AS DOUBLE) WHEN key = 'function_loc' THEN CAST(20.0 AS DOUBLE) ELSE threshold END AS threshold
@@ -104,7 +104,7 @@ GROUP BY GROUPING SETS ((hotspot_type), (severity), (entity_type), (entity), ())
 """
 
 
-@query("h11_hotspot_report", with_metrics(_REPORT_SQL.format(
+@code_query("h11_hotspot_report", with_metrics(_REPORT_SQL.format(
     entity="entity_type || ':' || CAST(file_id AS VARCHAR) || ':' || qualified_name", src="hs"), HS_CTES))
 def h11_hotspot_report(spark, sf_dir):
     return H.report(_hotspots(spark, sf_dir))
@@ -135,7 +135,7 @@ def _package_ranked(spark, sf_dir):
     return H.ranked(hs.join(pkg, "file_id"), ["package"])
 
 
-@query("flagship_package_hotspots", with_metrics("""
+@code_query("flagship_package_hotspots", with_metrics("""
 SELECT package, file_id, qualified_name, hotspot_type, severity, value, CAST(row_number() OVER (PARTITION BY package ORDER BY
       CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 5 END,
       value DESC, qualified_name, hotspot_type, file_id) AS BIGINT) AS rank

@@ -6,13 +6,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lintlake.operators import metrics as M
-from lintlake.plans.catalog import query
+from lintlake.plans.catalog import code_query
 from lintlake.plans.oracle import with_metrics
 from lintlake.plans.substrate import for_corpus
 from lintlake.sources import corpus
 
 
-@query("m01_cyclomatic", with_metrics("""
+@code_query("m01_cyclomatic", with_metrics("""
 SELECT file_id, qualified_name, CAST(ln_start AS BIGINT) AS ln_start, cyclomatic FROM fmetrics
 """))
 def m01_cyclomatic(spark, sf_dir):
@@ -20,7 +20,7 @@ def m01_cyclomatic(spark, sf_dir):
     return fm.select("file_id", "qualified_name", F.col("ln_start").cast("bigint").alias("ln_start"), "cyclomatic")
 
 
-@query("m02_file_cyclomatic", with_metrics("""
+@code_query("m02_file_cyclomatic", with_metrics("""
 SELECT c.file_id, CAST(coalesce(sum(f.cyclomatic), 0) AS BIGINT) AS cyclomatic_total
 FROM code_files c LEFT JOIN fmetrics f ON f.file_id = c.file_id GROUP BY c.file_id
 """))
@@ -31,7 +31,7 @@ def m02_file_cyclomatic(spark, sf_dir):
         "file_id", F.coalesce("cc", F.lit(0)).cast("bigint").alias("cyclomatic_total"))
 
 
-@query("m03_cognitive", with_metrics("""
+@code_query("m03_cognitive", with_metrics("""
 SELECT file_id, qualified_name, CAST(ln_start AS BIGINT) AS ln_start, cognitive FROM fmetrics
 """))
 def m03_cognitive(spark, sf_dir):
@@ -75,7 +75,7 @@ def _mi(sub):
     return M.halstead_mi(sub.lines, fcc)
 
 
-@query("m04_maintainability", with_metrics("""
+@code_query("m04_maintainability", with_metrics("""
 SELECT file_id, maintainability_index, CAST(sloc AS BIGINT) AS sloc, halstead_volume FROM mi
 """, _MI_SQL))
 def m04_maintainability(spark, sf_dir):
@@ -83,7 +83,7 @@ def m04_maintainability(spark, sf_dir):
     return mi.select("file_id", "maintainability_index", F.col("sloc").cast("bigint").alias("sloc"), "halstead_volume")
 
 
-@query("m05_file_metrics", with_metrics("""
+@code_query("m05_file_metrics", with_metrics("""
 SELECT m.file_id, CAST(coalesce(f.cc, 0) AS BIGINT) AS cyclomatic, CAST(coalesce(f.cog, 0) AS BIGINT) AS cognitive,
        CAST(l.loc AS BIGINT) AS lines_of_code, m.maintainability_index
 FROM mi m
@@ -101,7 +101,7 @@ def m05_file_metrics(spark, sf_dir):
         F.col("loc").cast("bigint").alias("lines_of_code"), "maintainability_index")
 
 
-@query("m06_nesting", with_metrics("""
+@code_query("m06_nesting", with_metrics("""
 SELECT file_id, qualified_name, max_nesting, CAST(nesting_ln AS BIGINT) AS nesting_ln, nesting_kind FROM fmetrics
 """))
 def m06_nesting(spark, sf_dir):
@@ -110,34 +110,7 @@ def m06_nesting(spark, sf_dir):
                      F.col("nesting_ln").cast("bigint").alias("nesting_ln"), "nesting_kind")
 
 
-@query("m06_page_tag_depth", r"""
-WITH t AS (
-  SELECT page_id, unnest(generate_series(1, len(tags))) AS pos, unnest(tags) AS tag
-  FROM (SELECT page_id, regexp_extract_all(html, '<(/?)([a-zA-Z][a-zA-Z0-9]*)[^>]*>', 0) AS tags FROM pages)
-), d AS (
-  SELECT page_id, pos, sum(CASE WHEN starts_with(tag, '</') THEN -1
-                                WHEN regexp_matches(lower(tag), '^<(br|img|hr|meta|link|input)\b') OR ends_with(tag, '/>') THEN 0
-                                ELSE 1 END) OVER (PARTITION BY page_id ORDER BY pos) AS depth
-  FROM t
-)
-SELECT p.page_id, CAST(coalesce(max(d.depth), 0) AS BIGINT) AS max_depth
-FROM pages p LEFT JOIN d ON d.page_id = p.page_id GROUP BY p.page_id
-""")
-def m06_page_tag_depth(spark, sf_dir):
-    """M06 variant at size: deepest tag nesting of every page (running sum over its tags)."""
-    pages = corpus.table(spark, sf_dir, "pages").select("page_id", "html")
-    t = pages.select("page_id", F.posexplode(
-        F.regexp_extract_all("html", F.lit(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)[^>]*>"), 0)).alias("pos", "tag"))
-    step = (F.when(F.col("tag").startswith("</"), -1)
-            .when(F.lower("tag").rlike(r"^<(br|img|hr|meta|link|input)\b") | F.col("tag").endswith("/>"), 0)
-            .otherwise(1))
-    w = Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    d = t.select("page_id", F.sum(step).over(w).alias("depth")).groupBy("page_id").agg(F.max("depth").alias("md"))
-    return pages.select("page_id").join(d, "page_id", "left").select(
-        "page_id", F.coalesce("md", F.lit(0)).cast("bigint").alias("max_depth"))
-
-
-@query("m07_nesting_blocks_only", with_metrics("""
+@code_query("m07_nesting_blocks_only", with_metrics("""
 SELECT f.file_id, f.qualified_name,
        CAST(coalesce((SELECT max(nest + 1) FROM fst s WHERE s.file_id = f.file_id AND s.fn_ln = f.ln_start
                       AND s.kind IN ('if', 'elif', 'for', 'while', 'try', 'with')), 0) AS BIGINT) AS nesting
@@ -152,7 +125,7 @@ def m07_nesting_blocks_only(spark, sf_dir):
         "file_id", "qualified_name", F.coalesce("n", F.lit(0)).cast("bigint").alias("nesting"))
 
 
-@query("m08_complexity_summary", with_metrics("""
+@code_query("m08_complexity_summary", with_metrics("""
 SELECT file_id, round(avg(cyclomatic), 2) AS avg_complexity, CAST(count(*) AS BIGINT) AS n_functions,
        CAST(count(*) FILTER (WHERE cyclomatic > 10) AS BIGINT) AS n_complex,
        coalesce(string_agg(qualified_name, ',' ORDER BY qualified_name) FILTER (WHERE cyclomatic > 10), '') AS complex_functions
@@ -169,7 +142,7 @@ def m08_complexity_summary(spark, sf_dir):
     )
 
 
-@query("m09_heatmap", with_metrics("""
+@code_query("m09_heatmap", with_metrics("""
 SELECT file_id, qualified_name, CAST(ln_start AS BIGINT) AS ln_start, cyclomatic,
        max(cyclomatic) OVER (PARTITION BY file_id) AS file_max
 FROM fmetrics

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lintlake.operators import repair as RP
-from lintlake.plans.catalog import query
+from lintlake.plans.catalog import code_query
 from lintlake.plans.oracle import _lit, with_facts
 from lintlake.plans.q_facts import _rules_sql
 from lintlake.plans.q_critics import CRITIC_CTES
@@ -75,7 +75,7 @@ def _fixes(spark, sf_dir):
     return RP.fixes(t.unionByName(c), sub.lines)
 
 
-@query("f01_f02_routed_findings", _f("SELECT file_id, issue_id, kind, CAST(ln AS BIGINT) AS ln FROM rep_routed"))
+@code_query("f01_f02_routed_findings", _f("SELECT file_id, issue_id, kind, CAST(ln AS BIGINT) AS ln FROM rep_routed"))
 def f01_f02_routed_findings(spark, sf_dir):
     """F01 line from location and F02 routing of every finding to a fix kind."""
     sub = for_corpus(spark, sf_dir)
@@ -89,12 +89,12 @@ def f01_f02_routed_findings(spark, sf_dir):
                     RP.line_of(F.col("location")).cast("bigint").alias("ln"))
 
 
-@query("f03_fixes", _f("SELECT * FROM fixes"))
+@code_query("f03_fixes", _f("SELECT * FROM fixes"))
 def f03_fixes(spark, sf_dir):
     return _fixes(spark, sf_dir)
 
 
-@query("f04_applied_fixes", _f("""
+@code_query("f04_applied_fixes", _f("""
 SELECT file_id, sha256(string_agg(coalesce(fixed_code, line), chr(10) ORDER BY ln)) AS content_hash,
        CAST(count(fixed_code) AS BIGINT) AS n_changed
 FROM (SELECT l.file_id, l.ln, l.line, x.fixed_code FROM lines l LEFT JOIN (
@@ -108,7 +108,7 @@ def f04_applied_fixes(spark, sf_dir):
     return out.select("file_id", F.sha2("content", 256).alias("content_hash"), F.col("n_changed").cast("bigint").alias("n_changed"))
 
 
-@query("f05_fix_report", _f("""
+@code_query("f05_fix_report", _f("""
 SELECT CASE WHEN grouping(issue_type) = 0 THEN 'by_issue_type' ELSE 'total' END AS dimension, coalesce(issue_type, 'all') AS key,
        CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (WHERE requires_review) AS BIGINT) AS needs_review
 FROM fixes GROUP BY GROUPING SETS ((issue_type), ())
@@ -117,7 +117,7 @@ def f05_fix_report(spark, sf_dir):
     return RP.fix_report(_fixes(spark, sf_dir))
 
 
-@query("f05_fix_previews", _f("SELECT file_id, issue_id, substr(original_code, 1, 100) AS original, substr(fixed_code, 1, 100) AS fixed FROM fixes"))
+@code_query("f05_fix_previews", _f("SELECT file_id, issue_id, substr(original_code, 1, 100) AS original, substr(fixed_code, 1, 100) AS fixed FROM fixes"))
 def f05_fix_previews(spark, sf_dir):
     fx = _fixes(spark, sf_dir)
     return fx.select("file_id", "issue_id", F.substring("original_code", 1, 100).alias("original"), F.substring("fixed_code", 1, 100).alias("fixed"))
@@ -143,14 +143,14 @@ WHERE CAST(num AS DOUBLE) NOT IN ({", ".join(str(float(x)) for x in RP.MAGIC_ALL
 """
 
 
-@query("f06_f09_refactorings", _f(_REFACTOR))
+@code_query("f06_f09_refactorings", _f(_REFACTOR))
 def f06_f09_refactorings(spark, sf_dir):
     """F06 extract method, F07 parameter object, F08 else-if chains, F09 named constants."""
     sub = for_corpus(spark, sf_dir)
     return RP.refactorings(sub.functions, sub.fn_stmts)
 
 
-@query("f10_refactoring_report", _f(f"""
+@code_query("f10_refactoring_report", _f(f"""
 SELECT CASE WHEN grouping(suggestion_type) = 0 THEN 'by_type' ELSE 'by_effort' END AS dimension,
        coalesce(suggestion_type, effort) AS key, CAST(count(*) AS BIGINT) AS n
 FROM ({_REFACTOR}) GROUP BY GROUPING SETS ((suggestion_type), (effort))
@@ -178,12 +178,12 @@ WHERE contains(coalesce(return_type, ''), 'List') OR contains(coalesce(return_ty
 """
 
 
-@query("f11_generated_tests", _f(_TESTS))
+@code_query("f11_generated_tests", _f(_TESTS))
 def f11_generated_tests(spark, sf_dir):
     return RP.generated_tests(for_corpus(spark, sf_dir).functions)
 
 
-@query("f12_test_report", _f(f"""
+@code_query("f12_test_report", _f(f"""
 SELECT t.test_type, CAST(count(x.test_type) AS BIGINT) AS n FROM (VALUES ('unit'), ('edge_case'), ('property'), ('integration')) t(test_type)
 LEFT JOIN ({_TESTS}) x ON x.test_type = t.test_type GROUP BY t.test_type
 """))

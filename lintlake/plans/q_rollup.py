@@ -10,7 +10,7 @@ from lintlake.operators import contracts as C
 from lintlake.operators import rollup as RU
 from lintlake.operators import rules as R
 from lintlake.operators.graph import module_of
-from lintlake.plans.catalog import query
+from lintlake.plans.catalog import code_query, query
 from lintlake.plans.oracle import with_facts
 from lintlake.plans.q_boundaries import BOUNDARY_CTES
 from lintlake.plans.q_claims import CLAIM_CTES
@@ -69,7 +69,7 @@ def all_findings(spark, sf_dir):
     return t.unionByName(k)
 
 
-@query("r02_summary", _r(f"""
+@code_query("r02_summary", _r(f"""
 SELECT c.file_id, {", ".join(f"CAST(coalesce({x}, 0) AS BIGINT) AS {x}" for x in ["total_issues"] + _SEV[:4] + RU.CATEGORIES + ["functions_count", "classes_count"])}
 FROM code_files c
 LEFT JOIN (SELECT file_id, count(*) AS total_issues, {", ".join(f"count(*) FILTER (WHERE coalesce(severity, 'low') = '{s}') AS {s}" for s in _SEV[:4])},
@@ -95,7 +95,7 @@ def r02_event_summary(spark, sf_dir):
     return ev.groupBy("event_type").agg(*[F.count_if(sev == s).alias(s) for s in _SEV[:4]], F.count(F.lit(1)).alias("total"))
 
 
-@query("r03_report_metrics", _r(f"""
+@code_query("r03_report_metrics", _r(f"""
 SELECT c.file_id, {", ".join(f"CAST(coalesce({x}, 0) AS BIGINT) AS {x}" for x in ["total_lines", "lines_of_code", "function_count", "issue_count"] + [f"{s}_issues" for s in _SEV] + ["tier1_findings", "tier2_findings", "tier3_findings"])}
 FROM code_files c
 LEFT JOIN (SELECT file_id, count(*) AS total_lines, count(*) FILTER (WHERE is_content) AS lines_of_code FROM lines GROUP BY file_id) l ON l.file_id = c.file_id
@@ -112,7 +112,7 @@ def r03_report_metrics(spark, sf_dir):
 _PROPS = " UNION ALL ".join(f"SELECT '{k}' AS property, '{v}' AS text" for k, v in RU.PROPERTIES)
 
 
-@query("r04_proven_properties", _r(f"""
+@code_query("r04_proven_properties", _r(f"""
 SELECT c.file_id, p.property, p.text FROM code_files c, ({_PROPS}) p
 WHERE NOT EXISTS (SELECT 1 FROM all_findings f WHERE f.file_id = c.file_id AND (
   (p.property = 'no_security_findings' AND f.category = 'security')
@@ -123,7 +123,7 @@ def r04_proven_properties(spark, sf_dir):
     return RU.proven_properties(_sub(spark, sf_dir).files, all_findings(spark, sf_dir))
 
 
-@query("r05_file_reports", _r("""
+@code_query("r05_file_reports", _r("""
 SELECT c.file_id, sha256(c.content) AS content_hash,
   CAST(coalesce((SELECT count(*) FROM functions f WHERE f.file_id = c.file_id), 0) AS BIGINT) AS functions_analyzed,
   coalesce((SELECT string_agg(issue_id, ',' ORDER BY issue_id) FROM all_findings a WHERE a.file_id = c.file_id), '') AS issue_ids,
@@ -135,7 +135,7 @@ def r05_file_reports(spark, sf_dir):
     return RU.file_report(sub.files, sub.functions, all_findings(spark, sf_dir))
 
 
-@query("r06_ordered_findings", _r("""
+@code_query("r06_ordered_findings", _r("""
 SELECT file_id, issue_id, severity, title,
   CAST(row_number() OVER (PARTITION BY file_id ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2
        WHEN 'low' THEN 3 WHEN 'info' THEN 4 ELSE 5 END, ln, issue_id) AS BIGINT) AS position,
@@ -146,7 +146,7 @@ def r06_ordered_findings(spark, sf_dir):
     return RU.ordered_sections(all_findings(spark, sf_dir))
 
 
-@query("r07_top_security", _r("""
+@code_query("r07_top_security", _r("""
 SELECT file_id, function, issue_type, ln, severity, CAST(rn AS BIGINT) AS rank, CAST(greatest(total - 5, 0) AS BIGINT) AS remaining FROM (
   SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2
             WHEN 'low' THEN 3 WHEN 'info' THEN 4 ELSE 5 END, ln, issue_type) AS rn, count(*) OVER (PARTITION BY file_id) AS total
@@ -156,7 +156,7 @@ def r07_top_security(spark, sf_dir):
     return RU.top_security(_issues(_sub(spark, sf_dir)))
 
 
-@query("r08_findings_per_line", _r("SELECT file_id, ln, CAST(count(*) AS BIGINT) AS n FROM critic_all GROUP BY file_id, ln"))
+@code_query("r08_findings_per_line", _r("SELECT file_id, ln, CAST(count(*) AS BIGINT) AS n FROM critic_all GROUP BY file_id, ln"))
 def r08_findings_per_line(spark, sf_dir):
     return _issues(_sub(spark, sf_dir)).groupBy("file_id", "ln").agg(F.count(F.lit(1)).alias("n"))
 
@@ -174,7 +174,7 @@ def _bad_files(sub):
     return sub.files.select("file_id", "path", F.when(F.col("file_id") % 13 == 0, F.concat("content", F.lit("("))).otherwise(F.col("content")).alias("content"))
 
 
-@query("s02_quarantine", _r("SELECT file_id FROM errors"))
+@code_query("s02_quarantine", _r("SELECT file_id FROM errors"))
 def s02_quarantine(spark, sf_dir):
     """Every 13th file gets a dangling bracket; those yield error rows and the rest go on."""
     _good, bad = corpus.quarantine(_bad_files(_sub(spark, sf_dir)))
@@ -187,12 +187,12 @@ def _gate(spark, sf_dir):
     return RU.gate(sub.files, _issues(sub), bad)
 
 
-@query("r09_quality_gate", _r("SELECT * FROM gate"))
+@code_query("r09_quality_gate", _r("SELECT * FROM gate"))
 def r09_quality_gate(spark, sf_dir):
     return _gate(spark, sf_dir)
 
 
-@query("r10_corpus_gate", _r("""
+@code_query("r10_corpus_gate", _r("""
 SELECT CAST(count(*) AS BIGINT) AS files, bool_and(passed) AS all_passed, CAST(count(*) FILTER (WHERE NOT passed) AS BIGINT) AS failed,
        CAST(count(*) FILTER (WHERE NOT passed_strict) AS BIGINT) AS failed_strict FROM gate
 """))
@@ -200,7 +200,7 @@ def r10_corpus_gate(spark, sf_dir):
     return RU.corpus_gate(_gate(spark, sf_dir))
 
 
-@query("r11_selected_stages", _r("""
+@code_query("r11_selected_stages", _r("""
 SELECT category AS stage, CAST(count(*) AS BIGINT) AS n FROM critic_all GROUP BY category
 UNION ALL SELECT 'contracts', CAST(count(*) AS BIGINT) FROM c_viol
 """, CONTRACT_CTES.strip()))
@@ -221,7 +221,7 @@ def r11_selected_stages(spark, sf_dir):
     return out
 
 
-@query("r12_invariants_and_boundaries", _r("""
+@code_query("r12_invariants_and_boundaries", _r("""
 SELECT file_id, 'invariant' AS kind, class_name AS entity, ln, invariant AS detail, NULL AS risk FROM c_inv
 UNION ALL SELECT file_id, kind, entity, ln, source_or_sink, risk FROM b_all
 """, CONTRACT_CTES.strip() + "," + BOUNDARY_CTES.strip()))
@@ -235,7 +235,7 @@ def r12_invariants_and_boundaries(spark, sf_dir):
     return inv.unionByName(b, allowMissingColumns=True)
 
 
-@query("s01_directory_scan", with_facts("""
+@code_query("s01_directory_scan", with_facts("""
 SELECT file_id // 10 AS pkg, sha256(content) AS content_hash, CAST(len(string_split(content, chr(10))) AS BIGINT) AS n_lines FROM code_files
 """))
 def s01_directory_scan(spark, sf_dir):
@@ -245,14 +245,14 @@ def s01_directory_scan(spark, sf_dir):
     return t.select("pkg", F.sha2("content", 256).alias("content_hash"), F.size(F.split("content", "\n")).cast("bigint").alias("n_lines"))
 
 
-@query("s04_report_round_trip", _r("SELECT * FROM critic_all"))
+@code_query("s04_report_round_trip", _r("SELECT * FROM critic_all"))
 def s04_report_round_trip(spark, sf_dir):
     """Findings written as JSON and read back with the declared schema (FAILFAST)."""
     path = sinks.export(_issues(_sub(spark, sf_dir)), "json", sinks.scratch(spark, "report"))
     return sinks.load(spark, "json", path, sinks.ISSUE_SCHEMA)
 
 
-@query("s05_nested_report", _r("""
+@code_query("s05_nested_report", _r("""
 SELECT t.file_id, CAST(to_json(struct_pack(file := c.path, total := t.total, issues := (
   SELECT list(struct_pack(category := category, items := items) ORDER BY category) FROM (
     SELECT category, list(struct_pack(line := ln, type := issue_type, function := function, severity := severity)
@@ -265,7 +265,7 @@ def s05_nested_report(spark, sf_dir):
     return RU.nested_report(sub.files, _issues(sub))
 
 
-@query("s06_sarif_results", _r("""
+@code_query("s06_sarif_results", _r("""
 SELECT a.file_id, a.category || '.' || a.issue_type AS rule_id,
   CASE WHEN a.severity IN ('critical', 'high') THEN 'error' WHEN a.severity = 'medium' THEN 'warning' ELSE 'note' END AS level,
   a.issue_type || ' in ' || a.function AS message, c.path AS uri, CAST(coalesce(a.ln, 1) AS BIGINT) AS start_line
@@ -276,12 +276,12 @@ def s06_sarif_results(spark, sf_dir):
     return RU.sarif_rows(_issues(sub), sub.files)
 
 
-@query("s07_graph_nodes", _r("SELECT file_id, qualified_name AS node, cyclomatic AS complexity FROM fmetrics"))
+@code_query("s07_graph_nodes", _r("SELECT file_id, qualified_name AS node, cyclomatic AS complexity FROM fmetrics"))
 def s07_graph_nodes(spark, sf_dir):
     return _sub(spark, sf_dir).fn_metrics.select("file_id", F.col("qualified_name").alias("node"), F.col("cyclomatic").alias("complexity"))
 
 
-@query("s07_graph_edges", _r("""
+@code_query("s07_graph_edges", _r("""
 SELECT DISTINCT regexp_replace(regexp_replace(c.path, '(/__init__)?\\.py$', ''), '/', '.', 'g') AS src,
        CASE WHEN i.is_from THEN i.name ELSE i.module END AS dst
 FROM imports i JOIN code_files c ON c.file_id = i.file_id
@@ -295,7 +295,7 @@ def s07_graph_edges(spark, sf_dir):
     return e.filter(F.col("dst") != F.col("src")).distinct()
 
 
-@query("s08_result_tables", _r("""
+@code_query("s08_result_tables", _r("""
 SELECT a.file_id, sha256(c.content) AS analysis_id, a.category, a.issue_type, a.ln FROM critic_all a JOIN code_files c ON c.file_id = a.file_id
 """))
 def s08_result_tables(spark, sf_dir):

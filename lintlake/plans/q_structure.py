@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lintlake.operators import structure as S
-from lintlake.plans.catalog import query
+from lintlake.plans.catalog import code_query, query
 from lintlake.plans.oracle import with_base
 from lintlake.plans.substrate import for_corpus
 from lintlake.sources import corpus
@@ -22,7 +22,7 @@ def s03_exact_duplicates(spark, sf_dir):
     return corpus.exact_duplicates(docs)
 
 
-@query("x01_line_counts", with_base("""
+@code_query("x01_line_counts", with_base("""
 SELECT file_id, CAST(count(*) AS BIGINT) AS total_lines,
        CAST(count(*) FILTER (WHERE is_content) AS BIGINT) AS loc,
        CAST(count(*) FILTER (WHERE is_blank) AS BIGINT) AS blank_lines,
@@ -39,25 +39,7 @@ def x01_line_counts(spark, sf_dir):
     )
 
 
-@query("x01_document_lines", """
-SELECT doc_id, CAST(count(*) AS BIGINT) AS total_lines,
-       CAST(count(*) FILTER (WHERE trim(line) <> '') AS BIGINT) AS nonblank_lines,
-       CAST(count(DISTINCT line) AS BIGINT) AS distinct_lines
-FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
-GROUP BY doc_id
-""")
-def x01_document_lines(spark, sf_dir):
-    """X01 at size: lines of every document, with repeated lines counted once."""
-    docs = corpus.table(spark, sf_dir, "documents").select("doc_id", "text")
-    ln = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    return ln.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("total_lines"),
-        F.count_if(F.trim("line") != "").alias("nonblank_lines"),
-        F.count_distinct("line").alias("distinct_lines"),
-    )
-
-
-@query("x02_functions", with_base("""
+@code_query("x02_functions", with_base("""
 SELECT file_id, qualified_name, CAST(ln_start AS BIGINT) AS ln_start, CAST(ln_end AS BIGINT) AS ln_end,
        CAST((SELECT count(*) FROM params p WHERE p.file_id = f.file_id AND p.ln_start = f.ln_start) AS BIGINT) AS n_params,
        return_type, docstring IS NOT NULL AS has_docstring
@@ -73,7 +55,7 @@ def x02_functions(spark, sf_dir):
     )
 
 
-@query("x03_classes", with_base("""
+@code_query("x03_classes", with_base("""
 SELECT file_id, name, CAST(ln_start AS BIGINT) AS ln_start, CAST(ln_end AS BIGINT) AS ln_end,
        CAST(n_methods AS BIGINT) AS n_methods, bases_txt AS bases, docstring IS NOT NULL AS has_docstring
 FROM classes
@@ -89,7 +71,7 @@ def x03_classes(spark, sf_dir):
     )
 
 
-@query("x04_imports", with_base("""
+@code_query("x04_imports", with_base("""
 SELECT file_id, CAST(ln AS BIGINT) AS ln, module, name, alias, is_from FROM imports
 """))
 def x04_imports(spark, sf_dir):
@@ -97,7 +79,7 @@ def x04_imports(spark, sf_dir):
     return im.select("file_id", F.col("ln").cast("bigint").alias("ln"), "module", "name", "alias", "is_from")
 
 
-@query("x05_statement_kinds", with_base("""
+@code_query("x05_statement_kinds", with_base("""
 SELECT kind, parent_kind, CAST(count(*) AS BIGINT) AS n FROM (
   SELECT s.kind, coalesce((SELECT b.kind FROM blocks b WHERE b.file_id = s.file_id AND b.ln < s.ln
                                 AND b.ln_end >= s.ln AND b.indent < s.indent ORDER BY b.ln DESC LIMIT 1), 'module') AS parent_kind

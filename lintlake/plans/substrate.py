@@ -20,7 +20,7 @@ from lintlake.operators import structure as S
 from lintlake.session import ensure_checkpoint_dir
 from lintlake.sources import corpus
 
-_CACHE: dict[tuple[int, str], "Substrate"] = {}
+_CACHE: dict[tuple[str, str], "Substrate"] = {}
 
 
 class Substrate:
@@ -137,8 +137,8 @@ class Substrate:
 
 
 def for_corpus(spark: SparkSession, sf_dir: str) -> Substrate:
-    """Substrate of the generated corpus of one scale-factor folder (one per session)."""
-    key = (id(spark), sf_dir)
+    """Substrate of the table of source files in one folder (one per application)."""
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _CACHE:
         _CACHE[key] = Substrate(corpus.code_files(spark, sf_dir))
     return _CACHE[key]

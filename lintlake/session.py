@@ -1,12 +1,14 @@
-"""Session and checkpoint helpers."""
+"""Session, shared scratch folder and written steps."""
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(cores: str | int = "*", app: str = "lintlake", shuffle_partitions: int = 8) -> SparkSession:
@@ -29,36 +31,38 @@ def get_spark(cores: str | int = "*", app: str = "lintlake", shuffle_partitions:
     return spark
 
 
+def is_local(master: str) -> bool:
+    """Whether driver and executors are one process, so that a local folder is shared."""
+    return master == "local" or master.startswith("local[")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's shared checkpoint folder; set a scratch one only when none is configured."""
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
-    try:
-        sc = spark.sparkContext
-    except Exception:  # sessions without a JVM context (e.g. Spark Connect): use the configured folder
-        sc = None
-    current = sc.getCheckpointDir() if sc is not None and hasattr(sc, "getCheckpointDir") else None
+    """The cluster's shared checkpoint folder; only a local session without one gets a temporary folder, removed at exit."""
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir()
     if current:
         return current
-    if conf_dir:
-        if sc is not None:
-            sc.setCheckpointDir(conf_dir)
-        return conf_dir
-    # Unset: local runs and tests only.
-    local = tempfile.mkdtemp(prefix="lintlake-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    if sc is not None:
-        sc.setCheckpointDir(local)
-    else:
-        spark.conf.set("spark.checkpoint.dir", local)
-    return local
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not is_local(sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="lintlake-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)
+    sc.setCheckpointDir(shared)
+    return shared
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path under the shared folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/lintlake-steps/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df, name: str = "step"):
+def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Write a DataFrame as parquet under the shared checkpoint folder and read it back.
 
     Cuts lineage like ``checkpoint()`` but computes the plan once (an eager checkpoint of
     an unpersisted plan runs it twice) and the result keeps column pruning on later scans.
     """
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/lintlake-steps/{name}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(path)

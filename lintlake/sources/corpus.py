@@ -1,12 +1,10 @@
-"""Sources: driver tables, the generated code corpus, directory scans."""
+"""Sources: the given tables, tables of source files, directory scans."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintlake.sources.templates import TEMPLATES
-
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -18,30 +16,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def neighbour(doc_id: Column) -> Column:
-    """Import target of a generated file: another module of the same package of ten."""
-    return F.floor(doc_id / 10) * 10 + (doc_id * 7 + 3) % 10
-
-
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Generated corpus ``code_files(file_id, path, content)`` derived from ``documents.doc_id``.
-
-    One row per document, so it grows with the scale factor.  The template text is
-    chosen by ``doc_id % 10`` and filled in with column expressions only.
-    """
-    docs = table(spark, sf_dir, "documents").select("doc_id")
-    tmpl = F.element_at(F.array(*[F.lit(t) for t in TEMPLATES]), (F.col("doc_id") % 10 + 1).cast("int"))
-    filled = F.replace(
-        F.replace(tmpl, F.lit("{i}"), F.col("doc_id").cast("string")),
-        F.lit("{j}"),
-        neighbour(F.col("doc_id")).cast("string"),
-    )
-    return docs.select(
-        F.col("doc_id").alias("file_id"),
-        F.concat(F.lit("pkg"), F.floor(F.col("doc_id") / 10).cast("string"), F.lit("/m"),
-                 F.col("doc_id").cast("string"), F.lit(".py")).alias("path"),
-        filled.alias("content"),
-    )
+    """The table ``code_files(file_id, path, content)`` of a folder that holds one; see ``scan_directory`` for raw folders."""
+    return table(spark, sf_dir, "code_files")
 
 
 def scan_directory(spark: SparkSession, root: str, glob: str = "*.py") -> DataFrame:

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lintlake.session import ensure_checkpoint_dir
+from lintlake.session import scratch  # noqa: F401
 
 FORMATS = ("json", "parquet")
 
@@ -19,10 +17,6 @@ ISSUE_SCHEMA = T.StructType([
 ])
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/lintlake-out/{name}-{uuid.uuid4().hex}"
-
-
 def export(df: DataFrame, fmt: str, path: str, partition_by: list[str] | None = None) -> str:
     """Write a findings table in the named format; an unknown name is an error."""
     if fmt not in FORMATS:

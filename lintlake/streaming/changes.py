@@ -1,76 +1,57 @@
-"""Structured Streaming over arriving slices.
+"""Structured Streaming over the given events.
 
-Events are written in time slices (plus a slice of late rows) to a folder under the
-shared checkpoint folder; a file source reads one slice per micro-batch.
+The stream reads the event files as they are; nothing is held back or re-cut.  Results are aggregates in complete mode, so
+how files are spread over micro-batches cannot change them, and no row is ever late: the answer after the last micro-batch
+is that of all rows.  Results and stream checkpoints live under the shared checkpoint folder.
 
-* W01 skips already-seen content inside the time to live: ``withWatermark`` plus
-  ``dropDuplicatesWithinWatermark`` on the content hash; late rows fall behind the
-  watermark and are dropped.
-* W02 keeps findings and the gate status per user and tumbling window; each micro-batch
-  upserts its changed windows through ``foreachBatch`` into a change log, and the
-  latest row per key is the current status.
+* W01 skips content that was already seen inside the time to live: events of equal content whose gaps are below the time to
+  live form one session, and a session's first event is the one that counts.
+* W02 keeps findings and the gate status per user and tumbling window.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintlake.sources import sinks
+from lintlake.session import scratch
 
-N_SLICES = 6
-LATE_EVERY = 50
 
+def _events(spark: SparkSession, path: str, files_per_batch: int | None) -> DataFrame:
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    head, _, tail = path.rpartition(".")
+    glob = f"{head}[.]{tail}"  # a pattern that only the path meets: the file source takes single files by pattern alone
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(glob).withColumn("ts", F.col("ts").cast("timestamp"))
 
-def write_slices(spark: SparkSession, events: DataFrame, root: str, n: int = N_SLICES) -> str:
-    """Write events as ``n`` time slices; every ``LATE_EVERY``-th event is held back into a final late slice."""
-    ev = events.withColumn("ts", F.col("ts").cast("timestamp"))
-    bounds = ev.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
-    lo, hi = bounds["lo"], bounds["hi"]
-    span = max((hi - lo).total_seconds(), 1.0)
-    k = F.least(F.lit(n - 1), F.floor((F.unix_timestamp("ts") - F.lit(lo.timestamp())) / F.lit(span / n))).cast("int")
-    tagged = ev.withColumn("slice", F.when(F.col("event_id") % LATE_EVERY == 0, F.lit(n)).otherwise(k))
-    # One write per slice, in order, so the file source sees them arrive in time order.
-    for s in range(n + 1):
-        tagged.filter(F.col("slice") == s).drop("slice").write.mode("overwrite").parquet(f"{root}/slice_{s:03d}")
-    return root
 
+def _run(spark: SparkSession, result: DataFrame, name: str) -> DataFrame:
+    """Runs the stream over all files that are there; the last micro-batch holds the complete result."""
+    out = scratch(spark, name)
+    last = {"path": None}
 
-def _source(spark: SparkSession, root: str, schema) -> DataFrame:
-    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/*")
-            .withColumn("ts", F.col("ts").cast("timestamp")))
+    def save(batch: DataFrame, batch_id: int) -> None:
+        path = f"{out}/batch-{batch_id}"
+        batch.write.mode("overwrite").parquet(path)
+        last["path"] = path
 
-
-def dedup_stream(spark: SparkSession, events: DataFrame, ttl: str = "1 hour") -> DataFrame:
-    """Arriving events with already-seen content skipped inside the time to live; late rows dropped."""
-    root = write_slices(spark, events, sinks.scratch(spark, "slices"))
-    schema = spark.read.parquet(f"{root}/slice_000").schema
-    out, ck = sinks.scratch(spark, "w01-out"), sinks.scratch(spark, "w01-ck")
-    s = (_source(spark, root, schema)
-         .withColumn("content_hash", F.sha2(F.concat_ws("|", "event_type", "props"), 256))
-         .withWatermark("ts", ttl)
-         .dropDuplicatesWithinWatermark(["content_hash"]))
-    q = s.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck).trigger(availableNow=True).start()
+    q = result.writeStream.outputMode("complete").foreachBatch(save).option("checkpointLocation", scratch(spark, f"{name}-state")).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(out)
+    if last["path"] is None:  # no file, no micro-batch
+        return spark.createDataFrame([], result.schema)
+    return spark.read.parquet(last["path"])
 
 
-def gate_stream(spark: SparkSession, events: DataFrame, window: str = "1 day", lateness: str = "1 day") -> DataFrame:
-    """Findings (error events) and gate status per user and tumbling window, upserted per micro-batch."""
-    root = write_slices(spark, events, sinks.scratch(spark, "slices"))
-    schema = spark.read.parquet(f"{root}/slice_000").schema
-    log, ck = sinks.scratch(spark, "w02-log"), sinks.scratch(spark, "w02-ck")
-    agg = (_source(spark, root, schema).withWatermark("ts", lateness)
-           .groupBy(F.window("ts", window).alias("w"), "user_id")
-           .agg(F.count_if(F.col("event_type") == "error").alias("findings"), F.count(F.lit(1)).alias("events")))
+def dedup_stream(spark: SparkSession, path: str, ttl: str = "1 hour", files_per_batch: int | None = None) -> DataFrame:
+    """(content_hash, first_ts, event_id, seen): the event that stands for every run of equal content within ``ttl``."""
+    ev = _events(spark, path, files_per_batch).withColumn("content_hash", F.sha2(F.concat_ws("|", "event_type", "props"), 256))
+    g = ev.groupBy("content_hash", F.session_window("ts", ttl)).agg(F.min(F.struct("ts", "event_id")).alias("first"), F.count(F.lit(1)).alias("seen"))
+    return _run(spark, g.select("content_hash", F.col("first.ts").alias("first_ts"), F.col("first.event_id").alias("event_id"), "seen"), "w01")
 
-    def upsert(batch: DataFrame, batch_id: int) -> None:
-        batch.select(F.col("w.start").alias("window_start"), "user_id", "findings", "events",
-                     (F.col("findings") == 0).alias("passed"), F.lit(batch_id).alias("batch_id")) \
-            .write.mode("append").parquet(log)
 
-    q = agg.writeStream.outputMode("update").foreachBatch(upsert).option("checkpointLocation", ck).trigger(availableNow=True).start()
-    q.awaitTermination()
-    changes = spark.read.parquet(log)
-    latest = Window.partitionBy("window_start", "user_id").orderBy(F.col("batch_id").desc())
-    return changes.withColumn("rn", F.row_number().over(latest)).filter("rn = 1").drop("rn", "batch_id")
+def gate_stream(spark: SparkSession, path: str, window: str = "1 day", files_per_batch: int | None = None) -> DataFrame:
+    """Findings (error events) and gate status per user and tumbling window."""
+    g = _events(spark, path, files_per_batch).groupBy(F.window("ts", window).alias("w"), "user_id").agg(
+        F.count_if(F.col("event_type") == "error").alias("findings"), F.count(F.lit(1)).alias("events"))
+    return _run(spark, g.select(F.col("w.start").alias("window_start"), "user_id", "findings", "events", (F.col("findings") == 0).alias("passed")), "w02")

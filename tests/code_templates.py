@@ -499,3 +499,18 @@ It spans several lines.
 
 # The ten templates in order 0..9.
 TEMPLATES: list[str] = [_T0, _T1, _T2, _T3, _T4, _T5, _T6, _T7, _T8, _T9]
+
+
+def write_code_files(documents, folder):
+    """A small table of source files, ten to a package: one template per document id, with its id and a neighbour's filled in."""
+    import os
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    rows = []
+    for i in documents:
+        text = TEMPLATES[i % 10].replace("{i}", str(i)).replace("{j}", str(i // 10 * 10 + (i * 7 + 3) % 10))
+        rows.append({"file_id": i, "path": f"pkg{i // 10}/m{i}.py", "content": text})
+    os.makedirs(f"{folder}/code_files.parquet")
+    pq.write_table(pa.Table.from_pylist(rows), f"{folder}/code_files.parquet/part-0.parquet")

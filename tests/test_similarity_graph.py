@@ -55,6 +55,30 @@ def test_components_min_label(spark):
     assert comp == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7}
 
 
+def test_components_of_a_long_chain_take_few_rounds(spark, monkeypatch):
+    from lintlake.operators import components as C
+
+    written = []
+    keep = C.materialize
+    monkeypatch.setattr(C, "materialize", lambda df, name: written.append(name) or keep(df, name))
+    rows = [(i, i + 1) for i in range(200)] + [(500, 501), (7, 7)]
+    got = {r.node: r.component for r in C.connected_components(spark.createDataFrame(rows, "u long, v long")).collect()}
+    assert got == {i: 0 for i in range(201)} | {500: 500, 501: 500}
+    assert written.count("large-star") <= 14
+
+
+def test_reachable_and_shortest_cycles(spark):
+    from lintlake.operators import linkgraph as L
+
+    chain = [(f"n{i:02d}", f"n{i + 1:02d}") for i in range(20)]
+    e = spark.createDataFrame([*chain, ("a", "b"), ("b", "c"), ("c", "a"), ("b", "a"), ("s", "s"), ("c", "d"), ("d", "n00")], "src string, dst string")
+    far = {(r.seed, r.node): r.distance for r in L.reachable(e, spark.createDataFrame([("n00",), ("zz",)], "node string")).collect()}
+    assert far == {("n00", f"n{i:02d}"): i for i in range(21)} | {("zz", "zz"): 0}
+    assert {r.node: r.length for r in L.shortest_cycles(e).collect()} == {"a": 2, "b": 2, "c": 3, "s": 1}
+    none = spark.createDataFrame(chain, "src string, dst string")
+    assert L.cyclic_core(none).count() == 0
+
+
 def test_document_groups_equal_brute_force(spark):
     from lintlake.plans.q_patterns import d11_document_duplicate_groups
 

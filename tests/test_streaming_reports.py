@@ -5,39 +5,54 @@ from pyspark.sql import functions as F
 SF = "/root/testdata/sf0.001"
 
 
-def test_dedup_stream_keeps_one_row_per_hash_within_ttl(spark):
-    from lintlake.plans.q_streaming import w01_dedup_within_ttl
+def _spread(spark, tmp_path, n):
+    """The same events in ``n`` files of shuffled rows."""
+    path = str(tmp_path / f"in{n}" / "events.parquet")
+    spark.read.parquet(f"{SF}/events.parquet").repartition(n, F.rand(3)).write.parquet(path)
+    return path
 
-    out = w01_dedup_within_ttl(spark, SF).withColumn("ts", F.col("ts").cast("long"))
-    rows = sorted((r.content_hash, r.ts) for r in out.select("content_hash", "ts").collect())
-    for (h1, t1), (h2, t2) in zip(rows, rows[1:]):
-        if h1 == h2:
-            assert t2 - t1 >= 0  # later copies only survive once the earlier one left the watermark
-    total = spark.read.parquet(f"{SF}/events.parquet").count()
-    assert 0 < out.count() <= total
 
+def _rows(df):
+    return sorted(map(str, df.collect()))
 
-def test_gate_stream_counts_match_batch(spark):
-    from lintlake.plans.q_streaming import w02_window_gate_status
 
-    st = w02_window_gate_status(spark, SF)
-    assert st.filter(F.col("passed") != (F.col("findings") == 0)).count() == 0
-    assert st.agg(F.sum("events")).first()[0] <= spark.read.parquet(f"{SF}/events.parquet").count()
+def test_dedup_stream_is_the_same_for_any_layout(spark, tmp_path):
+    from lintlake.streaming import changes
 
+    ev = [(r.event_id, r.ts, f"{r.event_type}|{r.props}") for r in spark.read.parquet(f"{SF}/events.parquet").collect()]
+    last, want = {}, 0
+    for _i, ts, content in sorted(ev, key=lambda e: (e[1], e[0])):
+        if content not in last or (ts - last[content]).total_seconds() >= 3600:
+            want += 1
+        last[content] = ts
+    first = _rows(changes.dedup_stream(spark, f"{SF}/events.parquet"))
+    assert len(first) == want
+    for n, per in ((1, None), (6, 1), (20, 7)):
+        assert _rows(changes.dedup_stream(spark, _spread(spark, tmp_path, n), files_per_batch=per)) == first
 
-def test_severity_counts_sum_to_total(spark):
+
+def test_gate_stream_is_the_same_for_any_layout(spark, tmp_path):
+    from lintlake.streaming import changes
+
+    first = changes.gate_stream(spark, f"{SF}/events.parquet")
+    assert first.agg(F.sum("events")).first()[0] == spark.read.parquet(f"{SF}/events.parquet").count()
+    for n, per in ((6, 1), (20, 7)):
+        assert _rows(changes.gate_stream(spark, _spread(spark, tmp_path, n), files_per_batch=per)) == _rows(first)
+
+
+def test_severity_counts_sum_to_total(spark, code_sf):
     from lintlake.plans.q_rollup import r02_summary
 
-    s = r02_summary(spark, SF)
+    s = r02_summary(spark, code_sf)
     bad = s.filter(F.col("critical") + F.col("high") + F.col("medium") + F.col("low") != F.col("total_issues"))
     assert bad.count() == 0
 
 
-def test_no_fixes_gives_input_back(spark):
+def test_no_fixes_gives_input_back(spark, code_sf):
     from lintlake.operators import repair as RP
     from lintlake.plans.substrate import for_corpus
 
-    sub = for_corpus(spark, SF)
+    sub = for_corpus(spark, code_sf)
     empty = spark.createDataFrame([], "file_id long, issue_id string, line_start bigint, fixed_code string")
     out = RP.apply_fixes(sub.lines, empty).select("file_id", "content")
     orig = sub.files.select("file_id", F.col("content").alias("orig"))
@@ -60,3 +75,48 @@ def test_entry_and_contract(spark):
     assert df.count() > 0
     q, o = e.queries(), e.oracle_sql()
     assert set(o) <= set(q)
+
+
+def test_scratch_needs_a_shared_folder_off_local_masters():
+    from lintlake.session import is_local
+
+    assert is_local("local") and is_local("local[8]")
+    assert not is_local("local-cluster[3,2,1024]") and not is_local("spark://h:7077") and not is_local("yarn")
+
+
+def test_no_shared_folder_is_an_error(monkeypatch):
+    import pytest
+
+    from lintlake import session
+
+    class Context:
+        master = "yarn"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Conf:
+        def get(self, key, default):
+            return default
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(RuntimeError):
+        session.ensure_checkpoint_dir(Session())
+
+
+def test_rules_on_typed_lines(spark):
+    from lintlake.operators import textrules as T
+
+    text = 'token = "abc" and me.x@mail.org\nnothing here\nLicensed ### 1234567890123 8.8.8.8'
+    df = spark.createDataFrame([(1, text), (2, ""), (3, None)], "doc_id long, text string")
+    f = T.findings(df, "doc_id")
+    assert sorted((r.line_no, r.rule, r.matches, r.evidence) for r in f.collect()) == [
+        (1, "email", 1, "me.x@mail.org"), (1, "secret", 1, 'token = "abc"'), (3, "ip_address", 1, "8.8.8.8"), (3, "junk_marks", 1, "###"),
+        (3, "license_line", 1, "License"), (3, "long_number", 1, "1234567890123")]
+    rep = {r.doc_id: r for r in T.reports(df, f, "doc_id").collect()}
+    assert (rep[1].total, rep[1].worst, rep[1].passed, rep[1].score) == (6, "critical", False, 25)
+    assert (rep[2].total, rep[2].worst, rep[2].passed) == (0, "none", True) and rep[3].total == 0
+    fixed = df.select(T.repaired(F.col("text")).alias("t")).first()["t"]
+    assert fixed == 'token = "[secret]" and [email]\nnothing here\nLicensed  [number] [ip]'

@@ -6,7 +6,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from lintlake.plans.catalog import load_all  # noqa: E402
+from lintlake.plans.catalog import load_all, load_code  # noqa: E402
 from lintlake.plans.check import compare, duck  # noqa: E402
 from lintlake.session import get_spark  # noqa: E402
 
@@ -16,7 +16,7 @@ def main():
     sf_dir = args.pop(0) if args and args[0].startswith("/") else "/root/testdata/sf0.01"
     spark = get_spark()
     con = duck(sf_dir)
-    reg = load_all()
+    reg = {**load_all(), **load_code()}
     names = args or sorted(reg)
     bad = 0
     for name in names:

@@ -9,7 +9,7 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from lintlake.plans.catalog import load_all  # noqa: E402
+from lintlake.plans.catalog import load_all, load_code  # noqa: E402
 from lintlake.session import get_spark  # noqa: E402
 
 
@@ -28,7 +28,7 @@ def main():
     args = sys.argv[1:]
     sf = args.pop(0) if args and args[0].startswith("/") else "/root/testdata/sf0.01"
     spark = get_spark()
-    reg = load_all()
+    reg = {**load_all(), **load_code()}
     print("| query | shuffles | broadcasts | codegen ops | columns read |")
     print("| --- | --- | --- | --- | --- |")
     for name in args:
