@@ -36,7 +36,23 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
-@query("op2_ngram_join")
+OP2_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 2], ' ') AS s
+  FROM (SELECT doc_id, ws, unnest(generate_series(1, greatest(len(ws) - 2, least(len(ws), 1)))) AS i FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+inter AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT x, y FROM inter JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * k >= 90 * (p.n + q.n - k)),
+e AS (SELECT x AS u, y AS v FROM link UNION ALL SELECT y, x FROM link),
+r AS (SELECT doc_id AS node, doc_id AS other FROM documents UNION SELECT r.node, e.v FROM r JOIN e ON e.u = r.other),
+c AS (SELECT node, min(other) AS component_id FROM r GROUP BY node)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN c ON c.node = d.doc_id
+"""
+
+
+@query("op2_ngram_join", OP2_SQL)
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents: 3-word shingles, Jaccard of at least 0.9."""
     return ngramjoin.components(table(spark, sf_dir, "documents"), width=3, percent=90).select("doc_id", "n_shingles", "component_id")
@@ -101,7 +117,22 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
-@query("op10_suffix_dedup")
+OP10_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT r, i, md5(substr(h, 2 * i + 1, 800)) AS k FROM (SELECT r, h, unnest(range(0, greatest(len(h) // 2 - 399, 0))) AS i FROM d)),
+s AS (SELECT r, i FROM p WHERE k IN (SELECT k FROM p GROUP BY k HAVING count(*) > 1)),
+g AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 400 THEN 0 ELSE 1 END AS new FROM s),
+q AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS span FROM g),
+c AS (SELECT r, span, min(i) AS a, max(i) + 400 AS z FROM q GROUP BY ALL),
+k AS (SELECT r, a, z, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) AS after FROM c),
+j AS (SELECT k.r, count(*) AS n_spans, sum(z - a) AS gone, string_agg(substr(h, 2 * after + 1, 2 * (a - after)), '' ORDER BY a) AS head, max(z) AS last FROM k JOIN d ON d.r = k.r GROUP BY k.r)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN j ON j.r = d.r
+"""
+
+
+@query("op10_suffix_dedup", OP10_SQL)
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every byte of a 400-byte string that starts twice is removed."""
     out = suffixdedup.remove(table(spark, sf_dir, "documents"), length=400)
