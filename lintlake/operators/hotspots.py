@@ -27,16 +27,16 @@ BANDS = {
     "class_loc": (300, 400, 500),
 }
 
-# Advice per metric key; cyclomatic has a stronger text in the critical band.
+# Advice per metric key; cyclomatic has a stronger text in the critical band.
 ADVICE = {
-    "cyclomatic": "Consider breaking this function into smaller, more focused functions.",
-    "cyclomatic_critical": "Refactor this function into smaller functions with single responsibilities.",
-    "cognitive": "Reduce nesting by using early returns, guard clauses, or extracting nested logic into separate functions.",
-    "nesting": "Consider flattening the code structure with early returns, guard clauses, or extract nested blocks into separate functions.",
-    "parameters": "Consider grouping related parameters into a dataclass or using **kwargs for optional parameters.",
-    "function_loc": "This function is too long. Consider breaking it into smaller, single-purpose functions.",
-    "methods": "This class may have too many responsibilities. Consider splitting it into smaller, more focused classes.",
-    "class_loc": "This class is very large. Consider extracting related functionality into separate classes or modules.",
+    "cyclomatic": "split off branches that do one thing each",
+    "cyclomatic_critical": "rewrite as several functions before adding anything",
+    "cognitive": "return early and move inner blocks out",
+    "nesting": "turn outer conditions around and leave early",
+    "parameters": "pass related values as one object",
+    "function_loc": "cut the function where its steps end",
+    "methods": "move a group of related methods to a class of their own",
+    "class_loc": "split the class by what its parts are used for",
 }
 
 SEVERITY_RANK = {"critical": 0, "high": 1, "medium": 2, "low": 3, "info": 4}

@@ -31,10 +31,10 @@ KINDS = {
     "parameter_grouping": ("Group related parameters into a dataclass or config object", "medium", True),
     "resource_leak": ("Use context manager (with statement) for automatic resource cleanup", "high", False),
 }
-# Replacement text of the kinds that do not rewrite the line itself.
-COMMAND_FIX = '# Use subprocess.run with list argument instead\nsubprocess.run(["command", "arg1", "arg2"], check=True)'
-PATH_FIX = ('# Validate and sanitize file path\nsafe_path = os.path.normpath(user_path)\nif not safe_path.startswith(allowed_base_dir):\n'
-            '    raise ValueError("Path traversal attempt detected")\nwith open(safe_path) as f:\n    ...')
+# Replacement text of the kinds that do not rewrite the line itself.
+COMMAND_FIX = "# run the program without a shell: pass its arguments as a list\nsubprocess.run([program, *arguments], check=True)"
+PATH_FIX = ("# stay below the allowed folder\ntarget = Path(base, name).resolve()\nif Path(base).resolve() not in target.parents:\n"
+            "    raise PermissionError(name)")
 DIVISION_PREFIX = "# Add: if denominator != 0 before division\n"
 NONE_PREFIX = "# Add guard clause\nif value is None:\n    return None  # or handle appropriately\n"
 EXTRACT_FIX = "# Extract logical blocks into helper functions"

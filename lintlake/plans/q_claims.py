@@ -123,11 +123,11 @@ def x23_contract_answers(spark, sf_dir):
 @code_query("x24_prompts", _k("""
 SELECT f.file_id, f.qualified_name,
   'Function: ' || f.qualified_name || chr(10) || 'Parameters: ' ||
-  coalesce((SELECT string_agg(p.name || ': ' || coalesce(p.type_hint, 'no type hint') || ', ' || CASE WHEN p.has_default THEN 'has default' ELSE 'no default' END,
+  coalesce((SELECT string_agg(p.name || ': ' || coalesce(p.type_hint, 'untyped') || ', ' || CASE WHEN p.has_default THEN 'optional' ELSE 'required' END,
                               '; ' ORDER BY p.pos) FROM params p WHERE p.file_id = f.file_id AND p.ln_start = f.line_start), 'none') || chr(10) ||
-  'None checks: ' || CASE WHEN f.none_checks = '' THEN 'No None checks detected' ELSE 'Has None checks for: ' || replace(f.none_checks, ',', ', ') END || chr(10) ||
+  'Tests: ' || CASE WHEN f.none_checks = '' THEN 'no parameter is tested' ELSE 'tested parameters: ' || replace(f.none_checks, ',', ', ') END || chr(10) ||
   'Calls: ' || CASE WHEN f.calls = '' THEN 'none' ELSE array_to_string(list_slice(string_split(f.calls, ','), 1, 10), ', ') ||
-     CASE WHEN len(string_split(f.calls, ',')) > 10 THEN ' (and ' || CAST(len(string_split(f.calls, ',')) - 10 AS VARCHAR) || ' more)' ELSE '' END END AS prompt
+     CASE WHEN len(string_split(f.calls, ',')) > 10 THEN ' + ' || CAST(len(string_split(f.calls, ',')) - 10 AS VARCHAR) || ' others' ELSE '' END END AS prompt
 FROM ffacts f
 """))
 def x24_prompts(spark, sf_dir):
