@@ -49,6 +49,7 @@ def _import() -> None:
         q_repair,
         q_rollup,
         q_structure,
+        t_contracts,
         t_findings,
         t_graph,
         t_metrics,
