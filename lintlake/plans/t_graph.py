@@ -12,7 +12,7 @@ from lintlake.sources import corpus
 EDGES = r"""
 WITH RECURSIVE p AS (SELECT page_id, lower(regexp_extract(html, '<h1>([^< ]+)', 1)) AS src, regexp_extract_all(html, '<a href="/([^"]+)"', 1) AS links FROM pages),
 e AS (SELECT src, dst, count(*) AS n FROM (SELECT src, lower(unnest(links)) AS dst FROM p WHERE src <> '') GROUP BY ALL),
-seeds AS (SELECT src AS node FROM p WHERE src <> '' AND page_id % 50 = 0 GROUP BY src),
+seeds AS (SELECT DISTINCT src AS node FROM e WHERE src NOT IN (SELECT dst FROM e)),
 r AS (SELECT node AS seed, node FROM seeds UNION SELECT r.seed, e.dst FROM r JOIN e ON e.src = r.node)
 """
 
@@ -26,9 +26,15 @@ def _graph(spark, sf_dir):
     return _edges(spark, sf_dir).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _seeds(spark, sf_dir):
-    """Start nodes: the topics of every fiftieth page."""
-    return _edges(spark, sf_dir).filter("page_id % 50 = 0").select(F.col("src").alias("node")).distinct()
+def _entries(g):
+    """Topics that no page links to."""
+    return g.select(F.col("src").alias("node")).distinct().join(g.select(F.col("dst").alias("node")).distinct(), "node", "left_anti")
+
+
+def _ends(g):
+    """Topics that link to no other topic."""
+    known = g.select(F.col("src").alias("dst")).distinct()
+    return g.select(F.col("src").alias("node")).distinct().join(g.join(known, "dst", "left_semi").select(F.col("src").alias("node")).distinct(), "node", "left_anti")
 
 
 @query("g01_link_edges", EDGES + "SELECT src, dst, n FROM e")
@@ -46,20 +52,21 @@ def g02_resolved_links(spark, sf_dir):
 
 @query("g04_reachable_topics", EDGES + "SELECT seed, count(*) AS reached FROM r GROUP BY seed")
 def g04_reachable_topics(spark, sf_dir):
-    """What every seed reaches, by appending frontiers."""
-    return L.reachable(_graph(spark, sf_dir), _seeds(spark, sf_dir)).groupBy("seed").agg(F.count(F.lit(1)).alias("reached"))
+    """What every entry topic reaches, by appending frontiers."""
+    g = _graph(spark, sf_dir)
+    return L.reachable(g, _entries(g)).groupBy("seed").agg(F.count(F.lit(1)).alias("reached"))
 
 
 @query("g05_dependent_topics", EDGES.replace("JOIN e ON e.src = r.node", "JOIN e ON e.dst = r.node").replace("SELECT r.seed, e.dst", "SELECT r.seed, e.src")
+       .replace("SELECT DISTINCT src AS node FROM e WHERE src NOT IN (SELECT dst FROM e)", "SELECT src AS node FROM e GROUP BY src HAVING count(*) FILTER (WHERE dst IN (SELECT src FROM e)) = 0")
        + "SELECT seed, count(*) - 1 AS dependents FROM r GROUP BY seed")
 def g05_dependent_topics(spark, sf_dir):
-    """The reverse closure: topics from which a seed can be reached."""
-    back = _graph(spark, sf_dir).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return L.reachable(back, _seeds(spark, sf_dir)).groupBy("seed").agg((F.count(F.lit(1)) - 1).alias("dependents"))
+    """The reverse closure: topics from which a topic without links to others can be reached."""
+    g = _graph(spark, sf_dir)
+    return L.reachable(g.select(F.col("dst").alias("src"), F.col("src").alias("dst")), _ends(g)).groupBy("seed").agg((F.count(F.lit(1)) - 1).alias("dependents"))
 
 
-@query("g06_topic_cycles", EDGES.replace("seeds AS (SELECT src AS node FROM p WHERE src <> '' AND page_id % 50 = 0 GROUP BY src)", "seeds AS (SELECT DISTINCT src AS node FROM e)")
-       .replace("r AS (SELECT node AS seed, node FROM seeds UNION SELECT r.seed, e.dst FROM r JOIN e ON e.src = r.node)",
+@query("g06_topic_cycles", EDGES.replace("r AS (SELECT node AS seed, node FROM seeds UNION SELECT r.seed, e.dst FROM r JOIN e ON e.src = r.node)",
                 "r AS (SELECT src AS seed, dst AS node, 1 AS d FROM e UNION SELECT r.seed, e.dst, r.d + 1 FROM r JOIN e ON e.src = r.node WHERE r.node <> r.seed AND r.d < 12)")
        + "SELECT seed AS node, CAST(min(d) AS BIGINT) AS length FROM r WHERE node = seed GROUP BY seed")
 def g06_topic_cycles(spark, sf_dir):
