@@ -38,11 +38,18 @@ from lintlake.llm.common import carried, keep, partitions
 from lintlake.llm.textbuf import BYTE_CODE, U, buffers, chunks, mix, powers, prefix_sums, ranges, signed, span_hash
 
 SLICE = 1 << 25  # longer texts are scanned in slices that overlap by a window, so places fit the key's 26 bits
-TASK_BYTES = 4 << 20  # fragment bytes that are suffix-sorted at once
+ROWS = 1000  # texts that a task holds at once when it cuts or trims
+TASK_BYTES = 2 << 20  # fragment bytes that are suffix-sorted at once
 BROADCAST_ROWS = 1 << 19  # places of fragments are broadcast up to this many (some 50 bytes each), joined by shuffle beyond
 PLACE = U((1 << 26) - 1)
 
 
+def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for i in range(0, b.num_rows, ROWS):
+            yield b.slice(i, ROWS)
+
+
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     """Smallest of every ``width`` neighbours, by prefix and suffix minima of blocks."""
     n = len(x)
@@ -55,11 +62,14 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, off: np.ndarray, length: int, gram: int):
-    """(anchor, fragment, row, first window, windows) of all owned fragments; places are counted within a row."""
+    """(anchor, fragment, row, first window, windows, times) of all owned fragments; places are counted within a row.
+
+    Equal fragments that follow one another (periodic text) are one entry with their number.
+    """
     n = len(data)
     if n < length:
         z = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), z, z, z
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), z, z, z, z
     sums = prefix_sums(data, BYTE_CODE)
     _, inv = powers(n + 1)
     h = mix((sums[gram:] - sums[:-gram]) * inv[: n + 1 - gram])
@@ -75,12 +85,16 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int, gram: int):
     ok = valid[start]
     start, count = start[ok], count[ok]
     row = np.searchsorted(off, start, side="right") - 1
-    return h[at[start]], span_hash(sums, start, start + count - 1 + length), row, start - off[row], count
+    h, f = h[at[start]], span_hash(sums, start, start + count - 1 + length)
+    lead = np.ones(len(start), bool)
+    lead[1:] = (h[1:] != h[:-1]) | (f[1:] != f[:-1]) | (count[1:] != count[:-1]) | (start[1:] != start[:-1] + count[:-1])
+    times = np.diff(np.append(np.flatnonzero(lead), len(start)))
+    return h[lead], f[lead], row[lead], start[lead] - off[row[lead]], count[lead], times
 
 
 def fragments(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(doc_id, th, h, f, s, n): every anchor's fragment."""
-    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("h", pa.int64()), ("f", pa.int64()), ("s", pa.int64()), ("n", pa.int64())])
+    """(doc_id, th, h, f, s, n, m): every anchor's fragment, m times in a row."""
+    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("h", pa.int64()), ("f", pa.int64()), ("s", pa.int64()), ("n", pa.int64()), ("m", pa.int64())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -88,11 +102,11 @@ def fragments(docs: DataFrame, length: int, gram: int) -> DataFrame:
             for i, j, data, off in chunks(b.column("text")):
                 for lo in range(0, max(1, len(data) - length + 1), SLICE) if j - i == 1 else (0,):
                     part, o = (data[lo : lo + SLICE + length - 1], np.array([0, min(len(data) - lo, SLICE + length - 1)])) if j - i == 1 else (data, off)
-                    h, f, row, s, n = anchors(part, o, length, gram)
+                    h, f, row, s, n, m = anchors(part, o, length, gram)
                     take = pa.array(row + i)
-                    yield pa.RecordBatch.from_arrays([doc.take(take), th.take(take), pa.array(signed(h)), pa.array(signed(f)), pa.array(s + lo), pa.array(n)], schema=schema)
+                    yield pa.RecordBatch.from_arrays([doc.take(take), th.take(take), pa.array(signed(h)), pa.array(signed(f)), pa.array(s + lo), pa.array(n), pa.array(m)], schema=schema)
 
-    return keep(docs.mapInArrow(scan, "doc_id long, th long, h long, f long, s long, n long"), "repeat-anchors")
+    return keep(docs.mapInArrow(scan, "doc_id long, th long, h long, f long, s long, n long, m long"), "repeat-anchors")
 
 
 def suffix_ranks(data: np.ndarray, depth: int) -> np.ndarray:
@@ -219,20 +233,23 @@ def repeats(docs: DataFrame, length: int = 400, gram: int = 256, first: bool = F
     d = keyed(docs)
     frag = fragments(d, length, gram)
     occ = F.struct("doc_id", "th", "s")
-    groups = frag.groupBy("h").agg(F.count(F.lit(1)).alias("c"), (F.min("f") != F.max("f")).alias("mixed")).filter("c > 1").drop("c")
+    groups = frag.groupBy("h").agg(F.sum("m").alias("c"), (F.min("f") != F.max("f")).alias("mixed")).filter("c > 1").drop("c")
     cand = keep(frag.join(groups, "h"), "repeat-candidates")
 
     def later(rows: DataFrame, key: list[str]) -> DataFrame:
-        """Without the first occurrence of every key."""
+        """(doc_id, th, a, z) of the rows' windows, in mode first without the first occurrence of every key."""
+        z = (F.col("s") + F.col("n") * F.col("m")).alias("z")
+        if not first:
+            return rows.select("doc_id", "th", F.col("s").alias("a"), z)
         lead = rows.groupBy(*key).agg(F.min(occ).alias("lead"))
-        return rows.join(lead, key).filter(~F.col("lead").eqNullSafe(occ)) if first else rows
+        a = F.col("s") + F.when(F.col("lead").eqNullSafe(occ), F.col("n")).otherwise(0)
+        return rows.join(lead, key).select("doc_id", "th", a.alias("a"), z).filter("a < z")
 
-    span = ["doc_id", "th", F.col("s").alias("a"), (F.col("s") + F.col("n")).alias("z")]
-    out = later(cand.filter("NOT mixed"), ["h"]).select(*span)
+    out = later(cand.filter("NOT mixed"), ["h"])
     mixed = cand.filter("mixed").drop("mixed")
-    kinds = keep(mixed.groupBy("h", "f").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc_id", "th", "s", "n")).alias("lead")), "repeat-kinds")
+    kinds = keep(mixed.groupBy("h", "f").agg(F.sum("m").alias("c"), F.min(F.struct("doc_id", "th", "s", "n")).alias("lead")), "repeat-kinds")
     same = mixed.join(kinds.filter("c > 1").select("h", "f"), ["h", "f"], "left_semi")
-    out = out.unionByName(later(same, ["h", "f"]).select(*span))
+    out = out.unionByName(later(same, ["h", "f"]))
 
     # One representative of every distinct fragment, with its text.
     reps = kinds.select("h", "f", "c", "lead.*")
@@ -243,7 +260,7 @@ def repeats(docs: DataFrame, length: int = 400, gram: int = 256, first: bool = F
                         ("kinds", pa.int64()), ("frag", pa.binary())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _few(batches):
             for r in range(b.num_rows):
                 raw = b.column("text")[r].as_buffer().to_pybytes()
                 rows = b.column("parts")[r].as_py()
@@ -276,7 +293,7 @@ def remove(docs: DataFrame, length: int = 400, gram: int = 256, first: bool = Fa
     d = d.join(s, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t")), "left").select("doc_id", "row", "text", "runs")
 
     def trim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _few(batches):
             data, off = buffers(b.column("text"))
             tail = (data & 0xC0) == 0x80  # bytes inside a character
             raw = data.tobytes()
