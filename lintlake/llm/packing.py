@@ -11,9 +11,9 @@ pieces and gaps:
    nearest gap above it at its balance level: the smallest gap that it fits and that no larger piece has taken.
 3. *Conflicts.*  Pieces that want the same gap have different levels by their rank, so each gap slot gets one piece at most.
    A gap of g >= h offers g // h slots in one round.
-4. *Update.*  Gaps shrink by what they got; pieces without a gap go to the next round.  When gaps run out, the fewest
-   sequences that could hold the remaining tokens are opened empty, until so few pieces are left that opening enough for
-   all of them at once costs less than ``settle`` of the sequences.
+4. *Update.*  Gaps shrink by what they got; pieces without a gap go to the next round.  The size classes tell before a round
+   how many pieces it will leave over.  When hardly any match, the fewest sequences that could hold the rest are opened
+   empty; when fewer than ``settle`` of the sequences' number are left over, enough for all of them.
 
 Pieces of at most 1/32 of the capacity are first joined with pieces of the same length into items of up to 1/16.
 
@@ -26,9 +26,9 @@ are kept; an empty table gives an empty result; extra columns of the input are i
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from lintlake.llm.common import keep
 from lintlake.llm.encoding import encoder
+from lintlake.session import ensure_checkpoint_dir
 
 END_ID = 2
 
@@ -115,7 +116,25 @@ def _sweep(items: DataFrame, slots: DataFrame) -> DataFrame:
     return rows.filter("kind = 1 AND above.kind = 0").select(F.col("id").alias("iid"), "size", F.col("above.id").alias("sid"))
 
 
-def place(pieces_: DataFrame, capacity: int = 1024, settle: float = 0.005) -> DataFrame:
+def _offers(gap: int, top: int) -> int:
+    return max(1, gap // top)
+
+
+def _unmatched(sizes: dict[int, int], gaps: dict[int, int], top: int) -> int:
+    """Pieces that a sweep over these size classes would leave without a gap."""
+    least, free, left = min(sizes), 0, 0
+    slots: dict[int, int] = {}
+    for g, n in gaps.items():
+        if g >= least:
+            slots[min(g, top)] = slots.get(min(g, top), 0) + n * _offers(g, top)
+    for size in sorted({*sizes, *slots}, reverse=True):
+        free += slots.get(size, 0)
+        got = min(free, sizes.get(size, 0))
+        free, left = free - got, left + sizes.get(size, 0) - got
+    return left
+
+
+def place(pieces_: DataFrame, capacity: int = 1024, settle: float = 0.01) -> DataFrame:
     """(pid, sequence_id, offset) for (pid, length) rows with unique pids and 0 < length <= capacity."""
     spark = pieces_.sparkSession
     p = pieces_.select("pid", "length")
@@ -124,44 +143,46 @@ def place(pieces_: DataFrame, capacity: int = 1024, settle: float = 0.005) -> Da
     small = p.filter(F.col("length") <= capacity // 2)
     members = keep(bundles(small.filter(F.col("length") <= unit // 2), unit).unionByName(
         small.filter(F.col("length") > unit // 2).select("pid", F.col("pid").alias("iid"), F.lit(0).cast("long").alias("ahead"), F.col("length").alias("size"))), "pack-items")
-    items = members.filter("pid = iid").select("iid", "size")
-    gaps = big.filter(F.col("length") < capacity).select(F.col("pid").alias("sid"), (capacity - F.col("length")).alias("gap"))
-    placed = [big.select("pid", F.col("pid").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
-    done: list[DataFrame] = []
+    # The state of the rounds: gaps (kind 0) and items without a place (kind 1), one table.
+    state = big.filter(F.col("length") < capacity).select(F.lit(0).alias("kind"), F.col("pid").alias("id"), (capacity - F.col("length")).alias("size")).unionByName(
+        members.filter("pid = iid").select(F.lit(1).alias("kind"), F.col("iid").alias("id"), "size"))
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pack-places-{uuid.uuid4().hex}"
+    spark.createDataFrame([], "iid long, sequence_id long, at long").write.parquet(folder)
     opened = big.count()
     fresh = 0
     top = capacity // 2
     while top >= 1:
         low = top // 2 if top > unit else 0
-        left = items.filter((F.col("size") > low) & (F.col("size") <= top))
         while True:
-            n, tokens, least = left.agg(F.count(F.lit(1)), F.sum("size"), F.min("size")).first()
+            classes = state.groupBy("kind", "size").agg(F.count(F.lit(1)).alias("n")).collect()  # at most two rows per possible size
+            sizes = {r["size"]: r["n"] for r in classes if r["kind"] == 1 and low < r["size"] <= top}
+            gaps = {r["size"]: r["n"] for r in classes if r["kind"] == 0}
+            n = sum(sizes.values())
             if not n:
                 break
-            usable = gaps.filter(F.col("gap") >= least)
-            room = usable.agg(F.sum(F.greatest(F.floor(F.col("gap") / top), F.lit(1)))).first()[0] or 0
-            if room < n / 10:
-                # The fewest sequences that can hold the rest, or enough for every piece once that hardly matters.
-                tight, enough = -(-tokens // capacity), -(-n // (capacity // top))
-                m = enough if n <= max(1, settle * opened) else tight
-                new = spark.range(fresh, fresh + m).select((-F.col("id") - 1).alias("sid"), F.lit(capacity).cast("long").alias("gap"))
+            rest = _unmatched(sizes, gaps, top)
+            # Too few left over to matter: enough new sequences for all of them.  Hardly any match: the fewest that hold the rest.
+            m = -(-rest // (capacity // top)) if rest <= max(1, settle * opened) else 0 if rest < 0.9 * n else -(-sum(k * v for k, v in sizes.items()) // capacity)
+            if m:
+                new = spark.range(fresh, fresh + m).select(F.lit(0).alias("kind"), (-F.col("id") - 1).alias("id"), F.lit(capacity).cast("long").alias("size"))
                 fresh, opened = fresh + m, opened + m
-                gaps = gaps.unionByName(new)
-                usable = gaps.filter(F.col("gap") >= least)
-            offers = usable.select("sid", F.least(F.col("gap"), F.lit(top)).alias("slot"),
-                                   F.explode(F.sequence(F.lit(1), F.greatest(F.floor(F.col("gap") / top), F.lit(1)))).alias("no")).drop("no")
-            match = keep(_sweep(left, offers), "pack-match")
-            got = match.groupBy("sid").agg(F.sum("size").alias("got"))
+                state = state.unionByName(new)
+            left = state.filter((F.col("kind") == 1) & (F.col("size") > low) & (F.col("size") <= top)).select(F.col("id").alias("iid"), "size")
+            open_ = state.filter("kind = 0").select(F.col("id").alias("sid"), F.col("size").alias("gap"))
+            each = F.greatest(F.floor(F.col("gap") / top), F.lit(1))
+            slots = open_.filter(F.col("gap") >= min(sizes)).select("sid", F.least(F.col("gap"), F.lit(top)).alias("slot"), F.explode(F.sequence(F.lit(1), each))).drop("col")
+            match = keep(_sweep(left, slots), "pack-match")
             before = Window.partitionBy("sid").orderBy("iid").rowsBetween(Window.unboundedPreceding, -1)
-            done.append(match.join(gaps, "sid").select("iid", F.col("sid").alias("sequence_id"),
-                                                       (capacity - F.col("gap") + F.coalesce(F.sum("size").over(before), F.lit(0))).alias("at")))
-            gaps = keep(gaps.join(got, "sid", "left").select("sid", (F.col("gap") - F.coalesce("got", F.lit(0))).alias("gap")).filter("gap > 0"), "pack-gaps")
-            left = left.join(match.select("iid"), "iid", "left_anti")
+            at = capacity - F.col("gap") + F.coalesce(F.sum("size").over(before), F.lit(0))
+            match.join(open_, "sid").select("iid", F.col("sid").alias("sequence_id"), at.alias("at")).write.mode("append").parquet(folder)
+            used = match.groupBy(F.lit(0).alias("kind"), F.col("sid").alias("id")).agg(F.sum("size").alias("used")).unionByName(
+                match.select(F.lit(1).alias("kind"), F.col("iid").alias("id"), F.col("size").alias("used")))
+            state = state.join(used, ["kind", "id"], "left").select("kind", "id", (F.col("size") - F.coalesce("used", F.lit(0))).alias("size")).filter("size > 0")
+            state = keep(state, "pack-state")
         top = low
-    if done:
-        where = reduce(DataFrame.unionByName, done)
-        placed.append(members.join(where, "iid").select("pid", "sequence_id", (F.col("at") + F.col("ahead")).alias("offset")))
-    return reduce(DataFrame.unionByName, placed)
+    where = spark.read.parquet(folder)
+    rest_ = members.join(where, "iid").select("pid", "sequence_id", (F.col("at") + F.col("ahead")).alias("offset"))
+    return big.select("pid", F.col("pid").alias("sequence_id"), F.lit(0).cast("long").alias("offset")).unionByName(rest_)
 
 
 def pack(docs: DataFrame, tokenizer: str, keeps_space: bool = True, capacity: int = 1024, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
