@@ -11,8 +11,8 @@ documents link when 100 * |A ∩ B| >= percent * |A ∪ B|.
   whole sets.
 * *Groups of copies.*  Equal sets are one node.  Large groups of near copies are linked by rounds of stars: every token's
   documents are tested against one seeded pivot, and documents that are already connected need no further test, as the
-  result is connectivity.  When few pairs between different components are left, or a round links nothing new, all
-  remaining pairs across components are tested.  No pair is left out, and none inside a component is made.
+  result is connectivity.  When few pairs between different components are left, or a round no longer halves them, all
+  remaining pairs across components are tested, in blocks.  No pair is left out, and none inside a component is made.
 
 Defined results: null texts and texts without words have an empty set, link with nothing and are their own component;
 repeated rows and equal sets share a component; null ids take part (a component of null ids alone is null); an empty
@@ -28,14 +28,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintlake.llm.common import carried, keep, restored
-from lintlake.llm.textbuf import U, chunks, mix, signed, word_hashes
+from lintlake.llm.common import carried, keep, partitions, restored
+from lintlake.llm.textbuf import U, chunks, mix, ranges, signed, word_hashes
 from lintlake.operators.components import connected_components
 
 BUCKETS = 64
 BLOCK_BYTES = 32 << 20  # text per block of the frequency scan
 HOT_SHARE = 1 / 500  # shingles in at least this share of a block's documents are frequent
 COMMON_SHARE = 1e-5  # words with at least this share of a block's words are common: at most 100,000 words
+GROUP = 128  # documents of a token that meet in one task
+STEP = 2048
 BROADCAST_ROWS = 1 << 21  # wanted documents are broadcast up to this many ids (16 MB), joined by shuffle beyond
 ORDERS = (U(0x1F83D9ABFB41BD6B), U(0x5BE0CD19137E2179))
 
@@ -136,7 +138,7 @@ def _sets(data: np.ndarray, off: np.ndarray, rows: int, width: int):
 def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """(th, doc_id, n, s1, s2, counts, p1, p2): text hash, set size, set id, bucket counts and the prefix under each order."""
     hot = docs.sparkSession.sparkContext.broadcast(frequent(docs, width))
-    schema = pa.schema([("th", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("counts", pa.list_(pa.int32())),
+    schema = pa.schema([("th", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("counts", pa.list_(pa.int16())),
                         ("p1", pa.list_(pa.int64())), ("p2", pa.list_(pa.int64()))])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,11 +163,11 @@ def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
                     pick = o[np.arange(len(o)) - first[own] < p[own]]  # rows keep their places: o sorts by own first
                     ends = np.concatenate([[0], np.cumsum(np.where(n > 0, p, 0))]).astype(np.int32)
                     lists.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(s[pick]))))
-                c = np.minimum(np.bincount(own * BUCKETS + (s >> U(58)).astype(np.int64), minlength=rows * BUCKETS), 1 << 30)
-                fixed = pa.ListArray.from_arrays(pa.array(np.arange(0, rows * BUCKETS + 1, BUCKETS, dtype=np.int32)), pa.array(c.astype(np.int32)))
+                c = np.minimum(np.bincount(own * BUCKETS + (s >> U(58)).astype(np.int64), minlength=rows * BUCKETS), (1 << 15) - 1)  # capped counts only bring sets closer
+                fixed = pa.ListArray.from_arrays(pa.array(np.arange(0, rows * BUCKETS + 1, BUCKETS, dtype=np.int32)), pa.array(c.astype(np.int16)))
                 yield pa.RecordBatch.from_arrays([b.column("th").slice(i, rows), doc.slice(i, rows), pa.array(n), pa.array(signed(ids[0])), pa.array(signed(ids[1])), fixed, *lists], schema=schema)
 
-    ddl = "doc_id long, n long, s1 long, s2 long, counts array<int>, p1 array<long>, p2 array<long>"
+    ddl = "doc_id long, n long, s1 long, s2 long, counts array<short>, p1 array<long>, p2 array<long>"
     texts = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
     return keep(texts.mapInArrow(sign, "th long, " + ddl), "ngram-signatures")
 
@@ -189,6 +191,59 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return sets.join(wanted.select("cid", "s1", "s2"), ["s1", "s2"]).groupBy("cid").agg(F.first("items").alias("items"))
 
 
+def near_pairs(g: DataFrame, traits: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs across components that share a prefix token and pass the size, position and bucket filters.
+
+    A token's documents are dealt into blocks of about ``GROUP`` and every two blocks meet in a task of their own, so a large
+    group is spread and only pairs that pass the filters leave a task.
+    """
+    m = g.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / F.lit(GROUP)).alias("blocks"))
+    rows = g.join(m, "token").join(traits.select("cid", "counts"), "cid")
+    rows = rows.withColumn("blk", F.pmod(F.xxhash64("cid"), F.col("blocks"))).withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select("token", F.least("blk", "x").alias("lo"), F.greatest("blk", "x").alias("hi"), "blk", "cid", "n", "i", "c", "counts")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def pairs_of(t: pa.Table) -> pa.RecordBatch:
+        token, lo, hi, blk, cid, n, i, c = (t.column(k).to_numpy() for k in ("token", "lo", "hi", "blk", "cid", "n", "i", "c"))
+        counts = t.column("counts").combine_chunks().flatten().to_numpy().reshape(-1, BUCKETS)
+        new = np.append(True, (token[1:] != token[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]))
+        end = np.append(np.flatnonzero(new)[1:], len(token))[np.cumsum(new) - 1]
+        left_a, left_b = [], []
+        for s in range(0, len(token), STEP):  # pairs of a few rows at a time
+            r = np.arange(s, min(s + STEP, len(token)))
+            k = end[r] - r - 1
+            a = np.repeat(r, k)
+            b = a + 1 + ranges(k)
+            ok = (c[a] != c[b]) & ((lo[a] == hi[a]) | (blk[a] != blk[b]))
+            a, b = a[ok], b[ok]
+            need = -(-percent * (n[a] + n[b]) // (100 + percent))
+            ok = (np.minimum(n[a], n[b]) * 100 >= np.maximum(n[a], n[b]) * percent) & (np.minimum(n[a] - i[a], n[b] - i[b]) >= need)
+            a, b, need = a[ok], b[ok], need[ok]
+            apart = np.abs(counts[a].astype(np.int32) - counts[b]).sum(1)
+            ok = apart <= n[a] + n[b] - 2 * need
+            left_a.append(cid[a[ok]])
+            left_b.append(cid[b[ok]])
+        a, b = np.concatenate(left_a), np.concatenate(left_b)
+        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], schema=schema)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for b in batches:
+            t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            token, lo, hi = (t.column(k).to_numpy() for k in ("token", "lo", "hi"))
+            cut = np.flatnonzero((token[1:] != token[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
+            held = t
+            if len(cut) and cut[-1] >= 4096:
+                yield pairs_of(t.slice(0, int(cut[-1])))
+                held = t.slice(int(cut[-1]))
+        if held is not None and held.num_rows:
+            yield pairs_of(held)
+
+    spread = rows.repartition(partitions(g.sparkSession), "token", "lo", "hi").sortWithinPartitions("token", "lo", "hi")
+    return spread.mapInArrow(meet, "a long, b long").distinct()
+
+
 def components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, th, n_shingles, component_id, component) for every document.
 
@@ -210,13 +265,12 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     q = F.lit(percent)
     sizes = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * q)
     need = F.ceil(q * (F.col("na") + F.col("nb")) / (100 + percent))  # of shared shingles
-    early = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= need  # shared shingles from the first common one on
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The linked ones of distinct (a, b) pairs: prefix tokens under the other order, bucket counts, then whole sets."""
         ta = traits.select(F.col("cid").alias("a"), F.col("counts").alias("ca"), F.col("p2").alias("pa"), F.col("n").alias("na"))
         tb = traits.select(F.col("cid").alias("b"), F.col("counts").alias("cb"), F.col("p2").alias("pb"), F.col("n").alias("nb"))
-        apart = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
+        apart = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda s, x: s + x)
         c = pairs.join(ta, "a").join(tb, "b").filter(F.arrays_overlap("pa", "pb")).filter(apart <= F.col("na") + F.col("nb") - 2 * need)
         c = keep(c.select("a", "b", "na", "nb"), "ngram-candidates")
         wanted = reps.join(c.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "cid")
@@ -240,23 +294,19 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     links: DataFrame | None = None
     g = grouped(None)
     few = 2 * post.count()
-    turn = 0
-    while open_pairs(g) > few:
+    turn, waiting = 0, open_pairs(g)
+    while waiting > few:
         mark = F.struct(F.xxhash64("cid", F.lit(turn)).alias("h"), F.col("cid").alias("pivot"), F.col("n").alias("pn"), F.col("c").alias("pc"))
         pivots = g.groupBy("token").agg(F.min(mark).alias("p"), F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1").select("token", "p.*")
         star = g.join(pivots, "token").filter("c <> pc").withColumns({"na": F.col("n"), "nb": F.col("pn")}).filter(sizes)
         star = star.select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b")).distinct()
         new = verified(star)
-        found = new.count()
         links = new if links is None else links.unionByName(new)
         g = keep(grouped(links), "ngram-grouped")
-        turn += 1
-        if not found:
+        turn, before, waiting = turn + 1, waiting, open_pairs(g)
+        if waiting > before / 2:  # the rest does not link to a few centres
             break
-    left = g.select("token", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("c").alias("ca"))
-    right = g.select("token", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"), F.col("c").alias("cb"))
-    rest = left.join(right, "token").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & sizes & early).select("a", "b").distinct()
-    new = verified(rest)
+    new = verified(near_pairs(g, traits, percent))
     links = new if links is None else links.unionByName(new)
     comp = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "cid")
     named = reps.join(comp, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
