@@ -273,7 +273,7 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
         apart = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda s, x: s + x)
         c = pairs.join(ta, "a").join(tb, "b").filter(F.arrays_overlap("pa", "pb")).filter(apart <= F.col("na") + F.col("nb") - 2 * need)
         c = keep(c.select("a", "b", "na", "nb"), "ngram-candidates")
-        wanted = reps.join(c.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "cid")
+        wanted = keep(reps.join(c.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "cid"), "ngram-wanted")
         sets = keep(whole_sets(docs, wanted, width), "ngram-sets")
         both = c.join(sets.select(F.col("cid").alias("a"), F.col("items").alias("sa")), "a").join(sets.select(F.col("cid").alias("b"), F.col("items").alias("sb")), "b")
         inter = F.size(F.array_intersect("sa", "sb"))
