@@ -26,7 +26,7 @@ from lintlake.llm.common import keep, partitions
 
 ROW_BLOCK = 4096
 QUERY_BLOCK = 512
-DEPTH = 32  # list entries read between two checks of the threshold
+DEPTH = 256  # list entries read between two checks of the threshold
 
 
 def integers(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
@@ -63,33 +63,31 @@ def blocks(v: DataFrame, size: int, name: str) -> DataFrame:
 def best(ids: np.ndarray, rows: np.ndarray, lists: np.ndarray, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(ids, scores) of the query's k best rows of a block; ``lists`` holds each dimension's rows in ascending order."""
     n = len(ids)
-    exact = rows.dtype
-    q = query.astype(exact)
+    q = query.astype(rows.dtype)
     used = np.flatnonzero(query)
-    order = np.where(query[used][:, None] > 0, lists[used, ::-1], lists[used])  # best end first
+    up = (query[used] > 0)[:, None]
     seen = np.zeros(n, bool)
-    score = np.empty(n, exact)
+    score = np.empty(n, rows.dtype)
+    every: np.ndarray | None = None
     got = np.zeros(0, np.int64)
     for depth in range(0, n, DEPTH):
-        ahead = order[:, depth : depth + DEPTH]
+        m = min(DEPTH, n - depth)
+        ahead = np.where(up, lists[used, n - depth - m : n - depth][:, ::-1], lists[used, depth : depth + m])  # best end first
         new = np.zeros(n, bool)
-        new[ahead.ravel()] = True
-        if not len(used):
-            new[:] = True
+        new[ahead.ravel() if len(used) else slice(None)] = True
         new = np.flatnonzero(new & ~seen)
         seen[new] = True
-        score[new] = rows[new] @ q
-        new = new[ids[new] != own]
-        got = np.concatenate([got, new])
+        if 4 * len(new) > n and every is None:  # most of the block at once: one product is cheaper than looking rows up
+            every = rows @ q
+        score[new] = every[new] if every is not None else rows[new] @ q
+        got = np.concatenate([got, new[ids[new] != own]])
         if len(got) > k:
             kth = np.partition(score[got], len(got) - k)[len(got) - k]
             got = got[score[got] >= kth]
         if seen.all():
             break
-        if len(got) >= k:
-            bound = (rows[ahead[:, -1], used] * q[used]).sum()
-            if bound < score[got].min():
-                break
+        if len(got) >= k and (rows[ahead[:, -1], used] * q[used]).sum() < score[got].min():
+            break
     o = np.lexsort((ids[got], -score[got]))[:k]
     return ids[got][o], score[got][o]
 
@@ -111,10 +109,10 @@ def top_k(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vec_col:
                 m = np.frombuffer(b.column("data")[r].as_py(), np.int64).reshape(len(ids), -1)
                 qid = np.frombuffer(b.column("q_ids")[r].as_py(), np.int64)
                 q = np.frombuffer(b.column("q_data")[r].as_py(), np.int64).reshape(len(qid), -1)
-                # Sums that a double holds exactly go through the faster product.
-                small = float(np.abs(m).max(initial=0)) * float(np.abs(q).max(initial=0)) * max(1, m.shape[1]) < 2.0**53
-                lists = np.argsort(m, axis=0, kind="stable").T.copy()
-                m = m.astype(np.float64) if small else m
+                # Sums that a float holds exactly go through the faster product.
+                most = float(np.abs(m).max(initial=0)) * float(np.abs(q).max(initial=0)) * max(1, m.shape[1])
+                lists = np.argsort(m, axis=0, kind="stable").T.astype(np.int32)
+                m = m.astype(np.float32 if most < 2.0**24 else np.float64 if most < 2.0**53 else np.int64)
                 out = [best(ids, m, lists, own, query, k) for own, query in zip(qid.tolist(), q, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, [len(x) for x, _ in out])), pa.array(np.concatenate([x for x, _ in out])),
                                                   pa.array(np.concatenate([s for _, s in out]).astype(np.int64))], schema=schema)
