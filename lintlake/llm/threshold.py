@@ -26,7 +26,7 @@ from lintlake.llm.common import keep, partitions
 
 ROW_BLOCK = 4096
 QUERY_BLOCK = 512
-DEPTH = 256  # list entries read between two checks of the threshold
+FIRST = 16  # list entries read before the first check of the threshold; every step after it reads as many as all before
 
 
 def integers(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
@@ -60,26 +60,25 @@ def blocks(v: DataFrame, size: int, name: str) -> DataFrame:
     return keep(v.mapInArrow(cut, "ids binary, data binary").withColumn("block", F.monotonically_increasing_id()), name)
 
 
-def best(ids: np.ndarray, rows: np.ndarray, lists: np.ndarray, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, scores) of the query's k best rows of a block; ``lists`` holds each dimension's rows in ascending order."""
+def search(ids: np.ndarray, rows: np.ndarray, lists: np.ndarray, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """(ids, scores, entries read of each list, rows scored) of the query's k best rows of a block; ``lists`` holds each dimension's rows in ascending order."""
     n = len(ids)
     q = query.astype(rows.dtype)
     used = np.flatnonzero(query)
     up = (query[used] > 0)[:, None]
     seen = np.zeros(n, bool)
     score = np.empty(n, rows.dtype)
-    every: np.ndarray | None = None
     got = np.zeros(0, np.int64)
-    for depth in range(0, n, DEPTH):
-        m = min(DEPTH, n - depth)
+    depth = 0
+    while depth < n:
+        m = min(max(depth, FIRST), n - depth)
         ahead = np.where(up, lists[used, n - depth - m : n - depth][:, ::-1], lists[used, depth : depth + m])  # best end first
         new = np.zeros(n, bool)
         new[ahead.ravel() if len(used) else slice(None)] = True
         new = np.flatnonzero(new & ~seen)
         seen[new] = True
-        if 4 * len(new) > n and every is None:  # most of the block at once: one product is cheaper than looking rows up
-            every = rows @ q
-        score[new] = every[new] if every is not None else rows[new] @ q
+        depth += m
+        score[new] = rows[new] @ q
         got = np.concatenate([got, new[ids[new] != own]])
         if len(got) > k:
             kth = np.partition(score[got], len(got) - k)[len(got) - k]
@@ -89,7 +88,12 @@ def best(ids: np.ndarray, rows: np.ndarray, lists: np.ndarray, own: int, query:
         if len(got) >= k and (rows[ahead[:, -1], used] * q[used]).sum() < score[got].min():
             break
     o = np.lexsort((ids[got], -score[got]))[:k]
-    return ids[got][o], score[got][o]
+    return ids[got][o], score[got][o], depth, int(seen.sum())
+
+
+def best(ids: np.ndarray, rows: np.ndarray, lists: np.ndarray, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, scores) of ``search``."""
+    return search(ids, rows, lists, own, query, k)[:2]
 
 
 def top_k(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 64, k: int = 20) -> DataFrame:

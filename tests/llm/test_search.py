@@ -79,6 +79,19 @@ def test_threshold_stops_early(spark):
     assert list(ids) == [n - 1, n - 2, n - 3] and list(scores) == [5 * (n - 1), 5 * (n - 2), 5 * (n - 3)]
 
 
+def test_threshold_reads_little_where_it_can():
+    """The search stops after its first entries, and scores only the rows met there."""
+    n, d = 4000, 3
+    rng = np.random.default_rng(6)
+    rows = rng.integers(0, 50, (n, d))
+    rows[:40] += 1000
+    lists = np.argsort(rows, axis=0, kind="stable").T
+    q = np.array([3, 2, 1])
+    ids, scores, depth, scored = threshold.search(np.arange(n), rows, lists, -1, q, 10)
+    assert list(zip(-scores, ids, strict=True)) == sorted(zip(-(rows @ q), range(n), strict=True))[:10]
+    assert depth <= 64 and scored <= d * depth and scored < 200
+
+
 def test_threshold_random_ties():
     rnd = random.Random(4)
     for _ in range(30):
