@@ -100,10 +100,12 @@ def top_k(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vec_col:
     """(query_id, rank, vec_id, score): the k highest integer inner products of every row whose ``vec_id`` meets ``queries``."""
     v = integers(vectors, id_col, vec_col, scale)
     rows = blocks(v, ROW_BLOCK, "threshold-rows")
-    asked = blocks(v.filter(queries).coalesce(8), QUERY_BLOCK, "threshold-queries")
-    # Query blocks are numbered 0, 1, ... so that every row block can name its partners; one row per query block here.
-    asked = asked.select(F.row_number().over(Window.orderBy("block")).alias("q"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
-    n = asked.count()
+    wanted = v.filter(queries)
+    asked = blocks(wanted.repartition(max(1, -(-wanted.count() // QUERY_BLOCK))), QUERY_BLOCK, "threshold-queries")
+    # Query blocks are numbered 1, 2, ... so that every row block can name its partners; only their ids meet in one task.
+    number = asked.select("block", F.row_number().over(Window.orderBy("block")).alias("q"))
+    n = number.count()
+    asked = asked.join(number, "block").select("q", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

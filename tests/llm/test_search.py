@@ -104,5 +104,16 @@ def test_threshold_random_ties():
         assert [(-int(s), int(i)) for i, s in zip(*got, strict=True)] == want
 
 
+def test_threshold_numbers_only_block_ids(spark, monkeypatch):
+    """No window without a key sorts the vectors of the query blocks."""
+    monkeypatch.setattr(threshold, "ROW_BLOCK", 64)
+    monkeypatch.setattr(threshold, "QUERY_BLOCK", 8)
+    plan = threshold.top_k(table(spark, vectors()), threshold.F.col("vec_id") % 20 == 0)._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.splitlines()
+    at = next(i for i, x in enumerate(lines) if "row_number() windowspecdefinition(block" in x)
+    below = lines[at + 1]
+    assert "Project [block#" in below and "data#" not in below
+
+
 def test_threshold_empty(spark):
     assert threshold.top_k(table(spark, []), threshold.F.col("vec_id") % 20 == 0).count() == 0
