@@ -4,7 +4,7 @@ Both public BPE files pre-tokenise at white space: no token ever spans from one
 that the byte-level one glues a space to the word behind it.  So a text's ids are the concatenation of its pieces' ids,
 where a piece is a word (word-level file) or a white-space run with the word behind it (byte-level file).  Every distinct
 piece of a task is encoded once by the ``tokenizers`` library; texts with white space outside ASCII, whose runs may mix
-with ASCII ones, go to the library whole.
+with ASCII ones, and texts that hold the string of an added token go to the library whole.
 """
 
 from __future__ import annotations
@@ -30,7 +30,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        # Strings of added tokens are cut out of a text before white space counts, so texts that hold one go to the library whole.
+        self.added = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
         self.keeps_space = keeps_space
         self.width = np.uint16 if self.tok.get_vocab_size() <= 1 << 16 else np.uint32
         self._clear()
@@ -132,6 +133,12 @@ class Encoder:
                 for a, b in _WIDE_SPACE:
                     hit |= (data[:-1] == a) & (data[1:] == b)
                 wide[np.searchsorted(off, np.flatnonzero(hit), side="right") - 1] = True
+            raw = data.tobytes()
+            for token in self.added:
+                at = raw.find(token)
+                while at >= 0:
+                    wide[np.searchsorted(off, at, side="right") - 1] = True
+                    at = raw.find(token, at + 1)
             if wide.any():
                 parts = []
                 for r in range(j - i):

@@ -54,3 +54,19 @@ def test_round_trip_of_documents(spark):
     empty = frame(spark, [])
     folder = P.new_folder(empty)
     assert P.digest(P.write(empty, folder, path, 49408), folder).count() == 0
+
+
+@pytest.mark.parametrize(("name", "keeps_space"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_added_tokens_as_in_the_plain_call(name, keeps_space):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from lintlake.llm.encoding import Encoder
+
+    path = public.path(name)
+    tok = Tokenizer.from_file(path)
+    texts = ["a <|endoftext|> b", "plain words", None, "x<|endoftext|><|endoftext|>", "<|startoftext|> y", "<|ENDOFTEXT|> <|endoftext", "|> z", "", "  <|endoftext|>\n c"]
+    got = []
+    for _, _, ids, off in Encoder(path, keeps_space).batches(pa.array(texts), None):
+        got += [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:], strict=True)]
+    assert got == [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
