@@ -3,11 +3,13 @@
 Rules come first: a rule (host, path prefix, verdict) fits its host and all subdomains when the url's path starts with the
 rule's path; the longest fitting rule decides.  Every other url is judged by its host's path templates:
 
-1. *Tree.*  Level by level the paths of a host are grown into templates.  Below a node, a segment value that holds at least
-   ``min_share`` of the node's urls and ``min_support`` urls stays literal; every other value is variable and becomes a
-   wildcard of its shape (digits, letters or mixed, with the file extension kept).
+1. *Tree.*  Level by level the paths of a host are grown into templates.  Below a node, a segment value of at least
+   ``min_support`` urls stays literal if its blocked share differs significantly from the rest of the node's (two-proportion
+   z with continuity correction, at least ``z``), however small a part of the node it is, or if it holds ``min_share`` of
+   the node's urls; every other value is variable and becomes a wildcard of its shape (digits, letters or mixed, with the
+   file extension kept).
 2. *Merging.*  Literal siblings are ordered by their blocked share; neighbours whose shares do not differ significantly
-   (two-proportion z below ``z``) form one branch, named by its members.  A node has at most 1 / min_share literals.
+   (two-proportion z below ``z``) form one branch, named by its members (long names end in a hash of all members).
 3. *Purity.*  A template's blocked share is smoothed with the share of the same template over all hosts, and that one with
    the share of all labelled urls, each counting as ``prior`` labelled urls.  Templates at or over ``cut`` are rejected.
 
@@ -29,6 +31,8 @@ from lintlake.llm.common import ascii_lower, keep
 # Fixed values of the contract: (host, path, verdict).
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 
+NAME = 200  # characters of a branch's name before the hash of all of it
+
 
 def host_of(url: Column) -> Column:
     rest = F.substring_index(F.when(F.instr(url, "://") > 0, url), "://", 1)
@@ -59,6 +63,15 @@ def shape(seg: Column) -> Column:
     return F.concat(F.lit("*"), kind, ext)
 
 
+def differs(z: float) -> Column:
+    """Whether the labels of a segment (kb of kk blocked) differ significantly from the rest of its node's (nb of nk in all)."""
+    known, rest = F.col("kk").cast("double"), (F.col("nk") - F.col("kk")).cast("double")
+    both = F.col("nb") / F.nullif(F.col("nk"), F.lit(0))
+    inverse = 1 / F.nullif(known, F.lit(0.0)) + 1 / F.nullif(rest, F.lit(0.0))
+    gap = F.abs(F.col("kb") / F.nullif(known, F.lit(0.0)) - (F.col("nb") - F.col("kb")) / F.nullif(rest, F.lit(0.0)))
+    return (both > 0) & (both < 1) & (gap - inverse / 2 >= z * F.sqrt(both * (1 - both) * inverse))
+
+
 def judge(pages: DataFrame, rules=RULES, label: str | None = None, min_share: float = 0.05, min_support: int = 10, z: float = 1.96,
           prior: float = 2.0, cut: float = 0.5) -> DataFrame:
     """(page_id, host, path, rule, verdict, template, purity): every url with its rule or its template's verdict."""
@@ -80,16 +93,20 @@ def judge(pages: DataFrame, rules=RULES, label: str | None = None, min_share: fl
         if live.isEmpty():
             break
         kids = live.groupBy("host", "template", "seg").agg(F.sum("n").alias("kn"), F.sum("bad").alias("kb"), F.sum("known").alias("kk"))
-        nodes = kids.groupBy("host", "template").agg(F.sum("kn").alias("nn"))
-        literal = kids.join(nodes, ["host", "template"]).filter((F.col("kn") >= min_support) & (F.col("kn") >= min_share * F.col("nn")))
+        nodes = kids.groupBy("host", "template").agg(F.sum("kn").alias("nn"), F.sum("kb").alias("nb"), F.sum("kk").alias("nk"))
+        literal = kids.join(nodes, ["host", "template"]).filter(F.col("kn") >= min_support)
+        literal = literal.filter((F.col("kn") >= min_share * F.col("nn")) | F.coalesce(differs(z), F.lit(False)))
         literal = literal.withColumn("share", (F.col("kb") + 0.5) / (F.col("kk") + 1))
         sib = Window.partitionBy("host", "template").orderBy("share", "seg")
         both = (F.col("kb") + F.lag("kb").over(sib) + 0.5) / (F.col("kk") + F.lag("kk").over(sib) + 1)
         gap = (F.col("share") - F.lag("share").over(sib)) / F.sqrt(both * (1 - both) * (1 / (F.col("kk") + 1) + 1 / (F.lag("kk").over(sib) + 1)))
         literal = literal.withColumn("cutoff", F.when(F.abs(gap) >= z, 1).otherwise(0))
         literal = literal.withColumn("branch", F.sum("cutoff").over(sib.rowsBetween(Window.unboundedPreceding, 0)))
-        name = F.array_join(F.array_sort(F.collect_list("seg").over(Window.partitionBy("host", "template", "branch"))), "|")
-        named = literal.select("host", "template", "seg", name.alias("name"))
+        literal = keep(literal.select("host", "template", "seg", "branch"), "url-literals")
+        names = literal.groupBy("host", "template", "branch").agg(F.array_join(F.array_sort(F.collect_list("seg")), "|").alias("name"))
+        short = F.concat(F.substring("name", 1, NAME), F.lit("|#"), F.md5(F.col("name").cast("binary")))
+        names = names.withColumn("name", F.when(F.length("name") > NAME, short).otherwise(F.col("name")))
+        named = literal.join(names, ["host", "template", "branch"]).select("host", "template", "seg", "name")
         grown = live.join(named, ["host", "template", "seg"], "left")
         grown = grown.withColumn("template", F.concat("template", F.lit("/"), F.coalesce("name", shape(F.col("seg")))))
         paths = keep(grown.select("host", "path", "segs", "template", "n", "bad", "known"), "url-level")

@@ -43,6 +43,18 @@ def test_similar_branches_merge(spark):
     assert [r["template"] for r in out] == ["/x|y/*{digits}"]
 
 
+def test_small_sections_keep_their_own_verdict(spark):
+    """None of 26 equal sections, nor one of a thirtieth, reaches a fixed share of its host; their labels tell them apart."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    urls = [f"http://a.net/{s}{s}/{i}" for s in letters for i in range(40)]
+    urls += [f"http://b.net/{s}{s}/{i}" for s in letters for i in range(80)] + [f"http://b.net/bad/{i}" for i in range(60)]
+    blocked = "url rlike '//a.net/[a-m]' or url like '%/bad/%'"
+    df = pages(spark, urls).selectExpr("*", f"case when page_id % 2 = 0 then cast({blocked} as int) end given", f"if({blocked}, 'block', 'allow') want")
+    want = {r["page_id"]: r["want"] for r in df.collect()}
+    out = U.judge(df.drop("want"), rules=(), label="given").collect()
+    assert len(out) == len(urls) and {r["page_id"]: r["verdict"] for r in out} == want
+
+
 def test_repeats_and_empty(spark):
     out = U.judge(pages(spark, ["http://x.com/de/1"] * 5)).collect()
     assert len(out) == 5 and {r["verdict"] for r in out} == {"block"}
