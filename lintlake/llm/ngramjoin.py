@@ -13,6 +13,8 @@ documents link when 100 * |A ∩ B| >= percent * |A ∪ B|.
   documents are tested against one seeded pivot, and documents that are already connected need no further test, as the
   result is connectivity.  When few pairs between different components are left, or a round no longer halves them, all
   remaining pairs across components are tested, in blocks.  No pair is left out, and none inside a component is made.
+* *Every link.*  Where all links are asked for (``every_link``, ``similar``) there are no stars: all pairs of distinct sets
+  are tested in blocks, those inside a component too, and components follow from the links.
 
 Defined results: null texts and texts without words have an empty set, link with nothing and are their own component;
 repeated rows and equal sets share a component; null ids take part (a component of null ids alone is null); an empty
@@ -244,19 +246,15 @@ def near_pairs(g: DataFrame, traits: DataFrame, percent: int) -> DataFrame:
     return spread.mapInArrow(meet, "a long, b long").distinct()
 
 
-def components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, th, n_shingles, component_id, component) for every document.
-
-    ``component`` names the class even where its ids are null (null for empty sets); th = xxhash64(text).
-    """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def _join(docs: DataFrame, width: int, percent: int, every_link: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(signatures, nodes, links (a, b) of nodes): all links, or enough of them for the components."""
     sig = signatures(docs, width, percent)
     some = sig.filter("n > 0")
-    reps = keep(some.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")).withColumn("cid", F.monotonically_increasing_id()), "ngram-nodes")
+    reps = keep(some.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies")).withColumn("cid", F.monotonically_increasing_id()), "ngram-nodes")
     same = ["s1", "s2"]
 
     def of_reps(*cols: str) -> DataFrame:
-        return some.select("doc_id", "s1", "s2", *cols).join(reps.drop("n"), same).filter(F.col("doc_id").eqNullSafe(F.col("rep"))).select("cid", *cols)
+        return some.select("doc_id", "s1", "s2", *cols).join(reps.drop("n", "copies"), same).filter(F.col("doc_id").eqNullSafe(F.col("rep"))).select("cid", *cols)
 
     post = of_reps("p1", "n").select("cid", "n", F.posexplode("p1").alias("i", "token"))
     shared = post.groupBy("token").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("token")
@@ -294,7 +292,7 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     links: DataFrame | None = None
     g = grouped(None)
     few = 2 * post.count()
-    turn, waiting = 0, open_pairs(g)
+    turn, waiting = 0, 0 if every_link else open_pairs(g)
     while waiting > few:
         mark = F.struct(F.xxhash64("cid", F.lit(turn)).alias("h"), F.col("cid").alias("pivot"), F.col("n").alias("pn"), F.col("c").alias("pc"))
         pivots = g.groupBy("token").agg(F.min(mark).alias("p"), F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1").select("token", "p.*")
@@ -308,13 +306,38 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
             break
     new = verified(near_pairs(g, traits, percent))
     links = new if links is None else links.unionByName(new)
+    return sig, reps, links
+
+
+def components(docs: DataFrame, width: int = 5, percent: int = 80, every_link: bool = False) -> DataFrame:
+    """(doc_id, th, n_shingles, component_id, component) for every document, with ``n_links`` if every link is asked for.
+
+    ``component`` names the class even where its ids are null (null for empty sets); th = xxhash64(text).  ``n_links`` counts
+    the other documents that the document links with, those of equal sets included.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sig, reps, links = _join(docs, width, percent, every_link)
     comp = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "cid")
     named = reps.join(comp, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = named.join(least, "component").select("s1", "s2", "component_id", "component")
-    out = some.select("doc_id", "th", "n", "s1", "s2").join(named, same).select("doc_id", "th", F.col("n").alias("n_shingles"), "component_id", "component")
+    more = ["n_links"] if every_link else []
+    if every_link:
+        ends = links.select(F.col("a").alias("cid"), F.col("b").alias("o")).unionByName(links.select(F.col("b").alias("cid"), F.col("a").alias("o")))
+        met = ends.join(reps.select(F.col("cid").alias("o"), F.col("copies").alias("far")), "o").groupBy("cid").agg(F.sum("far").alias("far"))
+        named = named.join(met, "cid", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("far", F.lit(0)))
+    named = named.join(least, "component").select("s1", "s2", "component_id", "component", *more)
+    some = sig.filter("n > 0").select("doc_id", "th", "n", "s1", "s2")
+    out = some.join(named, ["s1", "s2"]).select("doc_id", "th", F.col("n").alias("n_shingles"), "component_id", "component", *more)
     none = sig.filter("n = 0").select("doc_id", "th", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("component"))
-    return out.unionByName(none)
+    return out.unionByName(none.withColumn("n_links", F.lit(0).cast("long")) if every_link else none)
+
+
+def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
+    """(links, members): every linked pair (a, b) of distinct sets, a < b, and (doc_id, th, node) of all documents with words."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sig, reps, links = _join(docs, width, percent, every_link=True)
+    members = sig.filter("n > 0").select("doc_id", "th", "s1", "s2").join(reps.select("s1", "s2", F.col("cid").alias("node")), ["s1", "s2"])
+    return links, members.select("doc_id", "th", "node")
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

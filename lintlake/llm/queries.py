@@ -55,7 +55,7 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM documents d
 @query("op2_ngram_join", OP2_SQL)
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents: 3-word shingles, Jaccard of at least 0.9."""
-    return ngramjoin.components(table(spark, sf_dir, "documents"), width=3, percent=90).select("doc_id", "n_shingles", "component_id")
+    return ngramjoin.components(table(spark, sf_dir, "documents"), width=3, percent=90, every_link=True).select("doc_id", "n_shingles", "component_id")
 
 
 @query("op3_packing")

@@ -63,6 +63,24 @@ def test_star_rounds_reach_every_link(spark):
     assert got(ngramjoin.components(frame(spark, [doc(i, t) for i, t in data]), 3, 80)) == brute(data, 3, 80)
 
 
+def test_every_link_inside_components(spark):
+    """Links and numbers of links of every document, in a large group of near copies too."""
+    base = [f"v{i}" for i in range(120)]
+    near = [(1000 + i, " ".join([*base[: 3 * i], f"x{i}", *base[3 * i + 1 :]])) for i in range(40)]
+    data = near + near[:3] + corpus(5, bases=2, copies=5)
+    df = frame(spark, [doc(i, t) for i, t in data])
+    sets = [shingles(t, 3) for _, t in data]
+    linked = lambda x, y: x and y and 100 * len(x & y) >= 80 * len(x | y)
+    number = [sum(bool(linked(x, y)) for j, y in enumerate(sets) if j != i) for i, x in enumerate(sets)]
+    out = ngramjoin.components(df, 3, 80, every_link=True)
+    assert sorted((str(r["doc_id"]), r["n_shingles"], r["n_links"]) for r in out.collect()) == sorted((str(d), len(s), k) for (d, _), s, k in zip(data, sets, number, strict=True))
+    assert got(out) == brute(data, 3, 80)
+    links, members = ngramjoin.similar(df, 3, 80)
+    pairs = sum(bool(linked(x, y)) for x in set(sets) for y in set(sets) if x != y) // 2
+    assert links.count() == links.distinct().count() == pairs > len(set(sets))
+    assert members.count() == sum(bool(s) for s in sets) and members.select("node").distinct().count() == len({s for s in sets if s})
+
+
 def test_one_of_each(spark):
     data = corpus(4, bases=3, copies=6)
     df = frame(spark, [doc(i, t) for i, t in data])
