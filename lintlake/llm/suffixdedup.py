@@ -1,4 +1,4 @@
-"""Exact removal of repeated byte strings by longest-previous-factor arrays over a sparse suffix order.
+"""Exact removal of repeated byte strings by fingerprints and runs of equal rank in a sparse suffix order.
 
 A position starts a repeat when the ``length`` bytes from it also start elsewhere (mode ``all``) or earlier in the corpus
 (mode ``first``: later copies go, the first stays; earlier means smaller document id, then earlier byte).  Matches never
@@ -11,9 +11,8 @@ cross documents.
    repeat; the smallest occurrence is the first.  Long copies end here, whatever their number.
 3. *Suffix order.*  Anchors with different fragments are compared by content, one representative per distinct fragment.
    A task sorts the suffixes of its fragments by prefix doubling up to ``length`` bytes; suffixes of equal rank share a
-   longest common prefix of ``length`` or more, and within such a run of the suffix order the previous and next smaller
-   text positions are the longest previous factors.  A suffix has an earlier match iff the smallest position of its run
-   is not its own.
+   longest common prefix of ``length`` or more, and a suffix has an earlier match iff the smallest position of its run is
+   not its own.  Longest-previous-factor lengths are not computed, as only matches of ``length`` count.
 4. *Large groups.*  Anchors with more than ``group_limit`` different fragments (a passage in very many contexts) would
    gather in one task; their windows are compared by 128-bit fingerprints, grouped by Spark with partial aggregation, to
    the same result.
