@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintlake.llm import langid, mixing, ngramjoin, nndescent, packedids, packing, suffixdedup, suffixtree, threshold, urlfilter
+from lintlake.llm import decontam, langid, mixing, ngramjoin, nndescent, packedids, packing, suffixdedup, suffixtree, threshold, urlfilter
 from lintlake.llm.common import id_remainder, table
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -137,3 +137,31 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every byte of a 400-byte string that starts twice is removed."""
     out = suffixdedup.remove(table(spark, sf_dir, "documents"), length=400)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+OP11_SQL = r"""
+WITH dw AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+bw AS (
+  SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+win AS (
+  SELECT DISTINCT item, least(len(ws), 10) AS n, array_to_string(ws[i:i + least(len(ws), 10) - 1], ' ') AS w
+  FROM (SELECT item, ws, unnest(generate_series(1, len(ws) - least(len(ws), 10) + 1)) AS i FROM bw WHERE len(ws) > 0)),
+grams AS (
+  SELECT r, n, i, array_to_string(ws[i:i + n - 1], ' ') AS w
+  FROM (SELECT r, ws, n, unnest(generate_series(1, len(ws) - n + 1)) AS i FROM dw, (SELECT DISTINCT n FROM win) WHERE len(ws) >= n)),
+hit AS (SELECT r, g.n, i, item FROM grams g JOIN win ON win.n = g.n AND win.w = g.w),
+pos AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT r, unnest(generate_series(i, i + n - 1)) AS p FROM hit) GROUP BY r),
+it AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT r, item FROM hit) GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM dw LEFT JOIN pos ON pos.r = dw.r LEFT JOIN it ON it.r = dw.r
+"""
+
+
+@query("op11_decontamination", OP11_SQL)
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold any ten consecutive words of a benchmark item."""
+    out = decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")

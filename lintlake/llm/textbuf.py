@@ -97,13 +97,13 @@ def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return mix(h)
 
 
-def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, off: np.ndarray, separators: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, row) of every maximal run of non-separator bytes; words never cross rows."""
     n = len(data)
     if n == 0:
         z = np.zeros(0, np.int64)
         return z, z, z
-    on = ~IS_SPACE[data]
+    on = ~separators[data]
     first = np.zeros(n + 1, bool)
     first[off[:-1]] = True
     begin = on.copy()
