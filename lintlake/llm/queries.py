@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lintlake.llm import decontam, langid, mixing, ngramjoin, nndescent, packedids, packing, suffixdedup, suffixtree, threshold, urlfilter
+from lintlake.llm import decontam, hardnegatives, langid, mixing, ngramjoin, nndescent, packedids, packing, shardedlloyd, suffixdedup, suffixtree, threshold, urlfilter
 from lintlake.llm.common import id_remainder, table
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -165,3 +165,63 @@ def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold any ten consecutive words of a benchmark item."""
     out = decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
+
+
+def _lloyd_sql(rounds: int) -> str:
+    """One pair of steps per round: the nearest centroid of every vector, then the floored means."""
+    near = """a{i} AS MATERIALIZED (
+  SELECT r, vec_id, e, c, d FROM (
+    SELECT v.r, v.vec_id, v.e, c.c, list_sum(list_transform(list_zip(v.e, c.m), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM v, c{i} c)
+  QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1)"""
+    move = """c{j} AS MATERIALIZED (
+  SELECT p.c, coalesce(q.m, p.m) AS m FROM c{i} p LEFT JOIN (
+    SELECT c, list(CAST(s - ((s % n + n) % n) AS BIGINT) // n ORDER BY j) AS m
+    FROM (SELECT c, j, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (SELECT c, unnest(e) AS x, generate_subscripts(e, 1) AS j FROM a{i}) GROUP BY c, j) GROUP BY c) q ON q.c = p.c)"""
+    steps = [t.format(i=i, j=i + 1) for i in range(rounds) for t in (near, move)] + [near.format(i=rounds)]
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('3:' || coalesce(CAST(vec_id AS VARCHAR), '')), e) - 1 AS c, e AS m FROM v
+  QUALIFY row_number() OVER (ORDER BY sha256('3:' || coalesce(CAST(vec_id AS VARCHAR), '')), e) <= 8),
+{", ".join(steps)}
+SELECT a.vec_id, CAST(a.c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON c.c = a.c
+"""
+
+
+@query("op12_clustering", _lloyd_sql(10))
+def op12_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight clusters of all vectors after ten exact Lloyd rounds."""
+    assigned, clusters = shardedlloyd.cluster(table(spark, sf_dir, "embeddings"))
+    # One row per centroid.
+    clusters = clusters.withColumn("total", F.sum("inertia").over(Window.partitionBy()))
+    out = assigned.join(F.broadcast(clusters), "cluster")
+    return out.select("vec_id", "cluster", "distance", F.col("inertia").alias("cluster_inertia"), F.col("total").alias("inertia"), "centroid_sha256")
+
+
+OP13_SQL = """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.r AS ar, a.vec_id AS anchor_id, c.r, c.vec_id, a.label = c.label AS same, CAST(list_sum(list_transform(list_zip(a.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM (SELECT min(r) AS r, vec_id, label, e FROM v WHERE vec_id % 100 = 0 GROUP BY ALL) a, v c WHERE c.vec_id <> a.vec_id),
+p AS (SELECT ar, anchor_id, vec_id AS positive_id, score, row_number() OVER (PARTITION BY ar ORDER BY score DESC, vec_id) AS pr FROM s WHERE same QUALIFY pr <= 5),
+n AS (
+  SELECT p.anchor_id, p.positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.ar, p.pr ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM p JOIN s ON s.ar = p.ar AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
+
+
+@query("op13_hard_negatives", OP13_SQL)
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of other labels that score almost as high as an anchor's positives."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    out = hardnegatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+    return out.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
