@@ -1,7 +1,7 @@
-"""Closure, cycles and components of a directed edge table (src, dst).
+"""Closure, cycles and components of a directed edge table (src, dst), and look-up of links from near to far.
 
-Closures start from given seeds and only append the new frontier; cycles are found by trimming: nodes without incoming or
-outgoing edges can't lie on one.  Every loop runs until its frontier or its trimmed part is empty.
+Closures start from given seeds and only append the new frontier; cycles are found by trimming (nodes without incoming or
+outgoing edges can't lie on one) and colouring.  Every loop runs until its frontier or its trimmed part is empty.
 """
 
 from __future__ import annotations
@@ -47,3 +47,108 @@ def shortest_cycles(edges: DataFrame) -> DataFrame:
     back = far.join(proper.select(F.col("src").alias("node"), F.col("dst").alias("seed")), ["node", "seed"])
     cycles = back.select(F.col("seed").alias("node"), (F.col("distance") + 1).alias("length")).unionByName(loops)
     return cycles.groupBy("node").agg(F.min("length").alias("length"))
+
+
+def _spread_least(edges: DataFrame, value: DataFrame, hops: int = 4) -> DataFrame:
+    """(node, colour): the smallest ``colour`` of the nodes from which a node can be reached, its own included.
+
+    Every node of ``value`` (node, colour) keeps its own by an edge to itself; it is written once per ``hops`` hops, and
+    that ends when no colour changes any more.
+    """
+    e = materialize(edges.select("src", "dst").unionByName(edges.select(F.explode(F.array("src", "dst")).alias("src")).withColumn("dst", F.col("src"))).distinct(), "hops")
+    before = None
+    while True:
+        for _ in range(hops):
+            value = e.join(value.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("colour"))
+        value = materialize(value, "colour")
+        mark = value.agg(F.sum(F.xxhash64("node", "colour").cast("decimal(38,0)"))).first()[0]
+        if mark == before:
+            return value
+        before = mark
+
+
+def cycle_components(edges: DataFrame) -> DataFrame:
+    """(node, component): strongly connected components that hold a cycle, named by their smallest node.
+
+    What can't lie on a cycle is trimmed.  Then every node takes the smallest node that reaches it as its colour (forward),
+    and those that reach the node of their colour inside the colour (backward) form its component, of which it is the
+    smallest node.  Components leave the graph, edges between colours too, and the rest goes round again: every round ends
+    at least one component per colour, so no table of all pairs is made.
+    """
+    left = cyclic_core(edges)
+    found = []
+    while not left.isEmpty():
+        nodes = left.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+        colour = _spread_least(left, nodes.withColumn("colour", F.col("node")))
+        inside = left.join(colour.select(F.col("node").alias("src"), F.col("colour").alias("c")), "src").join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("d")), "dst").filter("c = d")
+        inside = materialize(inside.select("src", "dst"), "inside")
+        # Backward: a node reaches its colour's node if the reversed edges carry that node's name to it.
+        roots = colour.filter("node = colour")
+        back = _spread_least(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")), roots)
+        back = back.unionByName(roots.join(back, "node", "left_anti"))
+        # A colour's node always belongs to it; alone and without a loop it is no cycle.
+        looped = inside.filter("src = dst").select(F.col("src").alias("component")).distinct()
+        part = back.select("node", F.col("colour").alias("component"))
+        sizes = part.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+        real = sizes.filter("n > 1").select("component").unionByName(looped).distinct()
+        found.append(materialize(part.join(real, "component", "left_semi").select("node", "component"), "component"))
+        gone = materialize(part.select("node"), "gone")
+        rest = inside.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti")
+        left = cyclic_core(rest)
+    if not found:
+        return edges.select(F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def cycles_through(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """(component, size, length, path): a shortest cycle through every component's smallest node.
+
+    A breadth-first search inside the components keeps for every node its smallest predecessor on the level before; the path is
+    read back along these pointers and starts and ends at the component's node.
+    """
+    m = members.select("node", "component")
+    inner = edges.select("src", "dst").distinct().join(m.withColumnRenamed("node", "src"), "src").join(m.select(F.col("node").alias("dst"), F.col("component").alias("c")), "dst").filter("c = component")
+    inner = materialize(inner.select("component", "src", "dst"), "inner")
+    known = materialize(m.filter("node = component").select("component", "node", F.lit(None).cast(m.schema["node"].dataType).alias("parent"), F.lit(0).alias("level")), "levels")
+    level, done, ends = 0, m.select("component").limit(0), []
+    while True:
+        front = known.filter(F.col("level") == level).join(done, "component", "left_anti")
+        step = front.select("component", F.col("node").alias("src")).join(inner, ["component", "src"])
+        step = materialize(step.groupBy("component", F.col("dst").alias("node")).agg(F.min("src").alias("parent")), "step")
+        if step.isEmpty():
+            break
+        level += 1
+        # A component is done at the first level that comes back to its node.
+        ends.append(step.filter("node = component").select("component", F.col("parent").alias("last"), F.lit(level).alias("length")))
+        done = done.unionByName(step.filter("node = component").select("component"))
+        new = step.join(known.select("component", "node"), ["component", "node"], "left_anti").withColumn("level", F.lit(level))
+        known = known.unionByName(materialize(new, "levels"))
+    sizes = m.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    if not ends:
+        return sizes.filter(F.lit(False)).select("component", "size", F.lit(0).cast("long").alias("length"), F.array("component").alias("path"))
+    found = ends[0]
+    for e in ends[1:]:
+        found = found.unionByName(e)
+    path = found.select("component", "length", F.col("last").alias("at"), F.array("last", "component").alias("path"))
+    pointers = known.select("component", F.col("node").alias("at"), "parent")
+    for _ in range(level - 1):  # all paths step back together; one that has reached its start stays
+        path = path.join(pointers, ["component", "at"], "left").select("component", "length", F.coalesce("parent", "at").alias("at"), F.when(F.col("parent").isNull(), F.col("path")).otherwise(F.concat(F.array("parent"), F.col("path"))).alias("path"))
+    path = path.withColumn("path", F.when(F.col("length") == 1, F.array("component", "component")).otherwise(F.col("path")))
+    return path.join(sizes, "component").select("component", "size", F.col("length").cast("long").alias("length"), "path")
+
+
+def resolve_near_to_far(links: DataFrame, known: DataFrame) -> DataFrame:
+    """(link columns, target, level): the first existing path when a link is looked up from its page's folder outwards.
+
+    ``links`` has ``base`` (array of folder names, nearest last) and ``name`` (array); ``known`` has distinct ``path`` (array).
+    Level 0 is the page's own folder, every level beyond leaves one folder away; unresolved links keep null in both.  One
+    row per link and level is made, and one equality join finds those that exist.
+    """
+    at = materialize(links.withColumn("link", F.monotonically_increasing_id()), "links")
+    tried = at.select("link", F.explode(F.sequence(F.lit(0), F.size("base"))).alias("level"), "base", "name")
+    tried = tried.select("link", "level", F.concat(F.slice("base", F.lit(1), F.size("base") - F.col("level")), "name").alias("path"))
+    hit = tried.join(known.select("path").distinct(), "path").groupBy("link").agg(F.min(F.struct("level", "path")).alias("hit"))
+    return at.join(hit, "link", "left").select(*links.columns, F.col("hit.path").alias("target"), F.col("hit.level").alias("level"))
