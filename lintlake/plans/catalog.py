@@ -53,6 +53,7 @@ def _import() -> None:
         t_findings,
         t_graph,
         t_metrics,
+        t_pages,
         t_streaming,
     )
 
