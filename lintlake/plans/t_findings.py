@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from lintlake.operators import textrules as T
@@ -165,15 +167,41 @@ def f04_repaired_documents(spark, sf_dir):
                     (F.length("text") - F.length("fixed")).cast("long").alias("chars_less"))
 
 
+FIX_ROWS = r"""
+, x AS (
+  SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, line, unnest([
+    {'seq': 0, 'rule': 'secret', 'fixed': regexp_replace(line, '(token|secret|password|api_key) = "[^"]*"', '\1 = "[secret]"', 'g')},
+    {'seq': 1, 'rule': 'email', 'fixed': regexp_replace(line, '[A-Za-z0-9._]+@[A-Za-z0-9.]+[.][A-Za-z]+', '[email]', 'g')},
+    {'seq': 2, 'rule': 'long_number', 'fixed': regexp_replace(line, '[0-9]{13,19}', '[number]', 'g')},
+    {'seq': 3, 'rule': 'ip_address', 'fixed': regexp_replace(line, '[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}', '[ip]', 'g')},
+    {'seq': 4, 'rule': 'junk_marks', 'fixed': regexp_replace(line, '(###|%%%|[$][$][$]|[*][*][*]|&&&)', '', 'g')}]) AS s FROM ln),
+fx AS (SELECT doc_id, line_no, s.seq AS seq, s.rule AS rule, line AS original, s.fixed AS fixed FROM x JOIN f USING (doc_id, line_no) WHERE f.rule = s.rule)
+"""
+
+
+@query("f03_fix_rows", FIND + FIX_ROWS + "SELECT doc_id, line_no, seq, rule, original, fixed, CASE WHEN rule = 'junk_marks' THEN 0.6 ELSE 0.9 END AS confidence, rule = 'junk_marks' AS review FROM fx")
+def f03_fix_rows(spark, sf_dir):
+    """one fix per line and rule, with the line before and after."""
+    return T.fix_rows(_docs(spark, sf_dir).select("doc_id", "text"), "doc_id")
+
+
+@query("f04_patched_documents", FIND + FIX_ROWS + """
+, w AS (SELECT doc_id, line_no, arg_max(fixed, seq) AS fixed FROM fx GROUP BY ALL)
+SELECT l.doc_id, sha256(string_agg(coalesce(w.fixed, l.line), chr(10) ORDER BY l.line_no)) AS fixed_sha256, count(w.doc_id) AS applied
+FROM ln l LEFT JOIN w ON w.doc_id = l.doc_id AND w.line_no = l.line_no GROUP BY l.doc_id""")
+def f04_patched_documents(spark, sf_dir):
+    """every document with its fix rows applied; where rules meet on a line, the fix listed last wins."""
+    d = _docs(spark, sf_dir).select("doc_id", "text")
+    return T.patched(d, T.fix_rows(d, "doc_id"), "doc_id").select("doc_id", F.sha2("text", 256).alias("fixed_sha256"), "applied")
+
+
 @query("f05_fix_previews", FIND + f"""
 SELECT l.doc_id, CAST(l.line_no AS BIGINT) AS line_no, l.line[1:100] AS before, ({FIXED.replace("(text,", "(l.line,")})[1:100] AS after
 FROM ln l WHERE EXISTS (SELECT 1 FROM f WHERE f.doc_id = l.doc_id AND f.line_no = l.line_no AND f.severity IN ('critical', 'high'))""")
 def f05_fix_previews(spark, sf_dir):
     """lines with serious findings before and after repair, 100 characters each (the preview's length)."""
     serious = tuple(r for r in T.RULES if r.severity in ("critical", "high"))
-    hit = None
-    for r in serious:
-        hit = F.col("line").rlike(r.pattern) if hit is None else hit | F.col("line").rlike(r.pattern)
+    hit = reduce(lambda a, b: a | b, [r.matches(F.col("line")) for r in serious])
     ln = T.lines(_docs(spark, sf_dir).select("doc_id", "text"), "doc_id").filter(hit)
     return ln.select("doc_id", "line_no", F.substring("line", 1, 100).alias("before"), F.substring(T.repaired(F.col("line")), 1, 100).alias("after"))
 
