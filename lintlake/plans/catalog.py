@@ -52,6 +52,7 @@ def _import() -> None:
         t_contracts,
         t_findings,
         t_graph,
+        t_inference,
         t_metrics,
         t_pages,
         t_streaming,

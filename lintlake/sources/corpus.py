@@ -85,3 +85,19 @@ def quarantine(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     good = tagged.filter(F.col("error").isNull()).drop("error")
     bad = tagged.filter(F.col("error").isNotNull()).select("file_id", "path", "error")
     return good, bad
+
+
+def scan_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
+    """Every file below a folder whose name meets ``glob``: (path, name, suffix, top, bytes, modified); contents are not read.
+
+    ``path`` is relative to the folder, ``top`` its first step; hidden files and folders (``_``, ``.``) are Spark's own and left out, and
+    Spark lists no empty files.
+    """
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
+    # The folder may be given without scheme, or by another name of the same place: what follows its last step counts.
+    last = _escape(root.rstrip("/").rsplit("/", 1)[-1])
+    rel = F.regexp_replace(F.col("path"), "^.*?/" + last + "/", "")
+    f = raw.select(rel.alias("path"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
+    name = F.element_at(F.split("path", "/"), -1)
+    suffix = F.when(F.contains(name, F.lit(".")), F.lower(F.element_at(F.split(name, "[.]"), -1))).otherwise("")
+    return f.select("path", name.alias("name"), suffix.alias("suffix"), F.element_at(F.split("path", "/"), 1).alias("top"), "bytes", "modified")
