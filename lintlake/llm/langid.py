@@ -176,61 +176,65 @@ def viterbi(scores: np.ndarray, row: np.ndarray, rows: int, penalty: float) -> n
     return label
 
 
-def predict(docs: DataFrame, model: Model, penalty: float = 12.0) -> DataFrame:
-    """The input's columns (among them ``text``) with lang_pred, score and spans (start, stop, lang) in bytes of the text."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
-    span = pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("lang", pa.string())])
-    names_out = [*docs.columns, "lang_pred", "score", "spans"]
+SPAN = pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("lang", pa.string())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = held.value
-        k = max(1, len(m.langs))
-        names = np.array([*m.langs, "und"], dtype=object)
-        memo: dict[int, int] = {}
-        table, letters = np.zeros((1 << 16, k)), np.zeros(1 << 16, np.int64)
-        for b in batches:
-            for i, j, data, off in chunks(b.column("text")):
-                rows = j - i
-                code, row, uniq, start, end, at = _distinct_words(data, off)
-                if len(memo) + len(uniq) > MEMO:
-                    memo = {}
-                slot = np.array([memo.get(x, -1) for x in uniq.tolist()], dtype=np.int64)
-                new = np.flatnonzero(slot < 0)
-                if len(new):
-                    raw = data.tobytes()
-                    texts = [raw[a:z].decode("utf-8") for a, z in zip(start[at[new]].tolist(), end[at[new]].tolist(), strict=True)]
-                    n, script = _letters(texts)
-                    s = np.zeros((len(new), k))
-                    if m.langs:
-                        bucket, owner = _grams(texts)
-                        count = np.bincount(owner, minlength=len(new))
-                        for c in range(k):
-                            s[:, c] = np.bincount(owner, weights=m.logp[bucket, c], minlength=len(new))
-                        s /= np.sqrt(np.maximum(count, 1))[:, None]
-                        can = m.uses[np.maximum(script, 0)] & (n > 0)[:, None]
-                        s -= s.max(1, keepdims=True)
-                        low = np.minimum(s.min(1, keepdims=True), 0) - 8
-                        s = np.where(can, s, low)
-                        s = np.where(can.any(1)[:, None], s - s.max(1, keepdims=True), 0.0)
-                        n = np.where(can.any(1), n, -n)  # letters of no learned script count, but say nothing
-                    slot[new] = np.arange(len(memo), len(memo) + len(new))
-                    while len(memo) + len(new) > len(letters):
-                        table, letters = np.concatenate([table, np.zeros_like(table)]), np.concatenate([letters, np.zeros_like(letters)])
-                    table[slot[new]], letters[slot[new]] = s, n
-                    memo.update(zip(uniq[new].tolist(), slot[new].tolist(), strict=True))
-                sc, le = table[slot[code]], letters[slot[code]]
-                label = viterbi(sc, row, rows, penalty)
-                post = np.exp(sc)
-                post = post[np.arange(len(sc)), label] / post.sum(1)
-                said = np.maximum(le, 0)
-                mass = np.bincount(row * k + label, weights=said, minlength=rows * k).reshape(rows, k)
-                all_ = np.bincount(row, weights=np.abs(le), minlength=rows)
-                lang = mass.argmax(1)
-                mine = label == lang[row]
-                weight = np.bincount(row, weights=said * mine, minlength=rows)
-                sure = np.bincount(row, weights=said * mine * post, minlength=rows) / np.maximum(weight, 1)
-                score = np.where(all_ > 0, weight / np.maximum(all_, 1) * sure, 0.0)
-                pick = np.where((all_ > 0) & bool(m.langs), np.where(mass.sum(1) > 0, lang, m.prior), len(m.langs))
+
+class Labeller:
+    """Labels texts by a model; scores of words already met are kept, up to ``MEMO`` of them."""
+
+    def __init__(self, model: Model, penalty: float):
+        self.m, self.penalty, self.k = model, penalty, max(1, len(model.langs))
+        self.names = np.array([*model.langs, "und"], dtype=object)
+        self.memo: dict[int, int] = {}
+        self.table, self.letters = np.zeros((1 << 16, self.k)), np.zeros(1 << 16, np.int64)
+
+    def texts(self, col: pa.Array, with_spans: bool) -> Iterator[tuple[int, int, pa.Array, pa.Array, pa.Array | None]]:
+        """(first row, rows, lang_pred, score, spans) of successive runs of rows; no spans unless they are asked for."""
+        m, k, names, penalty = self.m, self.k, self.names, self.penalty
+        for i, j, data, off in chunks(col):
+            rows = j - i
+            code, row, uniq, start, end, at = _distinct_words(data, off)
+            if len(self.memo) + len(uniq) > MEMO:
+                self.memo = {}
+            slot = np.array([self.memo.get(x, -1) for x in uniq.tolist()], dtype=np.int64)
+            new = np.flatnonzero(slot < 0)
+            if len(new):
+                raw = data.tobytes()
+                texts = [raw[a:z].decode("utf-8") for a, z in zip(start[at[new]].tolist(), end[at[new]].tolist(), strict=True)]
+                n, script = _letters(texts)
+                s = np.zeros((len(new), k))
+                if m.langs:
+                    bucket, owner = _grams(texts)
+                    count = np.bincount(owner, minlength=len(new))
+                    for c in range(k):
+                        s[:, c] = np.bincount(owner, weights=m.logp[bucket, c], minlength=len(new))
+                    s /= np.sqrt(np.maximum(count, 1))[:, None]
+                    can = m.uses[np.maximum(script, 0)] & (n > 0)[:, None]
+                    s -= s.max(1, keepdims=True)
+                    low = np.minimum(s.min(1, keepdims=True), 0) - 8
+                    s = np.where(can, s, low)
+                    s = np.where(can.any(1)[:, None], s - s.max(1, keepdims=True), 0.0)
+                    n = np.where(can.any(1), n, -n)  # letters of no learned script count, but say nothing
+                slot[new] = np.arange(len(self.memo), len(self.memo) + len(new))
+                while len(self.memo) + len(new) > len(self.letters):
+                    self.table, self.letters = np.concatenate([self.table, np.zeros_like(self.table)]), np.concatenate([self.letters, np.zeros_like(self.letters)])
+                self.table[slot[new]], self.letters[slot[new]] = s, n
+                self.memo.update(zip(uniq[new].tolist(), slot[new].tolist(), strict=True))
+            sc, le = self.table[slot[code]], self.letters[slot[code]]
+            label = viterbi(sc, row, rows, penalty)
+            post = np.exp(sc)
+            post = post[np.arange(len(sc)), label] / post.sum(1)
+            said = np.maximum(le, 0)
+            mass = np.bincount(row * k + label, weights=said, minlength=rows * k).reshape(rows, k)
+            all_ = np.bincount(row, weights=np.abs(le), minlength=rows)
+            lang = mass.argmax(1)
+            mine = label == lang[row]
+            weight = np.bincount(row, weights=said * mine, minlength=rows)
+            sure = np.bincount(row, weights=said * mine * post, minlength=rows) / np.maximum(weight, 1)
+            score = np.where(all_ > 0, weight / np.maximum(all_, 1) * sure, 0.0)
+            pick = np.where((all_ > 0) & bool(m.langs), np.where(mass.sum(1) > 0, lang, m.prior), len(m.langs))
+            spans = None
+            if with_spans:
                 cut = np.ones(len(label), bool)
                 cut[1:] = (label[1:] != label[:-1]) | (row[1:] != row[:-1])
                 cut &= bool(m.langs)
@@ -238,14 +242,40 @@ def predict(docs: DataFrame, model: Model, penalty: float = 12.0) -> DataFrame:
                 last = np.append(s0[1:], len(label)) - 1 if len(s0) else s0
                 base = off[row[s0]]
                 ends = np.concatenate([[0], np.cumsum(np.bincount(row[s0], minlength=rows))]).astype(np.int32)
-                spans = pa.StructArray.from_arrays([pa.array(start[s0] - base, pa.int64()), pa.array(end[last] - base, pa.int64()), pa.array(names[label[s0]], pa.string())], fields=list(span))
-                yield pa.RecordBatch.from_arrays([*(c.slice(i, rows) for c in b.columns), pa.array(names[pick], pa.string()), pa.array(np.clip(np.nan_to_num(score), 0, 1)),
-                                                  pa.ListArray.from_arrays(pa.array(ends), spans)], names=names_out)
+                parts = pa.StructArray.from_arrays([pa.array(start[s0] - base, pa.int64()), pa.array(end[last] - base, pa.int64()), pa.array(names[label[s0]], pa.string())], fields=list(SPAN))
+                spans = pa.ListArray.from_arrays(pa.array(ends), parts)
+            yield i, rows, pa.array(names[pick], pa.string()), pa.array(np.clip(np.nan_to_num(score), 0, 1)), spans
+
+
+def predict(docs: DataFrame, model: Model, penalty: float = 12.0) -> DataFrame:
+    """The input's columns (among them ``text``) with lang_pred, score and spans (start, stop, lang) in bytes of the text."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    names_out = [*docs.columns, "lang_pred", "score", "spans"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labeller = Labeller(held.value, penalty)
+        for b in batches:
+            for i, rows, lang, score, spans in labeller.texts(b.column("text"), True):
+                yield pa.RecordBatch.from_arrays([*(c.slice(i, rows) for c in b.columns), lang, score, spans], names=names_out)
 
     added = T.StructType.fromDDL("lang_pred string, score double, spans array<struct<start:long,stop:long,lang:string>>")
     return docs.mapInArrow(run, T.StructType(docs.schema.fields + added.fields))
 
 
+def labels(docs: DataFrame, out: str, model: Model, penalty: float = 12.0) -> DataFrame:
+    """The input's columns with the struct ``out`` (lang_pred, score): only ``text`` goes to Python, only labels come back."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.arrow_udf("lang_pred string, score double")
+    def label(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        labeller = Labeller(held.value, penalty)
+        for t in texts:
+            found = list(labeller.texts(t, False))
+            yield pa.StructArray.from_arrays([pa.concat_arrays([x[c] for x in found]) if found else pa.array([], kind) for c, kind in ((2, pa.string()), (3, pa.float64()))], names=["lang_pred", "score"])
+
+    return docs.withColumn(out, label.asNondeterministic()("text"))  # else a filter on it would run it again
+
+
 def identify(docs: DataFrame, training: Column, sample: int = 2000, penalty: float = 12.0) -> DataFrame:
     """``predict`` with a model of the rows of (doc_id, text, lang) that ``training`` selects."""
     model = learn(docs.filter(training).select("doc_id", "text", "lang"), sample)
