@@ -13,8 +13,9 @@ documents link when 100 * |A ∩ B| >= percent * |A ∪ B|.
   documents are tested against one seeded pivot, and documents that are already connected need no further test, as the
   result is connectivity.  When few pairs between different components are left, or a round no longer halves them, all
   remaining pairs across components are tested, in blocks.  No pair is left out, and none inside a component is made.
-* *Every link.*  Where all links are asked for (``every_link``, ``similar``) there are no stars: all pairs of distinct sets
-  are tested in blocks, those inside a component too, and components follow from the links.
+* *Every link.*  Links lie inside components.  Where their number is asked for (``every_link``), all pairs of distinct sets of
+  a component are tested on whole sets, block against block, and each block pair returns one count per set; where the pairs
+  themselves are asked for (``similar``) there are no stars, and all pairs that pass the filters are tested and listed.
 
 Defined results: null texts and texts without words have an empty set, link with nothing and are their own component;
 repeated rows and equal sets share a component; null ids take part (a component of null ids alone is null); an empty
@@ -40,6 +41,8 @@ HOT_SHARE = 1 / 500  # shingles in at least this share of a block's documents ar
 COMMON_SHARE = 1e-5  # words with at least this share of a block's words are common: at most 100,000 words
 GROUP = 128  # documents of a token that meet in one task
 STEP = 2048
+ITEMS = 1 << 18  # shingles of a block of a component's sets: 2 MB
+COLUMNS = 1 << 13  # distinct shingles compared at once
 BROADCAST_ROWS = 1 << 21  # wanted documents are broadcast up to this many ids (16 MB), joined by shuffle beyond
 ORDERS = (U(0x1F83D9ABFB41BD6B), U(0x5BE0CD19137E2179))
 
@@ -309,6 +312,71 @@ def _join(docs: DataFrame, width: int, percent: int, every_link: bool) -> tuple[
     return sig, reps, links
 
 
+def _common(sizes: np.ndarray, items: np.ndarray) -> np.ndarray:
+    """Intersection sizes of all pairs of sets (``sizes`` of them, one after the other in ``items``)."""
+    own = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.argsort(items, kind="stable")
+    items, own = items[order], own[order]
+    new = np.append(True, items[1:] != items[:-1])[: len(items)]
+    col = np.cumsum(new) - 1
+    shared = np.bincount(col)[col] > 1 if len(col) else np.zeros(0, bool)
+    own, col = own[shared], np.cumsum(new[shared]) - 1 if shared.any() else col[:0]
+    out = np.zeros((len(sizes), len(sizes)), np.float32)
+    for c in range(0, int(col[-1]) + 1 if len(col) else 0, COLUMNS):
+        z, y = np.searchsorted(col, [c, c + COLUMNS])
+        m = np.zeros((len(sizes), COLUMNS), np.float32)
+        m[own[z:y], col[z:y] - c] = 1
+        out += m @ m.T  # counts below 2**24 are exact
+    return out
+
+
+def link_counts(docs: DataFrame, reps: DataFrame, comp: DataFrame, width: int, percent: int) -> DataFrame:
+    """(cid, far): for every node of a component (cid, component) the documents of other nodes that it links with.
+
+    Links lie inside components.  A component's sets are dealt into blocks of about ``ITEMS`` shingles, and every two blocks meet in
+    a task of their own, where all pairs are tested on whole sets; what leaves it is one count for every node, not the pairs.
+    """
+    members = keep(reps.join(comp, "cid"), "ngram-members")
+    blocks = members.groupBy("component").agg(F.ceil(F.sum("n") / F.lit(ITEMS)).alias("blocks"))
+    sets = whole_sets(docs, members, width)
+    rows = members.join(blocks, "component").select("cid", "component", "n", "copies", "blocks").join(sets, "cid")
+    rows = rows.withColumn("blk", F.pmod(F.xxhash64("cid"), F.col("blocks"))).withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select("component", F.least("blk", "x").alias("lo"), F.greatest("blk", "x").alias("hi"), "blk", "cid", "n", "copies", "items")
+    schema = pa.schema([("cid", pa.int64()), ("far", pa.int64())])
+
+    def tested(t: pa.Table) -> pa.RecordBatch | None:
+        lo, hi, blk, cid, n, copies = (t.column(k).to_numpy() for k in ("lo", "hi", "blk", "cid", "n", "copies"))
+        items = t.column("items").combine_chunks()
+        inter = _common(n, items.flatten().to_numpy())
+        linked = 100 * inter >= percent * (n[:, None] + n[None, :] - inter)
+        linked &= (blk[:, None] != blk[None, :]) if lo[0] != hi[0] else ~np.eye(len(n), dtype=bool)
+        far = linked @ copies
+        return pa.RecordBatch.from_arrays([pa.array(cid[far > 0]), pa.array(far[far > 0])], schema=schema) if far.any() else None
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        key = None
+        for b in batches:
+            names = [b.column(k).to_numpy() for k in ("component", "lo", "hi")]
+            cuts = [0, *(np.flatnonzero(np.any([x[1:] != x[:-1] for x in names], axis=0)) + 1).tolist(), b.num_rows]
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                if i == j:
+                    continue
+                mine = tuple(int(x[i]) for x in names)
+                if mine != key and held:
+                    done = tested(pa.Table.from_batches(held))
+                    held = []
+                    if done is not None:
+                        yield done
+                key = mine
+                held.append(b.slice(i, j - i))
+        if held and (done := tested(pa.Table.from_batches(held))) is not None:
+            yield done
+
+    spread = rows.repartition(partitions(docs.sparkSession), "component", "lo", "hi").sortWithinPartitions("component", "lo", "hi")
+    return spread.mapInArrow(meet, "cid long, far long").groupBy("cid").agg(F.sum("far").alias("far"))
+
+
 def components(docs: DataFrame, width: int = 5, percent: int = 80, every_link: bool = False) -> DataFrame:
     """(doc_id, th, n_shingles, component_id, component) for every document, with ``n_links`` if every link is asked for.
 
@@ -316,14 +384,13 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80, every_link: b
     the other documents that the document links with, those of equal sets included.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sig, reps, links = _join(docs, width, percent, every_link)
-    comp = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "cid")
+    sig, reps, links = _join(docs, width, percent, every_link=False)
+    comp = keep(connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "cid"), "ngram-components")
     named = reps.join(comp, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     more = ["n_links"] if every_link else []
     if every_link:
-        ends = links.select(F.col("a").alias("cid"), F.col("b").alias("o")).unionByName(links.select(F.col("b").alias("cid"), F.col("a").alias("o")))
-        met = ends.join(reps.select(F.col("cid").alias("o"), F.col("copies").alias("far")), "o").groupBy("cid").agg(F.sum("far").alias("far"))
+        met = link_counts(docs, reps, comp, width, percent)
         named = named.join(met, "cid", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("far", F.lit(0)))
     named = named.join(least, "component").select("s1", "s2", "component_id", "component", *more)
     some = sig.filter("n > 0").select("doc_id", "th", "n", "s1", "s2")

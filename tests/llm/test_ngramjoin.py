@@ -96,3 +96,26 @@ def test_empty_table(spark):
     empty = frame(spark, [])
     assert ngramjoin.components(empty).count() == 0
     assert ngramjoin.one_of_each(empty).count() == 0
+
+
+def test_common_counts_in_column_blocks(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(ngramjoin, "COLUMNS", 7)
+    rnd = random.Random(9)
+    sets = [sorted(rnd.sample(range(60), rnd.randint(0, 30))) for _ in range(25)]
+    got_ = ngramjoin._common(np.array([len(x) for x in sets]), np.array([i for x in sets for i in x], np.int64))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            shared = [x for x in set(a) & set(b)]
+            assert got_[i, j] == len(shared) or i == j
+
+
+def test_link_counts_do_not_depend_on_blocks(spark, monkeypatch):
+    base = [f"v{i}" for i in range(120)]
+    data = [(i, " ".join([*base[: 3 * i], f"x{i}", *base[3 * i + 1 :]])) for i in range(40)] + corpus(5, bases=2, copies=6)
+    df = frame(spark, [doc(i, t) for i, t in data])
+    links = lambda: sorted(map(str, ((r["doc_id"], r["n_links"], r["component_id"]) for r in ngramjoin.components(df, 3, 90, every_link=True).collect())))
+    whole = links()
+    monkeypatch.setattr(ngramjoin, "ITEMS", 300)
+    assert links() == whole
