@@ -48,14 +48,15 @@ link AS (SELECT x, y FROM inter JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id =
 e AS (SELECT x AS u, y AS v FROM link UNION ALL SELECT y, x FROM link),
 r AS (SELECT doc_id AS node, doc_id AS other FROM documents UNION SELECT r.node, e.v FROM r JOIN e ON e.u = r.other),
 c AS (SELECT node, min(other) AS component_id FROM r GROUP BY node)
-SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN c ON c.node = d.doc_id
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, (SELECT count(*) FROM e WHERE e.u = d.doc_id) AS n_links
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN c ON c.node = d.doc_id
 """
 
 
 @query("op2_ngram_join", OP2_SQL)
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents: 3-word shingles, Jaccard of at least 0.9."""
-    return ngramjoin.components(table(spark, sf_dir, "documents"), width=3, percent=90, every_link=True).select("doc_id", "n_shingles", "component_id")
+    return ngramjoin.components(table(spark, sf_dir, "documents"), width=3, percent=90, every_link=True).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 @query("op3_packing")
@@ -98,10 +99,10 @@ WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
-  FROM v q, v c WHERE q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id)
-SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
-FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20
+  SELECT q.vec_id AS query_id, q.e, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM (SELECT DISTINCT vec_id, e FROM v WHERE vec_id % 20 = 0) q, v c WHERE c.vec_id <> q.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id, e ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY row_number() OVER (PARTITION BY query_id, e ORDER BY score DESC, vec_id) <= 20
 """
 
 

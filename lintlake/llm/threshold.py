@@ -10,7 +10,8 @@ are merged per query.
 Components become floor(scale * x) in double precision; scores are exact integers.  Defined results: vectors that are null
 or hold a null or non-finite component, or are of another length than most, take no part (zero vectors do); a query gets
 all candidates if there are fewer than k; rows of a query's own id are not its candidates; repeated ids are separate
-candidates of the others; an empty table gives an empty result; extra columns of the input are ignored.
+candidates of the others; equal query rows are one query, rows of one id with different vectors are queries of their own,
+each with its own ranks; an empty table gives an empty result; extra columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -100,13 +101,13 @@ def top_k(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vec_col:
     """(query_id, rank, vec_id, score): the k highest integer inner products of every row whose ``vec_id`` meets ``queries``."""
     v = integers(vectors, id_col, vec_col, scale)
     rows = blocks(v, ROW_BLOCK, "threshold-rows")
-    wanted = v.filter(queries)
+    wanted = v.filter(queries).distinct()
     asked = blocks(wanted.repartition(max(1, -(-wanted.count() // QUERY_BLOCK))), QUERY_BLOCK, "threshold-queries")
     # Query blocks are numbered 1, 2, ... so that every row block can name its partners; only their ids meet in one task.
     number = asked.select("block", F.row_number().over(Window.orderBy("block")).alias("q"))
     n = number.count()
     asked = asked.join(number, "block").select("q", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+    schema = pa.schema([("q", pa.int32()), ("i", pa.int32()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -120,11 +121,12 @@ def top_k(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vec_col:
                 lists = np.argsort(m, axis=0, kind="stable").T.astype(np.int32)
                 m = m.astype(np.float32 if most < 2.0**24 else np.float64 if most < 2.0**53 else np.int64)
                 out = [best(ids, m, lists, own, query, k) for own, query in zip(qid.tolist(), q, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, [len(x) for x, _ in out])), pa.array(np.concatenate([x for x, _ in out])),
-                                                  pa.array(np.concatenate([s for _, s in out]).astype(np.int64))], schema=schema)
+                size = [len(x) for x, _ in out]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(sum(size), b.column("q")[r].as_py(), np.int32)), pa.array(np.repeat(np.arange(len(qid), dtype=np.int32), size)), pa.array(np.repeat(qid, size)),
+                                                  pa.array(np.concatenate([x for x, _ in out])), pa.array(np.concatenate([s for _, s in out]).astype(np.int64))], schema=schema)
 
     each = F.sequence(F.lit(1), F.lit(n)) if n else F.array().cast("array<int>")
     met = rows.select("ids", "data", F.explode(each).alias("q")).join(asked, "q").repartition(partitions(vectors.sparkSession))
-    found = met.select("ids", "data", "q_ids", "q_data").mapInArrow(run, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    found = met.select("ids", "data", "q", "q_ids", "q_data").mapInArrow(run, "q int, i int, query_id long, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("q", "i").orderBy(F.col("score").desc(), "vec_id"))
     return found.select("query_id", rank.cast("int").alias("rank"), "vec_id", "score").filter(F.col("rank") <= k)
