@@ -14,7 +14,7 @@
 
 The graph is built on half-precision copies of the vectors, scaled by the largest component.  Every row is indexed.
 Defined results: a query gets all candidates if there are fewer than ``top``; ties go to the smaller id; repeated ids are
-searched once per distinct vector; an empty table gives an empty result; extra columns of the input are ignored.
+searched once per distinct vector, each with its own ranks; an empty table gives an empty result; extra columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -150,10 +150,13 @@ def descend(nodes: DataFrame, graph: DataFrame, k: int, rounds: int, settle: flo
     for turn in range(rounds):
         ends = edges.groupBy("u").agg(F.min("s").alias("least"), F.count(F.lit(1)).alias("c"))
         worst = ends.select(F.col("u").alias("v"), F.when(F.col("c") < k, F.lit(float("-inf"))).otherwise(F.col("least")).cast("float").alias("worst"))
+        known = half.join(worst, "v", "left").withColumn("worst", F.coalesce("worst", F.lit(float("-inf")).cast("float")))
         rank = F.row_number().over(Window.partitionBy("v").orderBy(F.col("fresh").desc(), F.xxhash64("u", "v", F.lit(turn))))
         back = edges.withColumn("r", rank).filter(F.col("r") <= k).select(F.col("v").alias("w"), F.col("u").alias("v"), "fresh")
         hood = edges.select(F.col("u").alias("w"), "v", "fresh").unionByName(back)
-        hood = hood.join(half, "v").join(worst, "v", "left").withColumn("worst", F.coalesce("worst", F.lit(float("-inf")).cast("float")))
+        # Without a fresh member a neighbourhood has no new pair.
+        lively = hood.filter("fresh").select("w").distinct()
+        hood = hood.join(lively, "w", "left_semi").join(known, "v")
         hood = hood.groupBy("w").agg(F.collect_list(F.struct("v", "fresh", "worst", "half")).alias("hood"))
         found = hood.select("hood").mapInArrow(local, "u long, v long, s float, fresh boolean")
         old = edges.withColumn("fresh", F.lit(False))
@@ -229,5 +232,5 @@ def neighbours(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vec_
     dot = F.aggregate(F.zip_with("q", "x", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
     scored = pairs.select("nid", "v", dot.alias("score"))
     scored = scored.join(members.select(F.col("nid").alias("v"), "vec_id"), "v").join(asked, "nid").filter("query_id <> vec_id")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    rank = F.row_number().over(Window.partitionBy("query_id", "nid").orderBy(F.col("score").desc(), "vec_id"))
     return scored.select("query_id", rank.cast("int").alias("rank"), "vec_id", "score").filter(F.col("rank") <= top)
