@@ -219,7 +219,7 @@ def search(nodes: DataFrame, edges: DataFrame, starts: DataFrame, ef: int) -> Da
 
 
 def neighbours(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vec_col: str = "embedding", top: int = 20, k: int = 30, trees: int = 8,
-               leaf: int = 2048, rounds: int = 8, settle: float = 0.05, ef: int = 48, seed: int = 5) -> DataFrame:
+               leaf: int = 2048, rounds: int = 8, settle: float = 0.05, ef: int = 96, seed: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``top`` found nearest of every row whose ``vec_id`` meets ``queries``."""
     v = usable(vectors, id_col, vec_col)
     nodes, members = nodes_of(v, top)
