@@ -1,43 +1,54 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
-Tokens are the A-Z lower-cased words of a text and one end symbol.  The root state is the corpus' unigram distribution
-with add-one smoothing; deeper states are contexts of one and two words.
-
-1. *Counts.*  Exact counts over all training texts: every word (a table that grows with the corpus), every pair of
-   frequent words, every frequent pair followed by a frequent word.  Frequent means a share of all tokens, so the tables
-   that tasks hold are bounded by the shares (at most 1 / share entries), while counting itself is a Spark aggregation.
-2. *Divergence test.*  A context stays a state if coding its own next symbols with its distribution instead of its
-   suffix' saves at least ``gain`` nats per occurrence.  A two-word context needs its last word to be a state.
-3. *Smoothing.*  A state gives a symbol that it has seen often (n - discount) / n(state) and leaves the rest to its
-   suffix state, scaled so that the distribution sums to the root's mass.
-4. *Scoring.*  Every token is scored in the state of the longest suffix of the words before it in the same text.  Counts
-   of frequent words are at hand in the task; those of all other words come by a join on the word.
-
-Words are known by a 64-bit fingerprint.  Defined results: a null or empty text is the end symbol alone; repeated rows are
-scored, and counted, as often as they occur; null ids count as empty text for the fold; with no training text every count
-is 0; an empty table gives an empty result; extra columns of the input are ignored.
+Tokens are the A-Z lower-cased words of a text and one end symbol.  The root state is the corpus' unigram distribution with
+add-one smoothing; deeper states are contexts of one to ``depth`` words.
+
+1. *Counts.*  How often every run of 1 to ``depth`` + 1 tokens occurs in the training texts.  All runs take part; the one
+   threshold is an absolute support: a symbol seen fewer than ``SUPPORT`` times after a context is none of its symbols.  A
+   run is therefore counted only if the two runs that are one token shorter reach the support (exact: no others can).
+2. *Divergence test.*  A context stays a state if coding its symbols with its own distribution instead of its suffix' saves
+   at least ``gain`` nats per occurrence.  A state's suffix must be a state, too.
+3. *Smoothing.*  With N occurrences of a state, n of a symbol after it, and K those of all its symbols, the symbol's
+   probability is (n + (N - K + prior) * p) / (N + prior), p being its probability in the suffix state.  It sums to 1.
+4. *Scoring.*  Every token is scored in the state of the longest suffix of the words before it in the same text.
+
+Nothing of the model is held whole anywhere: it lives in *shards* of the fingerprints' range.  The texts are read in blocks
+of ``block_bytes``; a block sends each shard the sorted distinct fingerprints that it holds there with its own counts, packed
+as one binary row, and gets back their corpus totals in the same order.  A frequent word or run is one entry of a block
+however often it occurs, so no shard grows with a hot key.  The number of shards grows with the tokens.  Totals are written
+under the shared folder, one folder per scan partition; a block finds its own by (scan partition, number), and a checksum of
+the fingerprints proves that it is the same block, otherwise the job fails.
+
+``docs`` must give the same rows in the same partitions whenever it is read (table scans do; write anything else first).
+Runs are known by 64-bit fingerprints.  Defined results: a null or empty text is the end symbol alone; repeated rows are
+scored, and counted, as often as they occur; null ids count as empty text for the fold; with no training text every count is
+0; an empty table gives an empty result; extra columns of the input are ignored; a text longer than a block is a block.
 """
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.dataset as ds
+import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lintlake.llm.common import keep
-from lintlake.llm.textbuf import chunks, signed, word_hashes
+from lintlake.llm.common import keep, partitions
+from lintlake.llm.textbuf import BASE, U, chunks, mix, word_hashes
+from lintlake.session import scratch
 
 END = np.uint64(0xE703)  # the end symbol's fingerprint
-BLOCK_BYTES = 32 << 20
-KNOWN_SHARE = 3e-7  # words whose counts every task holds: at most 3,333,333
-TOP_SHARE = 5e-5  # words that form contexts and their symbols: at most 20,000
-PAIR_SHARE = 5e-7  # next symbols kept by a one-word state: at most 2,000,000
-CONTEXT_SHARE = 2e-5  # two-word contexts that are tried: at most 50,000
-DISCOUNT = 0.5
+BLOCK_BYTES = 24 << 20
+SHARD_TOKENS = 2_000_000  # tokens a shard
+SUPPORT = 2  # occurrences from which a symbol belongs to a state
+PRIOR = 0.5
+CODEC = "zstd"
 
 
 def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -50,207 +61,250 @@ def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, np.repeat(np.arange(rows), n + 1)
 
 
-def _counted(texts: DataFrame, keys_of: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-    """(h, n): how often every key of ``keys_of(tokens, rows)`` occurs; blocks of text are counted before the shuffle."""
-    schema = pa.schema([("h", pa.int64()), ("n", pa.int64())])
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = 0
-
-        def report() -> pa.RecordBatch:
-            h, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(h), pa.array(n)], schema=schema)
-
-        for b in batches:
-            for _, _, data, off in chunks(b.column(0)):
-                held.append(keys_of(*tokens(data, off)))
-                size += len(data)
-                if size >= BLOCK_BYTES:
-                    yield report()
-                    held, size = [], 0
-        if held:
-            yield report()
-
-    return texts.select("text").mapInArrow(scan, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-
-
-class Tree:
-    """The part of the model that tasks hold: frequent words, and the states with their symbols."""
-
-    def __init__(self, words: np.ndarray, counts: np.ndarray, total: int, distinct: int):
-        o = np.argsort(words)
-        self.words, self.counts = words[o], counts[o]
-        self.floor = total + distinct + 1
-        top = self.counts >= TOP_SHARE * total
-        self.top = np.where(top, np.cumsum(top) - 1, -1)  # place among the top words
-        self.k = int(top.sum())
-        self.top_counts = self.counts[top].astype(float)
-        self.root = (self.top_counts + 1) / self.floor
-        self.end = int(self.top[np.searchsorted(self.words, END)]) if len(words) and (self.words == END).any() else -1
-        self.pairs = self.triples = np.zeros(0, np.int64)
-        self.pair_logp = self.triple_logp = np.zeros(0)
-        self.back1 = np.full(self.k, np.nan)
-        self.contexts, self.back2 = np.zeros(0, np.int64), np.zeros(0)
-
-    def lookup(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place in the word table or -1, place among the top words or -1) of every token."""
-        if not len(self.words):
-            none = np.full(len(h), -1)
-            return none, none
-        code, uniq = pd.factorize(h)
-        at = np.minimum(np.searchsorted(self.words, uniq), len(self.words) - 1)
-        known = self.words[at] == uniq
-        return np.where(known, at, -1)[code], np.where(known, self.top[at], -1)[code]
-
-    @staticmethod
-    def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        if not len(table):
-            return np.full(len(keys), -1)
-        at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-        return np.where(table[at] == keys, at, -1)
-
-    def pair_keys(self, h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place, key) of all tokens that follow a top word in the same text and are top words themselves."""
-        _, t = self.lookup(h)
-        ok = np.flatnonzero((row[1:] == row[:-1]) & (t[1:] >= 0) & (t[:-1] >= 0)) + 1
-        return ok, t[ok - 1].astype(np.int64) * self.k + t[ok]
-
-    def triple_keys(self, h: np.ndarray, row: np.ndarray, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place, key) of all top words that follow one of the sorted two-word ``contexts`` in the same text."""
-        _, t = self.lookup(h)
-        at, key = self.pair_keys(h, row)
-        c = self._find(contexts, key)
-        nxt = at + 1
-        ok = (c >= 0) & (nxt < len(h))
-        c, nxt = c[ok], nxt[ok]
-        ok = (row[nxt] == row[nxt - 1]) & (t[nxt] >= 0)
-        return nxt[ok], c[ok].astype(np.int64) * self.k + t[nxt[ok]]
-
-    @staticmethod
-    def _state(owner: np.ndarray, n: np.ndarray, suffix: np.ndarray, total: np.ndarray, gain: float):
-        """(log10 p, back-off, retained) of symbols with counts n in states owner; ``suffix``: their suffix states' p."""
-        p = np.maximum(n - DISCOUNT, 1e-9) / total[owner]
-        size = len(total)
-        seen = np.bincount(owner, weights=p, minlength=size)
-        below = np.bincount(owner, weights=suffix, minlength=size)
-        back = np.maximum(1 - seen, 1e-9) / np.maximum(1 - below, 1e-9)
-        other = total - np.bincount(owner, weights=n, minlength=size)
-        nats = np.bincount(owner, weights=n * np.log(p / suffix), minlength=size) + np.maximum(other, 0) * np.log(back)
-        return np.log10(p), np.log10(back), (nats >= gain * total) & (np.bincount(owner, minlength=size) > 0)
-
-    def grow_one(self, keys: np.ndarray, n: np.ndarray, gain: float) -> None:
-        o = np.argsort(keys)
-        keys, n = keys[o], n[o].astype(float)
-        owner, nxt = keys // max(self.k, 1), keys % max(self.k, 1)
-        logp, back, stay = self._state(owner, n, self.root[nxt], np.maximum(self.top_counts, 1), gain)
-        self.back1 = np.where(stay, back, np.nan)
-        ok = stay[owner] if len(owner) else np.zeros(0, bool)
-        self.pairs, self.pair_logp = keys[ok], logp[ok]
-
-    def grow_two(self, contexts: np.ndarray, context_n: np.ndarray, keys: np.ndarray, n: np.ndarray, gain: float) -> None:
-        """``contexts`` are sorted pair keys with their counts; ``keys`` are place in contexts * k + word."""
-        if not len(contexts):
-            return
-        o = np.argsort(keys)
-        keys, n = keys[o], n[o].astype(float)
-        owner, nxt = keys // self.k, keys % self.k
-        last = contexts[owner] % self.k
-        at = self._find(self.pairs, last * self.k + nxt)
-        suffix = 10.0 ** np.where(at >= 0, self.pair_logp[at] if len(self.pairs) else 0.0, self.back1[last] + np.log10(self.root[nxt]))
-        logp, back, stay = self._state(owner, n, suffix, context_n.astype(float), gain)
-        ok = stay[owner] if len(owner) else np.zeros(0, bool)
-        place = np.cumsum(stay) - 1
-        self.contexts, self.back2 = contexts[stay], back[stay]
-        self.triples, self.triple_logp = place[owner[ok]] * self.k + nxt[ok], logp[ok]
-
-    def score(self, h: np.ndarray, row: np.ndarray, rows: int):
-        """(known tokens, base, score, rare) by row: sums over tokens with known counts, and the places of all others.
-
-        A rare token adds its back-offs here; its root term is added where its count is known.
+def packed(a: np.ndarray) -> bytes:
+    """Numbers as compressed byte planes: high bytes of small numbers vanish."""
+    planes = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T
+    return pa.compress(np.ascontiguousarray(planes).tobytes(), codec=CODEC, asbytes=True)
+
+
+def unpacked(blob: bytes, n: int, dtype) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    raw = pa.decompress(blob, decompressed_size=n * size, codec=CODEC, asbytes=True) if n else b""
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, n).T).reshape(-1).view(dtype)
+
+
+class Level:
+    """A block's runs of one length: where they end, their distinct fingerprints, their totals over the training texts."""
+
+    def __init__(self, at: np.ndarray, key: np.ndarray):
+        self.at = at  # ends of the counted runs
+        self.keys, self.place = np.unique(key, return_inverse=True)
+        self.totals = np.zeros(0, np.int64)
+
+    def spread(self, size: int) -> np.ndarray:
+        """Totals by token; 0 where no run is counted."""
+        out = np.zeros(size, np.int64)
+        out[self.at] = self.totals[self.place]
+        return out
+
+
+class Block:
+    """Some whole texts with their runs up to a length."""
+
+    def __init__(self, h: np.ndarray, row: np.ndarray, trained: np.ndarray, totals: list[Callable[[np.ndarray], np.ndarray]], length: int):
+        """``totals[k]`` gives the totals of the sorted distinct fingerprints of runs of k + 1 tokens."""
+        self.row, self.trained, size = row, trained[row], len(h)
+        self.levels: list[Level] = []
+        self.n: list[np.ndarray] = []
+        at, hashes = np.arange(size), h.copy()
+        for k in range(length):
+            if k:
+                # A run of k + 1 tokens ends at i if the runs of k tokens that end at i - 1 and i reach the support.
+                often = self.n[k - 1] >= SUPPORT
+                at = np.flatnonzero(often[1:] & often[:-1] & (row[1:] == row[:-1])) + 1
+                longer = np.zeros(size, U)
+                longer[at] = mix(hashes[at - 1] * BASE + mix(h[at] + U(k)))
+                hashes = longer
+            level = Level(at, hashes[at])
+            self.levels.append(level)
+            if k < len(totals):
+                level.totals = totals[k](level.keys)
+                self.n.append(level.spread(size))
+
+    def counts(self) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The longest runs' fingerprints with this block's counts in training texts."""
+        level = self.levels[-1]
+        return level.keys, [np.bincount(level.place[self.trained[level.at]], minlength=len(level.keys)).astype(np.uint32)]
+
+    def contexts(self, k: int) -> np.ndarray:
+        """Places in level k - 1 of the contexts of k tokens before every token; -1 where there is none."""
+        out = np.full(len(self.row), -1, np.int64)
+        before = self.levels[k - 1]
+        inner = before.at < len(self.row) - 1
+        nxt, place = before.at[inner] + 1, before.place[inner]
+        ok = self.row[nxt] == self.row[nxt - 1]
+        out[nxt[ok]] = place[ok]
+        return out
+
+    def tried(self) -> list[np.ndarray]:
+        """By context length - 1: places of the contexts that reach the support, in the order of their fingerprints."""
+        return [np.flatnonzero(level.totals >= SUPPORT) for level in self.levels[:-1]]
+
+    def gains(self, tokens_in_all: int) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Contexts' fingerprints with this block's part of (occurrences of kept symbols, nats saved)."""
+        keys, kept, nats = [], [], []
+        for k, tried in enumerate(self.tried(), start=1):
+            n, ctx = self.n[k], self.contexts(k)
+            i = np.flatnonzero((n >= SUPPORT) & self.trained & (ctx >= 0))
+            size = len(self.levels[k - 1].keys)
+            below = self.levels[k - 2].totals[self.contexts(k - 1)[i]] if k > 1 else np.full(len(i), tokens_in_all)
+            saved = np.log(n[i] / self.levels[k - 1].totals[ctx[i]]) - np.log(self.n[k - 1][i] / below)
+            keys.append(self.levels[k - 1].keys[tried])
+            kept.append(np.bincount(ctx[i], minlength=size)[tried].astype(np.uint32))
+            nats.append(np.bincount(ctx[i], weights=saved, minlength=size)[tried].astype(np.float32))
+        key = np.concatenate(keys) if keys else np.zeros(0, U)
+        o = np.argsort(key)
+        return key[o], [np.concatenate(v)[o] if v else np.zeros(0, t) for v, t in ((kept, np.uint32), (nats, np.float32))]
+
+    def logp(self, states: Callable[[np.ndarray], np.ndarray], total: int, distinct: int) -> tuple[np.ndarray, np.ndarray]:
+        """(log10 p in the root, log10 p in the longest suffix state) of every token.
+
+        ``states`` gives the kept occurrences of the contexts that ``gains`` sent, 0 for those that are no states.
         """
-        at, t = self.lookup(h)
-        rare = np.flatnonzero(at < 0)
-        root = np.where(at >= 0, np.log10((self.counts[at] + 1) / self.floor) if len(self.words) else 0.0, 0.0)
-        lp = root.copy()
-        prev = np.full(len(h), -1)
-        inner = np.flatnonzero(row[1:] == row[:-1]) + 1
-        prev[inner] = t[inner - 1]
-        state = np.flatnonzero(prev >= 0)
-        state = state[~np.isnan(self.back1[prev[state]])] if len(state) else state
-        lp[state] += self.back1[prev[state]]
-        place, key = self.pair_keys(h, row)
-        hit = self._find(self.pairs, key)
-        lp[place[hit >= 0]] = self.pair_logp[hit[hit >= 0]]
-        c = self._find(self.contexts, key)
-        nxt = place[c >= 0] + 1
-        c = c[c >= 0]
-        ok = nxt < len(h)
-        nxt, c = nxt[ok], c[ok]
-        ok = row[nxt] == row[nxt - 1]
-        nxt, c = nxt[ok], c[ok]
-        lp[nxt] += self.back2[c]
-        top = t[nxt] >= 0
-        hit = self._find(self.triples, c[top].astype(np.int64) * max(self.k, 1) + t[nxt[top]])
-        lp[nxt[top][hit >= 0]] = self.triple_logp[hit[hit >= 0]]
-        total = lambda w: np.bincount(row, weights=w, minlength=rows)
-        return np.bincount(row[at >= 0], minlength=rows), total(root), total(lp), rare
-
-
-def train(texts: DataFrame, gain: float = 0.01) -> tuple[DataFrame, Tree, int, int]:
-    """(word counts (h, n), tree, tokens, distinct tokens) of all texts."""
-    sc = texts.sparkSession.sparkContext
-    counts = keep(_counted(texts, lambda h, row: signed(h)), "tree-words")
-    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    t = counts.filter(F.col("n") >= KNOWN_SHARE * total).toArrow()
-    tree = Tree(t.column("h").to_numpy().view(np.uint64), t.column("n").to_numpy(), total, distinct)
-    held = sc.broadcast(tree)
-    pairs = keep(_counted(texts, lambda h, row: held.value.pair_keys(h, row)[1]), "tree-pairs")
-    t = pairs.filter((F.col("n") >= 2) & (F.col("n") >= PAIR_SHARE * total)).toArrow()
-    key, n = t.column("h").to_numpy(), t.column("n").to_numpy()
-    tree.grow_one(key, n, gain)
-    # Two-word contexts: frequent pairs whose last word is a state and not the end.
-    often = n >= max(2, CONTEXT_SHARE * total)
-    key, n = key[often], n[often]
-    fit = ~np.isnan(tree.back1[key % max(tree.k, 1)]) & (key % max(tree.k, 1) != tree.end) if len(key) else np.zeros(0, bool)
-    o = np.argsort(key[fit])
-    contexts, context_n = key[fit][o], n[fit][o]
-    if len(contexts):
-        tried = sc.broadcast(contexts)
-        triples = keep(_counted(texts, lambda h, row: held.value.triple_keys(h, row, tried.value)[1]), "tree-triples")
-        t = triples.filter((F.col("n") >= 2) & (F.col("n") >= PAIR_SHARE * total)).toArrow()
-        tree.grow_two(contexts, context_n, t.column("h").to_numpy(), t.column("n").to_numpy(), gain)
-    return counts, tree, total, distinct
-
-
-def score(docs: DataFrame, training: Column, gain: float = 0.01) -> DataFrame:
+        root = (self.n[0] + 1) / (total + distinct + 1)
+        p, live = root.copy(), np.ones(len(root), bool)
+        tried = self.tried()
+        key = np.concatenate([self.levels[k].keys[t] for k, t in enumerate(tried)]) if tried else np.zeros(0, U)
+        o = np.argsort(key)
+        said = np.zeros(len(key), np.int64)
+        said[o] = states(key[o])
+        first = 0
+        for k, t in enumerate(tried, start=1):
+            before = self.levels[k - 1]
+            kept = np.zeros(len(before.keys), np.int64)
+            kept[t] = said[first : first + len(t)]
+            first += len(t)
+            ctx = self.contexts(k)
+            live &= ctx >= 0
+            live[live] = kept[ctx[live]] > 0
+            i = np.flatnonzero(live)
+            n = np.where(self.n[k][i] >= SUPPORT, self.n[k][i], 0)
+            all_n, own = before.totals[ctx[i]], kept[ctx[i]]
+            p[i] = (n + (all_n - own + PRIOR) * p[i]) / (all_n + PRIOR)
+        return np.log10(root), np.log10(p)
+
+
+def _open(path: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(path) if "://" in path and not path.startswith("file:") else (pafs.LocalFileSystem(), re.sub(r"^file:/+", "/", path))
+
+
+def _received(path: str, part: int) -> dict[int, list[dict]]:
+    """By block of scan partition ``part``: its answers in the order of the shards."""
+    fs, root = _open(path)
+    folder = f"{root}/part={part}"
+    if fs.get_file_info(folder).type != pafs.FileType.Directory:
+        return {}
+    found: dict[int, list[dict]] = {}
+    for r in sorted(ds.dataset(folder, filesystem=fs, format="parquet").to_table(columns=["block", "shard", "m", "crc", "answer"]).to_pylist(), key=lambda r: (r["block"], r["shard"])):
+        found.setdefault(r["block"], []).append(r)
+    return found
+
+
+def _answers(rows: list[dict]) -> Callable[[np.ndarray], np.ndarray]:
+    def totals(keys: np.ndarray) -> np.ndarray:
+        if sum(r["m"] for r in rows) != len(keys) or _crc(rows, keys):
+            raise RuntimeError("the table was not read in the same blocks again; write it before scoring")
+        return np.concatenate([unpacked(r["answer"], r["m"], np.int64) for r in rows]) if rows else np.zeros(0, np.int64)
+
+    return totals
+
+
+def _crc(rows: list[dict], keys: np.ndarray) -> bool:
+    ends = np.cumsum([r["m"] for r in rows])
+    return any(zlib.crc32(keys[e - r["m"] : e].tobytes()) != r["crc"] for r, e in zip(rows, ends, strict=True))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], paths: list[str], length: int, block_bytes: int) -> Iterator[tuple[int, int, pa.Array, np.ndarray, Block, Callable]]:
+    """(scan partition, number, doc ids, trained, block, last answers) of every block; ``paths``: answers so far."""
+    part = TaskContext.get().partitionId()
+    received = [_received(p, part) for p in paths]
+    held: list[tuple] = []
+    size, number = 0, 0
+
+    def block():
+        rows = np.cumsum([0] + [len(x[1]) for x in held])
+        h = np.concatenate([x[2] for x in held])
+        row = np.concatenate([x[3] + r for x, r in zip(held, rows[:-1], strict=True)])
+        trained = np.concatenate([x[1] for x in held])
+        said = [_answers(f.get(number, [])) for f in received]
+        return part, number, pa.concat_arrays([x[0] for x in held]), trained, Block(h, row, trained, said[:length], length), said[-1] if said else None
+
+    for b in batches:
+        for i, j, data, off in chunks(b.column("text")):
+            held.append((b.column("doc_id").slice(i, j - i), b.column("trained").slice(i, j - i).fill_null(False).to_numpy(zero_copy_only=False).astype(bool), *tokens(data, off)))
+            size += len(data)
+            if size >= block_bytes:
+                yield block()
+                held, size, number = [], 0, number + 1
+    if held:
+        yield block()
+
+
+SENT = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("shard", pa.int32()), ("m", pa.int32()), ("crc", pa.int64()), ("keys", pa.binary()), ("a", pa.binary()), ("b", pa.binary())])
+SENT_DDL = "part int, block int, shard int, m int, crc long, keys binary, a binary, b binary"
+BACK = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("shard", pa.int32()), ("m", pa.int32()), ("crc", pa.int64()), ("answer", pa.binary()), ("total", pa.int64()), ("distinct", pa.int64())])
+BACK_DDL = "part int, block int, shard int, m int, crc long, answer binary, total long, distinct long"
+
+
+def _exchange(d: DataFrame, paths: list[str], length: int, shards: int, block_bytes: int, tokens_in_all: int | None = None, gain: float = 0.0) -> tuple[str, int, int]:
+    """(path, total, distinct): corpus totals of every block's runs of ``length`` tokens or, with ``tokens_in_all``, of the
+    contexts' gains, written by scan partition."""
+    testing = tokens_in_all is not None
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, number, _, _, block, _ in _blocks(batches, paths, length, block_bytes):
+            keys, values = block.gains(tokens_in_all) if testing else block.counts()
+            shard = ((keys >> U(32)) * U(shards)) >> U(32)
+            ends = np.searchsorted(shard, np.arange(shards + 1, dtype=U))
+            rows = []
+            for s in np.flatnonzero(np.diff(ends)):
+                i, j = ends[s], ends[s + 1]
+                k = keys[i:j]
+                gaps = np.diff(k, prepend=U(0))
+                rows.append({"part": part, "block": number, "shard": int(s), "m": int(j - i), "crc": zlib.crc32(k.tobytes()), "keys": packed(gaps),
+                             "a": packed(values[0][i:j]), "b": packed(values[1][i:j]) if testing else None})
+            yield from pa.Table.from_pylist(rows, schema=SENT).to_batches(max_chunksize=64)
+
+    def add(sent: pa.Table) -> pa.Table:
+        rows = sent.to_pylist()
+        keys = np.concatenate([np.cumsum(unpacked(r["keys"], r["m"], U), dtype=U) for r in rows])
+        uniq, place = np.unique(keys, return_inverse=True)
+        total = np.bincount(place, weights=np.concatenate([unpacked(r["a"], r["m"], np.uint32) for r in rows])).astype(np.int64)
+        if testing:
+            nats = np.bincount(place, weights=np.concatenate([unpacked(r["b"], r["m"], np.float32) for r in rows]))
+            total = np.where(nats >= gain * total, total, 0)
+        out, first = [], 0
+        for k, r in enumerate(rows):
+            mine = total[place[first : first + r["m"]]]
+            first += r["m"]
+            out.append({**{c: r[c] for c in ("part", "block", "shard", "m", "crc")}, "answer": packed(mine), "total": int(total.sum()) if k == 0 else 0,
+                        "distinct": int((total > 0).sum()) if k == 0 else 0})
+        return pa.Table.from_pylist(out, schema=BACK)
+
+    sent = d.mapInArrow(send, SENT_DDL)
+    path = scratch(d.sparkSession, "tree-totals")
+    sent.groupBy("shard").applyInArrow(add, BACK_DDL).repartition("part").write.partitionBy("part").parquet(path)
+    back = d.sparkSession.read.schema(BACK_DDL).parquet(path)
+    total, distinct = back.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
+    return path, total, distinct
+
+
+def score(docs: DataFrame, training: Column, gain: float = 0.01, depth: int = 2, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, trained, n_tokens, n_known, train_tokens, base_score, score) of every text under a tree of the training texts."""
-    sc = docs.sparkSession.sparkContext
+    spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", training.alias("trained"))
-    counts, tree, total, distinct = train(d.filter("trained"), gain)
-    held = sc.broadcast(tree)
-    schema = pa.schema([("doc_id", pa.int64()), ("trained", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("lp", pa.float64()),
-                        ("rare", pa.list_(pa.int64()))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = held.value
-        for b in batches:
-            for i, j, data, off in chunks(b.column("text")):
-                rows = j - i
-                h, row = tokens(data, off)
-                known, base, lp, rare = model.score(h, row, rows)
-                ends = np.concatenate([[0], np.cumsum(np.bincount(row[rare], minlength=rows))]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(h[rare])))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, rows), b.column("trained").slice(i, rows), pa.array(np.bincount(row, minlength=rows)),
-                                                  pa.array(known), pa.array(base), pa.array(lp), lists], schema=schema)
-
-    ddl = "doc_id long, trained boolean, n_tokens long, known long, base double, lp double, rare array<long>"
-    part = keep(d.mapInArrow(run, ddl).withColumn("rid", F.monotonically_increasing_id()), "tree-scores")
-    floor = F.lit(float(tree.floor))
-    words = part.select("rid", F.explode("rare").alias("h"))
-    found = words.join(counts, "h", "left").select("rid", F.coalesce("n", F.lit(0)).alias("n"))
-    rare = found.groupBy("rid").agg(F.sum(F.log10((F.col("n") + 1) / floor)).alias("extra"), F.sum(F.when(F.col("n") > 0, 1).otherwise(0)).alias("more"))
-    out = part.drop("rare").join(rare, "rid", "left")
-    zero = F.lit(0.0)
-    return out.select("doc_id", "trained", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(int(total)).alias("train_tokens"),
-                      (F.col("base") + F.coalesce("extra", zero)).alias("base_score"), (F.col("lp") + F.coalesce("extra", zero)).alias("score"))
+    # Blocks must not move if executors come or go: the scan's split size depends on the cores at hand.
+    pin = "spark.sql.files.minPartitionNum"
+    before = spark.conf.get(pin, None)
+    spark.conf.set(pin, before or str(spark.sparkContext.defaultParallelism))
+    try:
+        path, total, distinct = _exchange(d, [], 1, partitions(spark), block_bytes)
+        paths = [path]
+        shards = max(partitions(spark), -(-total // SHARD_TOKENS))
+        for k in range(1, depth + 1):
+            paths.append(_exchange(d, paths, k + 1, shards, block_bytes)[0])
+        paths.append(_exchange(d, paths, depth + 1, shards, block_bytes, total, gain)[0])
+        schema = pa.schema([("doc_id", pa.int64()), ("trained", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for _, _, ids, trained, block, states in _blocks(batches, paths, depth + 1, block_bytes):
+                base, lp = block.logp(states, total, distinct)
+                by = lambda w: np.bincount(block.row, weights=w, minlength=len(ids))  # noqa: E731,B023
+                yield pa.RecordBatch.from_arrays([ids, pa.array(trained), pa.array(by(None).astype(np.int64)), pa.array(by(block.n[0] > 0).astype(np.int64)), pa.array(by(base)), pa.array(by(lp))],
+                                                 schema=schema)
+
+        ddl = "doc_id long, trained boolean, n_tokens long, n_known long, base_score double, score double"
+        out = keep(d.mapInArrow(run, ddl), "tree-scores")
+    finally:
+        spark.conf.unset(pin) if before is None else spark.conf.set(pin, before)
+    return out.select("doc_id", "trained", "n_tokens", "n_known", F.lit(int(total)).alias("train_tokens"), "base_score", "score")
