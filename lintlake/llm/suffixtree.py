@@ -44,7 +44,7 @@ from lintlake.llm.textbuf import BASE, U, chunks, mix, word_hashes
 from lintlake.session import scratch
 
 END = np.uint64(0xE703)  # the end symbol's fingerprint
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 8 << 20
 SHARD_TOKENS = 2_000_000  # tokens a shard
 SUPPORT = 2  # occurrences from which a symbol belongs to a state
 PRIOR = 0.5
@@ -73,12 +73,33 @@ def unpacked(blob: bytes, n: int, dtype) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, n).T).reshape(-1).view(dtype)
 
 
+def distinct_of(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct keys, place of every key among them), sorting high bits and positions as one number."""
+    n = len(key)
+    if n < 2:
+        return key.copy(), np.zeros(n, np.int32)
+    low = U((1 << (n - 1).bit_length()) - 1)
+    z = np.sort((key & ~low) | np.arange(n, dtype=U))
+    perm = (z & low).astype(np.int64)
+    ordered = key[perm]
+    # Different keys of equal high bits may stand in a wrong order; there are few such runs.
+    for high in np.unique(ordered[1:][ordered[1:] < ordered[:-1]] & ~low):
+        i, j = np.searchsorted(z, high), np.searchsorted(z, high | low, side="right")
+        o = np.argsort(ordered[i:j], kind="stable")
+        perm[i:j], ordered[i:j] = perm[i:j][o], ordered[i:j][o]
+    new = np.ones(n, bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    place = np.empty(n, np.int32)
+    place[perm] = np.cumsum(new, dtype=np.int32) - 1
+    return ordered[new], place
+
+
 class Level:
     """A block's runs of one length: where they end, their distinct fingerprints, their totals over the training texts."""
 
     def __init__(self, at: np.ndarray, key: np.ndarray):
-        self.at = at  # ends of the counted runs
-        self.keys, self.place = np.unique(key, return_inverse=True)
+        self.at = at.astype(np.int32 if len(at) == 0 or at[-1] < 1 << 31 else np.int64)  # ends of the counted runs
+        self.keys, self.place = distinct_of(key)
         self.totals = np.zeros(0, np.int64)
 
     def spread(self, size: int) -> np.ndarray:
@@ -118,7 +139,7 @@ class Block:
 
     def contexts(self, k: int) -> np.ndarray:
         """Places in level k - 1 of the contexts of k tokens before every token; -1 where there is none."""
-        out = np.full(len(self.row), -1, np.int64)
+        out = np.full(len(self.row), -1, np.int32)
         before = self.levels[k - 1]
         inner = before.at < len(self.row) - 1
         nxt, place = before.at[inner] + 1, before.place[inner]
@@ -214,7 +235,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], paths: list[str], length: int, bl
     def block():
         rows = np.cumsum([0] + [len(x[1]) for x in held])
         h = np.concatenate([x[2] for x in held])
-        row = np.concatenate([x[3] + r for x, r in zip(held, rows[:-1], strict=True)])
+        row = np.concatenate([(x[3] + r).astype(np.int32) for x, r in zip(held, rows[:-1], strict=True)])
         trained = np.concatenate([x[1] for x in held])
         said = [_answers(f.get(number, [])) for f in received]
         return part, number, pa.concat_arrays([x[0] for x in held]), trained, Block(h, row, trained, said[:length], length), said[-1] if said else None
@@ -224,10 +245,15 @@ def _blocks(batches: Iterator[pa.RecordBatch], paths: list[str], length: int, bl
             held.append((b.column("doc_id").slice(i, j - i), b.column("trained").slice(i, j - i).fill_null(False).to_numpy(zero_copy_only=False).astype(bool), *tokens(data, off)))
             size += len(data)
             if size >= block_bytes:
-                yield block()
+                done = block()
                 held, size, number = [], 0, number + 1
+                yield done
+                del done
+                pa.default_memory_pool().release_unused()
     if held:
-        yield block()
+        done = block()
+        held = []
+        yield done
 
 
 SENT = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("shard", pa.int32()), ("m", pa.int32()), ("crc", pa.int64()), ("keys", pa.binary()), ("a", pa.binary()), ("b", pa.binary())])
@@ -253,12 +279,13 @@ def _exchange(d: DataFrame, paths: list[str], length: int, shards: int, block_by
                 gaps = np.diff(k, prepend=U(0))
                 rows.append({"part": part, "block": number, "shard": int(s), "m": int(j - i), "crc": zlib.crc32(k.tobytes()), "keys": packed(gaps),
                              "a": packed(values[0][i:j]), "b": packed(values[1][i:j]) if testing else None})
+            del block, keys, values, shard  # the next block is read without this one
             yield from pa.Table.from_pylist(rows, schema=SENT).to_batches(max_chunksize=64)
 
     def add(sent: pa.Table) -> pa.Table:
         rows = sent.to_pylist()
         keys = np.concatenate([np.cumsum(unpacked(r["keys"], r["m"], U), dtype=U) for r in rows])
-        uniq, place = np.unique(keys, return_inverse=True)
+        _, place = distinct_of(keys)
         total = np.bincount(place, weights=np.concatenate([unpacked(r["a"], r["m"], np.uint32) for r in rows])).astype(np.int64)
         if testing:
             nats = np.bincount(place, weights=np.concatenate([unpacked(r["b"], r["m"], np.float32) for r in rows]))
@@ -299,9 +326,9 @@ def score(docs: DataFrame, training: Column, gain: float = 0.01, depth: int = 2,
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for _, _, ids, trained, block, states in _blocks(batches, paths, depth + 1, block_bytes):
                 base, lp = block.logp(states, total, distinct)
-                by = lambda w: np.bincount(block.row, weights=w, minlength=len(ids))  # noqa: E731,B023
-                yield pa.RecordBatch.from_arrays([ids, pa.array(trained), pa.array(by(None).astype(np.int64)), pa.array(by(block.n[0] > 0).astype(np.int64)), pa.array(by(base)), pa.array(by(lp))],
-                                                 schema=schema)
+                n, known, base, lp = [np.bincount(block.row, weights=w, minlength=len(ids)) for w in (None, block.n[0] > 0, base, lp)]
+                del block, states
+                yield pa.RecordBatch.from_arrays([ids, pa.array(trained), pa.array(n.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(lp)], schema=schema)
 
         ddl = "doc_id long, trained boolean, n_tokens long, n_known long, base_score double, score double"
         out = keep(d.mapInArrow(run, ddl), "tree-scores")

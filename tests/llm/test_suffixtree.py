@@ -2,6 +2,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from helpers import doc, frame, remainder, words
 from pyspark.sql import functions as F
@@ -94,9 +95,17 @@ def test_a_text_that_occurs_twice_is_known(spark):
     assert min(by[300], by[301]) > -0.25 > max(by[i] for i in range(300))
 
 
-def test_changed_blocks_are_noticed():
-    import numpy as np
+def test_distinct_keys_with_equal_high_bits():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 5, 1000, 5000):
+        for spread in (3, 1 << 10, 1 << 63):
+            key = rng.integers(0, spread, n, dtype=np.uint64) * np.uint64(1 if spread > 4 else 0x9E3779B97F4A7C15)
+            keys, place = suffixtree.distinct_of(key)
+            want, inverse = np.unique(key, return_inverse=True)
+            assert (keys == want).all() and (place == inverse).all()
+
 
+def test_changed_blocks_are_noticed():
     rows = [{"m": 2, "crc": 0, "answer": suffixtree.packed(np.array([1, 2]))}]
     with pytest.raises(RuntimeError):
         suffixtree._answers(rows)(np.array([3, 4], np.uint64))
