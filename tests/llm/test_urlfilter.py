@@ -1,3 +1,4 @@
+import random
 import re
 
 from lintlake.llm import urlfilter as U
@@ -59,3 +60,99 @@ def test_repeats_and_empty(spark):
     out = U.judge(pages(spark, ["http://x.com/de/1"] * 5)).collect()
     assert len(out) == 5 and {r["verdict"] for r in out} == {"block"}
     assert U.judge(pages(spark, [])).count() == 0
+
+
+def plain_shape(seg):
+    ext = re.search(r"(\.[A-Za-z]{1,5})$", seg)
+    ext = ext[1] if ext else ""
+    stem = seg[:len(seg) - len(ext)]
+    kind = "" if not stem else "{digits}" if re.fullmatch(r"[0-9]+", stem) else "{letters}" if stem.isalpha() else "{mixed}"
+    return "*" + kind + ext
+
+
+def plain_tree(urls, labels, support=10, min_share=0.05, z=1.96, prior=2.0, cut=0.5):
+    """(host, template, purity, verdict) of every url, one level at a time without any step taken at once."""
+    at = [brute(u)[:2] for u in urls]
+    segs = [re.sub("^/", "", path).split("/") for _, path in at]
+    template = [""] * len(urls)
+    for level in range(max(map(len, segs))):
+        nodes = {}
+        for i, s in enumerate(segs):
+            if len(s) > level:
+                nodes.setdefault((at[i][0], template[i]), []).append(i)
+        for (_, name), members in nodes.items():
+            kids = {}
+            for i in members:
+                kids.setdefault(segs[i][level], []).append(i)
+            count = {s: (len(m), sum(labels[i] or 0 for i in m), sum(labels[i] is not None for i in m)) for s, m in kids.items()}
+            nn, nb, nk = (sum(c[j] for c in count.values()) for j in range(3))
+            literal = {}
+            for s, (n, b, k) in count.items():
+                rest = nk - k
+                both = nb / nk if nk else 0
+                apart = bool(k and rest and 0 < both < 1) and abs(b / k - (nb - b) / rest) - (1 / k + 1 / rest) / 2 >= z * (both * (1 - both) * (1 / k + 1 / rest)) ** 0.5
+                if n >= support and (n >= min_share * nn or apart):
+                    literal[s] = (b, k)
+            branch, last = [], None
+            for b, k in sorted(set(literal.values()), key=lambda c: ((c[0] + 0.5) / (c[1] + 1), c[1])):
+                share = (b + 0.5) / (k + 1)
+                if last:
+                    both = (b + last[0] + 0.5) / (k + last[1] + 1)
+                    far = abs(share - (last[0] + 0.5) / (last[1] + 1)) / (both * (1 - both) * (1 / (k + 1) + 1 / (last[1] + 1))) ** 0.5 >= z
+                if not last or far:
+                    branch.append([])
+                branch[-1] += [s for s, c in literal.items() if c == (b, k)]
+                last = (b, k)
+            named = {s: "|".join(sorted(group)) for group in branch for s in group}
+            for i in members:
+                template[i] = name + "/" + named.get(segs[i][level], plain_shape(segs[i][level]))
+    total = lambda pick: (sum(labels[i] or 0 for i in pick), sum(labels[i] is not None for i in pick))
+    bad, known = total(range(len(urls)))
+    base, out = (bad + 1) / (known + 2), []
+    for i in range(len(urls)):
+        pb, pk = total([j for j in range(len(urls)) if template[j] == template[i]])
+        ob, ok = total([j for j in range(len(urls)) if template[j] == template[i] and at[j][0] == at[i][0]])
+        purity = (ob + prior * (pb + prior * base) / (pk + prior)) / (ok + prior)
+        out.append((template[i], purity, "block" if purity >= cut else "allow"))
+    return out
+
+
+def assert_plain(spark, urls, labels):
+    df = spark.createDataFrame([(i, u, k) for i, (u, k) in enumerate(zip(urls, labels, strict=True))], "page_id long, url string, given int")
+    out = {r["page_id"]: r for r in U.judge(df, rules=(), label="given").collect()}
+    for i, (template, purity, verdict) in enumerate(plain_tree(urls, labels)):
+        assert out[i]["template"] == template, urls[i]
+        assert abs(out[i]["purity"] - purity) < 1e-9 and out[i]["verdict"] == verdict, urls[i]
+
+
+def test_equal_to_a_plain_tree(spark):
+    rng = random.Random(5)
+    first, second = ["shop", "blog", "news", "x1", "", "a.html"], ["2024", "2025", "tag", "p"]
+    urls, labels = [], []
+    for _ in range(700):
+        parts = [rng.choice(first), rng.choice(second), str(rng.randrange(40)), rng.choice(["index.html", "é", "v-1", ""])][:rng.randrange(5)]
+        urls.append(f"http://{rng.choice(['a.net', 'a.net', 'b.org', 'c.c'])}/" + "/".join(parts))
+        bad = parts[:1] == ["shop"] or parts[1:2] == ["tag"] and rng.random() < 0.7
+        labels.append(rng.choice([int(bad), int(bad), None]))
+    assert_plain(spark, urls, labels)
+
+
+def test_long_paths_take_few_rounds(spark, monkeypatch):
+    """Places without a frequent value, shared steps and small nodes are taken at once, so 300 segments need no 300 rounds."""
+    wild = ["http://w.net/" + "/".join(str(1000 * i + j) for j in range(300)) for i in range(30)]
+    same = ["http://s.net/" + "/".join(f"d{j}" for j in range(300)) + f"/{i % 2}" for i in range(30)]
+    alone = ["http://o.net/" + "/".join(f"e{j}" for j in range(300)), "http://o.net/e0"]
+    urls = wild + same + alone
+    rounds = []
+    common = U.common_steps
+    monkeypatch.setattr(U, "common_steps", lambda *a: rounds.append(1) or common(*a))
+    assert_plain(spark, urls, [i % 3 and i % 2 for i in range(len(urls))])
+    assert len(rounds) <= 4
+
+
+def test_many_literal_children(spark):
+    """A thousand literal siblings in two branches: names stay short and no two branches share one."""
+    df = spark.range(20000).selectExpr("id page_id", "concat('http://h.net/', if(id % 1000 < 500, 'good', 'evil'), id % 1000, '/', id) url", "cast(id % 1000 >= 500 as int) given")
+    out = U.judge(df, rules=(), label="given").selectExpr("template", "verdict", "page_id % 1000 >= 500 bad").distinct().collect()
+    assert len(out) == 2 and {(r["verdict"], r["bad"]) for r in out} == {("allow", False), ("block", True)}
+    assert all(len(r["template"]) < U.NAME and "|#" in r["template"] for r in out)
