@@ -3,9 +3,9 @@
 1. *Learning.*  Languages are the non-null labels of the training texts.  From a seeded sample of about ``sample`` texts per
    language (the documented bound of the fit; 2,000 by default) Spark counts hashed byte n-grams (1 to 4) inside words
    and the letters of every script.
-2. *Scripts.*  A word's script is that of its letters by code-point ranges.  Only languages that write at least
-   ``script_share`` of their training letters in that script are candidates for it; a word of a script that no language
-   uses says nothing.
+2. *Scripts.*  Words end at white space and where the script of their letters changes.  A word's script is that of its
+   letters by code-point ranges.  Only languages that write at least ``script_share`` of their training letters in that
+   script are candidates for it; a word of a script that no language uses says nothing.
 3. *Words.*  A word's score for a candidate is the mean log probability of its n-grams times the square root of their
    number, so long words say more, but not in proportion to their overlapping n-grams.
 4. *Spans.*  Viterbi over a text's words with a penalty for every switch labels each word; equal neighbours form spans.
@@ -20,9 +20,11 @@ extra columns of the input are ignored.
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -82,15 +84,63 @@ def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(buckets), np.concatenate(owners)
 
 
+@cache
+def _letter_scripts() -> np.ndarray:
+    """Script of every code point, -1 for all that are no letters; kana counts as han, as Japanese words mix the two."""
+    script = _SCRIPT[np.maximum(np.searchsorted(_FIRST, np.arange(sys.maxunicode + 1), side="right") - 1, 0)]
+    script[script == NAMES.index("kana")] = NAMES.index("han")
+    letter = np.fromiter((chr(c).isalpha() for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
+    return np.where(letter, script, -1).astype(np.int8)
+
+
+def _script_cuts(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(span, byte in it) of every letter whose script differs from that of the letter before it in its span [start, end)."""
+    wide = np.concatenate([[0], np.cumsum(data >= 0x80)])
+    some = np.flatnonzero(wide[end] > wide[start])
+    size = (end - start)[some]
+    inside = ranges(size)
+    raw = data[np.repeat(start[some], size) + inside]
+    lead = np.flatnonzero((raw & 0xC0) != 0x80)
+    script = _letter_scripts()[np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)]
+    letter = np.flatnonzero(script >= 0)
+    script, owner, inside = script[letter], np.repeat(some, size)[lead[letter]], inside[lead[letter]]
+    cut = np.flatnonzero((script[1:] != script[:-1]) & (owner[1:] == owner[:-1])) + 1
+    return owner[cut], inside[cut]
+
+
 def _distinct_words(data: np.ndarray, off: np.ndarray):
-    """(word code of every word, row, fingerprints and first places of the distinct words, start, end)."""
+    """(word code of every word, row, fingerprints and first places of the distinct words, start, end).
+
+    What spaces part is parted again where the script of its letters changes; other characters stay with the letter before.
+    """
     start, end, row = words(data, off)
-    code, uniq = pd.factorize(span_hash(prefix_sums(data, BYTE_CODE), start, end))
-    at = np.zeros(len(uniq), np.int64)
-    at[code[::-1]] = np.arange(len(code))[::-1]
+    sums = prefix_sums(data, BYTE_CODE)
+    code, uniq = pd.factorize(span_hash(sums, start, end))
+    at = _first_places(code, len(uniq))
+    owner, cut = _script_cuts(data, start[at], end[at])
+    if len(owner):
+        n = 1 + np.bincount(owner, minlength=len(uniq))  # parts of every distinct word
+        head = np.cumsum(n) - n
+        low = np.zeros(n.sum(), np.int64)
+        low[np.setdiff1d(np.arange(len(low)), head, assume_unique=True)] = cut
+        high = np.append(low[1:], 0)
+        high[head + n - 1] = (end - start)[at]
+        base = np.repeat(start[at], n)
+        part, uniq = pd.factorize(span_hash(sums, base + low, base + high))
+        times = n[code]
+        which = np.repeat(head[code], times) + ranges(times)
+        base, row, code = np.repeat(start, times), np.repeat(row, times), part[which]
+        start, end = base + low[which], base + high[which]
+        at = _first_places(code, len(uniq))
     return code, row, uniq, start, end, at
 
 
+def _first_places(code: np.ndarray, n: int) -> np.ndarray:
+    at = np.zeros(n, np.int64)
+    at[code[::-1]] = np.arange(len(code))[::-1]
+    return at
+
+
 @dataclass
 class Model:
     langs: list[str]

@@ -1,3 +1,6 @@
+import itertools
+
+import numpy as np
 from helpers import doc, frame
 
 from lintlake.llm import langid
@@ -51,3 +54,43 @@ def test_held_out_accuracy(spark):
     truth = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")
     got = op1_language_id(spark, sf).join(truth, "doc_id").filter("held_out").selectExpr("avg(cast(lang = lang_pred as double)) a").first()["a"]
     assert got > 0.97
+
+
+def test_words_are_parted_where_the_script_changes():
+    texts = ["кошкаthe-cat", "", "naïve 漢字かなab12в34", "the cat", "ab́γ", "кошкаthe-cat x"]
+    raw = [t.encode() for t in texts]
+    data, off = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    code, row, uniq, start, end, at = langid._distinct_words(data, off)
+    parts = [bytes(data[a:z]).decode() for a, z in zip(start, end, strict=True)]
+    assert parts == ["кошка", "the-cat", "naïve", "漢字かな", "ab12", "в34", "the", "cat", "ab́", "γ", "кошка", "the-cat", "x"]
+    assert row.tolist() == [0, 0, 2, 2, 2, 2, 3, 3, 4, 4, 5, 5, 5]
+    assert [parts[i] for i in at] == list(dict.fromkeys(parts)) and [parts[at[c]] for c in code] == parts and len(uniq) == len(set(parts))
+
+
+def test_spans_of_mixed_text_without_spaces(spark):
+    model = langid.learn(corpus(spark))
+    left, right = RU.replace(" ", "") * 3, EN.replace(" ", "") * 3
+    r = langid.predict(frame(spark, [doc(1, left + right)]).select("doc_id", "text"), model).first()
+    size = len(left.encode())
+    assert [(s["start"], s["stop"]) for s in r["spans"]] == [(0, size), (size, size + len(right))]
+    assert r["spans"][0]["lang"] == "ru" and r["spans"][1]["lang"] in ("en", "de")
+
+
+def test_viterbi_equals_all_paths():
+    """Every labelling of short rows is scored; rows with the same best score may differ in labels only (none here)."""
+    rng = np.random.default_rng(3)
+    row = np.repeat(np.arange(7), [3, 0, 5, 1, 4, 0, 6])
+    for k, penalty in ((1, 1.0), (2, 0.0), (3, 0.7), (4, 2.5)):
+        scores = rng.normal(size=(len(row), k))
+        got = langid.viterbi(scores, row, 7, penalty)
+        for r in range(7):
+            s = scores[row == r]
+            paths = itertools.product(range(k), repeat=len(s))
+            best = max(paths, key=lambda p: sum(s[i, c] for i, c in enumerate(p)) - penalty * sum(a != b for a, b in zip(p, p[1:], strict=False)))
+            assert got[row == r].tolist() == list(best)
+
+
+def test_a_text_in_two_equal_halves_goes_to_the_first_language(spark):
+    model = langid.learn(corpus(spark))
+    out = langid.predict(frame(spark, [doc(1, "кошка γάταα"), doc(1, "кошка γάταα")]).select("doc_id", "text"), model, penalty=0.0).collect()
+    assert [(r["lang_pred"], [s["lang"] for s in r["spans"]]) for r in out] == [("el", ["ru", "el"])] * 2
