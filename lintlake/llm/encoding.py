@@ -166,3 +166,8 @@ def encoder(path: str, keeps_space: bool) -> Encoder:
     if key not in _ENCODERS:
         _ENCODERS[key] = Encoder(path, keeps_space)
     return _ENCODERS[key]
+
+
+def forget() -> None:
+    """Drops the tokenizers and pieces that this worker remembers; they come back when they are needed."""
+    _ENCODERS.clear()

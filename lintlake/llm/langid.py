@@ -33,11 +33,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lintlake.llm import encoding
 from lintlake.llm.textbuf import BYTE_CODE, U, chunks, mix, prefix_sums, ranges, span_hash, words
 
 BUCKETS = 1 << 16
 GRAMS = (1, 2, 3, 4)
 MEMO = 400_000
+SLICE = 4096  # words whose n-grams are in memory together
 # First code points of blocks of one script, in order; letters up to the next entry belong to it.
 SCRIPTS = ((0x41, "latin"), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "armenian"), (0x590, "hebrew"), (0x600, "arabic"), (0x700, "other"),
            (0x900, "devanagari"), (0x980, "bengali"), (0xA00, "indic"), (0xE00, "thai"), (0xE80, "other"), (0x10A0, "georgian"), (0x1100, "hangul"),
@@ -254,10 +256,13 @@ class Labeller:
                 n, script = _letters(texts)
                 s = np.zeros((len(new), k))
                 if m.langs:
-                    bucket, owner = _grams(texts)
-                    count = np.bincount(owner, minlength=len(new))
-                    for c in range(k):
-                        s[:, c] = np.bincount(owner, weights=m.logp[bucket, c], minlength=len(new))
+                    count = np.zeros(len(new))
+                    for a in range(0, len(new), SLICE):
+                        bucket, owner = _grams(texts[a : a + SLICE])
+                        z = min(a + SLICE, len(new))
+                        count[a:z] = np.bincount(owner, minlength=z - a)
+                        for c in range(k):
+                            s[a:z, c] = np.bincount(owner, weights=m.logp[bucket, c], minlength=z - a)
                     s /= np.sqrt(np.maximum(count, 1))[:, None]
                     can = m.uses[np.maximum(script, 0)] & (n > 0)[:, None]
                     s -= s.max(1, keepdims=True)
@@ -318,6 +323,7 @@ def labels(docs: DataFrame, out: str, model: Model, penalty: float = 12.0) -> Da
 
     @F.arrow_udf("lang_pred string, score double")
     def label(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoding.forget()  # a reused worker need not hold both
         labeller = Labeller(held.value, penalty)
         for t in texts:
             found = list(labeller.texts(t, False))

@@ -25,20 +25,23 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 LOWER_CODE = BYTE_CODE[LOWER]
 
+KEPT = 2 * CHUNK
 _POW = np.ones(1, dtype=np.uint64)
 _INV = np.ones(1, dtype=np.uint64)
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i (mod 2**64) for i < n; kept between calls."""
+    """BASE**i and BASE**-i (mod 2**64) for i < n; kept between calls up to ``KEPT`` of them, as workers outlive a long text."""
     global _POW, _INV
-    if len(_POW) < n:
-        size = max(n, 2 * CHUNK)
-        for name, base in (("_POW", BASE), ("_INV", BASE_INV)):
-            a = np.full(size, base, dtype=np.uint64)
-            a[0] = 1
-            globals()[name] = np.multiply.accumulate(a)
-    return _POW, _INV
+    if len(_POW) < min(n, KEPT):
+        _POW, _INV = _powers(BASE, KEPT), _powers(BASE_INV, KEPT)
+    return (_POW, _INV) if n <= len(_POW) else (_powers(BASE, n), _powers(BASE_INV, n))
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    a = np.full(n, base, dtype=np.uint64)
+    a[0] = 1
+    return np.multiply.accumulate(a, out=a)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
