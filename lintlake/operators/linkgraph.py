@@ -145,10 +145,11 @@ def resolve_near_to_far(links: DataFrame, known: DataFrame) -> DataFrame:
 
     ``links`` has ``base`` (array of folder names, nearest last) and ``name`` (array); ``known`` has distinct ``path`` (array).
     Level 0 is the page's own folder, every level beyond leaves one folder away; unresolved links keep null in both.  One
-    row per link and level is made, and one equality join finds those that exist.
+    row per link and level is made, and one equality join finds those that exist.  Both joins are by shuffle: the written
+    links are small files, from which Spark would plan to collect all their rows and levels in the driver for a broadcast.
     """
     at = materialize(links.withColumn("link", F.monotonically_increasing_id()), "links")
     tried = at.select("link", F.explode(F.sequence(F.lit(0), F.size("base"))).alias("level"), "base", "name")
     tried = tried.select("link", "level", F.concat(F.slice("base", F.lit(1), F.size("base") - F.col("level")), "name").alias("path"))
-    hit = tried.join(known.select("path").distinct(), "path").groupBy("link").agg(F.min(F.struct("level", "path")).alias("hit"))
-    return at.join(hit, "link", "left").select(*links.columns, F.col("hit.path").alias("target"), F.col("hit.level").alias("level"))
+    hit = tried.hint("merge").join(known.select("path").distinct(), "path").groupBy("link").agg(F.min(F.struct("level", "path")).alias("hit"))
+    return at.hint("merge").join(hit, "link", "left").select(*links.columns, F.col("hit.path").alias("target"), F.col("hit.level").alias("level"))

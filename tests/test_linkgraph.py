@@ -78,3 +78,12 @@ def test_near_to_far(spark):
     known = spark.createDataFrame([(["com", "shop", "x"],), (["com", "x"],), (["y"],), (["com", "shop", "fr", "sub", "x"],), (["y"],)], "path array<string>")
     got = {r["id"]: (r["target"], r["level"]) for r in L.resolve_near_to_far(links, known).collect()}
     assert got == {1: (["com", "shop", "x"], 1), 2: (["y"], 3), 3: (None, None), 4: (None, None), 5: (["com", "shop", "fr", "sub", "x"], 0)}
+
+
+def test_near_to_far_collects_no_links_in_the_driver(spark):
+    links = spark.createDataFrame([(1, ["com", "shop"], ["x"]), (2, ["org"], ["y"])], "id long, base array<string>, name array<string>")
+    known = spark.createDataFrame([(["com", "x"],), (["y"],)], "path array<string>")
+    out = L.resolve_near_to_far(links, known)
+    got = {(r["id"], tuple(r["target"]), r["level"]) for r in out.collect()}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert got == {(1, ("com", "x"), 1), (2, ("y",), 1)} and "Broadcast" not in plan
