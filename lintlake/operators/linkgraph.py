@@ -1,7 +1,7 @@
 """Closure, cycles and components of a directed edge table (src, dst), and look-up of links from near to far.
 
-Closures start from given seeds and only append the new frontier; cycles are found by trimming (nodes without incoming or
-outgoing edges can't lie on one) and colouring.  Every loop runs until its frontier or its trimmed part is empty.
+Closures start from given seeds and only append the new frontier; where numbers are asked for, what a hub reaches is counted once
+for all that reach the hub.  Cycles are found by trimming (nodes without incoming or outgoing edges can't lie on one) and colouring.  Every loop runs until its frontier or its trimmed part is empty.
 """
 
 from __future__ import annotations
@@ -26,6 +26,60 @@ def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return known
 
 
+def _spread(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """The rows of ``starts`` (part, node and further keys) with every node that is reached from them along the part's edges."""
+    keys = [c for c in starts.columns if c != "node"]
+    e = edges.select("part", F.col("src").alias("node"), F.col("dst").alias("next"))
+    front = materialize(starts.distinct(), "spread")
+    known = front
+    while not front.isEmpty():
+        step = front.join(e, ["part", "node"]).select(*keys, F.col("next").alias("node")).distinct()
+        front = materialize(step.join(known, [*keys, "node"], "left_anti"), "spread")
+        known = known.unionByName(front)
+    return known
+
+
+def reached_counts(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(seed, reached): how many nodes every seed (column ``node``) reaches, itself included, without a table of all pairs.
+
+    Per part of the graph the node with most links in and out is its hub.  What the hub reaches is counted once: seeds that reach
+    the hub reach all of it, and from it no way leads out, so they go on in a part without these nodes.  The other seeds never
+    meet a node that reaches the hub and go on in a part without those.  Parts are split while seeds times inner edges are
+    many and a round halves them; what is left is followed seed by seed.
+    """
+    s = materialize(seeds.select(F.lit(0).cast("long").alias("part"), F.col("node").alias("seed"), F.lit(0).cast("long").alias("base")).distinct(), "seeds")
+    e = materialize(edges.filter("src <> dst").select(F.lit(0).cast("long").alias("part"), "src", "dst").distinct(), "parts")
+    few = 4 * (e.count() + s.count())
+    done: list[DataFrame] = []
+    before = None
+    while True:
+        near = _spread(e, s.select("part", F.col("seed").alias("node"))).withColumnRenamed("node", "src")
+        e = materialize(e.join(near, ["part", "src"], "left_semi"), "parts")
+        inner = e.join(e.select("part", F.col("dst").alias("src")).distinct(), ["part", "src"], "left_semi").groupBy("part").agg(F.count(F.lit(1)).alias("k"))
+        work = inner.join(s.groupBy("part").agg(F.count(F.lit(1)).alias("m")), "part").agg(F.sum(F.col("k").cast("double") * F.col("m"))).first()[0] or 0
+        if work <= few or (before is not None and work > before / 2):
+            break
+        before = work
+        ends = e.select("part", F.explode(F.array(F.struct(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("dst").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("x"))
+        both = ends.groupBy("part", "x.node").agg((F.sum("x.o") * F.sum("x.i")).alias("links")).filter("links > 0")
+        hub = materialize(both.groupBy("part").agg(F.max(F.struct("links", "node")).alias("x")).select("part", "x.node"), "hubs")
+        down = _spread(e, hub)
+        up = _spread(e.select("part", F.col("dst").alias("src"), F.col("src").alias("dst")), hub)
+        size = down.groupBy("part").agg(F.count(F.lit(1)).alias("size"))
+        told = s.join(up.select("part", F.col("node").alias("seed"), F.lit(True).alias("above")), ["part", "seed"], "left")
+        told = told.join(down.select("part", F.col("node").alias("seed"), F.lit(True).alias("below")), ["part", "seed"], "left").join(size, "part", "left")
+        told = materialize(told.select("part", "seed", F.col("above").isNotNull().alias("above"), F.col("below").isNotNull().alias("below"), (F.col("base") + F.when(F.col("above"), F.col("size")).otherwise(0)).alias("base")), "told")
+        done.append(told.filter("above AND below").select("seed", F.col("base").alias("reached")))
+        s = told.filter("NOT (above AND below)").select((F.col("part") * 2 + F.when(F.col("above"), 0).otherwise(1)).alias("part"), "seed", "base")
+        cut = lambda gone: e.join(gone.withColumnRenamed("node", "src"), ["part", "src"], "left_anti").join(gone.withColumnRenamed("node", "dst"), ["part", "dst"], "left_anti")
+        e = materialize(cut(down).select((F.col("part") * 2).alias("part"), "src", "dst").unionByName(cut(up).select((F.col("part") * 2 + 1).alias("part"), "src", "dst")), "parts")
+    far = _spread(e, s.select("part", "seed", F.col("seed").alias("node"))).groupBy("seed").agg(F.count(F.lit(1)).alias("n"))
+    out = s.join(far, "seed").select("seed", (F.col("base") + F.col("n")).alias("reached"))
+    for d in done:
+        out = out.unionByName(d)
+    return out
+
+
 def cyclic_core(edges: DataFrame) -> DataFrame:
     """The edges that are left when nodes without incoming or without outgoing edges are trimmed again and again."""
     e = materialize(edges.select("src", "dst").distinct(), "core")
@@ -41,12 +95,21 @@ def cyclic_core(edges: DataFrame) -> DataFrame:
 def shortest_cycles(edges: DataFrame) -> DataFrame:
     """(node, length): the shortest cycle through every node that lies on one."""
     core = cyclic_core(edges)
-    loops = core.filter("src = dst").select(F.col("src").alias("node"), F.lit(1).cast("long").alias("length"))
-    proper = core.filter("src <> dst")
-    far = reachable(proper, proper.select(F.col("src").alias("node")).distinct())
-    back = far.join(proper.select(F.col("src").alias("node"), F.col("dst").alias("seed")), ["node", "seed"])
-    cycles = back.select(F.col("seed").alias("node"), (F.col("distance") + 1).alias("length")).unionByName(loops)
-    return cycles.groupBy("node").agg(F.min("length").alias("length"))
+    out = core.filter("src = dst").select(F.col("src").alias("node"), F.lit(1).cast("long").alias("length"))
+    proper = core.filter("src <> dst").join(out.select(F.col("node").alias("src")), "src", "left_anti")
+    # A node's search ends at the first level that comes back to it.
+    e = core.filter("src <> dst").select(F.col("src").alias("node"), F.col("dst").alias("next"))
+    front = materialize(proper.select(F.col("src").alias("seed"), F.col("dst").alias("node")), "cycles")
+    known, length = front, 1
+    while not front.isEmpty():
+        length += 1
+        step = materialize(front.join(e, "node").select("seed", F.col("next").alias("node")).distinct(), "step")
+        ended = step.filter("seed = node").select("node", F.lit(length).cast("long").alias("length"))
+        out = out.unionByName(ended)
+        front = step.join(ended.select(F.col("node").alias("seed")), "seed", "left_anti").join(known, ["seed", "node"], "left_anti")
+        front = materialize(front, "cycles")
+        known = known.unionByName(front)
+    return out
 
 
 def _spread_least(edges: DataFrame, value: DataFrame, hops: int = 4) -> DataFrame:

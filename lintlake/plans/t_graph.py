@@ -52,9 +52,9 @@ def g02_resolved_links(spark, sf_dir):
 
 @query("g04_reachable_topics", EDGES + "SELECT seed, count(*) AS reached FROM r GROUP BY seed")
 def g04_reachable_topics(spark, sf_dir):
-    """What every entry topic reaches, by appending frontiers."""
+    """What every entry topic reaches, by appending frontiers; what hubs reach is counted once."""
     g = _graph(spark, sf_dir)
-    return L.reachable(g, _entries(g)).groupBy("seed").agg(F.count(F.lit(1)).alias("reached"))
+    return L.reached_counts(g, _entries(g))
 
 
 @query("g05_dependent_topics", EDGES.replace("JOIN e ON e.src = r.node", "JOIN e ON e.dst = r.node").replace("SELECT r.seed, e.dst", "SELECT r.seed, e.src")
@@ -63,7 +63,7 @@ def g04_reachable_topics(spark, sf_dir):
 def g05_dependent_topics(spark, sf_dir):
     """The reverse closure: topics from which a topic without links to others can be reached."""
     g = _graph(spark, sf_dir)
-    return L.reachable(g.select(F.col("dst").alias("src"), F.col("src").alias("dst")), _ends(g)).groupBy("seed").agg((F.count(F.lit(1)) - 1).alias("dependents"))
+    return L.reached_counts(g.select(F.col("dst").alias("src"), F.col("src").alias("dst")), _ends(g)).select("seed", (F.col("reached") - 1).alias("dependents"))
 
 
 @query("g06_topic_cycles", EDGES.replace("r AS (SELECT node AS seed, node FROM seeds UNION SELECT r.seed, e.dst FROM r JOIN e ON e.src = r.node)",

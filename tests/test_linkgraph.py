@@ -87,3 +87,30 @@ def test_near_to_far_collects_no_links_in_the_driver(spark):
     got = {(r["id"], tuple(r["target"]), r["level"]) for r in out.collect()}
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert got == {(1, ("com", "x"), 1), (2, ("y",), 1)} and "Broadcast" not in plan
+
+
+def test_reached_counts_equal_plain_reach(spark):
+    for seed, nodes, links in ((1, 30, 45), (2, 60, 70), (3, 40, 160)):
+        rnd = random.Random(seed)
+        pairs = [(f"n{rnd.randint(0, nodes):02d}", f"n{rnd.randint(0, nodes):02d}") for _ in range(links)]
+        starts = sorted({a for a, _ in pairs}) + ["alone"]
+        got = {r["seed"]: r["reached"] for r in L.reached_counts(edges(spark, pairs), spark.createDataFrame([(n,) for n in starts], "node string")).collect()}
+        assert got == {n: len(reach(pairs, n) | {n}) for n in starts}
+
+
+def test_reached_counts_make_no_pairs_of_entries_and_reached_nodes(spark, monkeypatch):
+    # 400 entries link into a ring of 40 topics that all link to 60 leaves: 40,400 pairs, 3,240 edges.
+    ring = [(f"r{k:02d}", f"r{(k + 1) % 40:02d}") for k in range(40)] + [(f"r{k:02d}", f"r{(k * 7 + 1) % 40:02d}") for k in range(40)]
+    pairs = ring + [(f"r{k:02d}", f"z{m:02d}") for k in range(40) for m in range(60)] + [(f"e{k:03d}", f"r{k % 40:02d}") for k in range(400)] + [(f"e{k:03d}", f"y{k % 3}") for k in range(400)]
+    written = []
+    keep = L.materialize
+
+    def counted(df, name="step"):
+        out = keep(df, name)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(L, "materialize", counted)
+    seeds = spark.createDataFrame([(f"e{k:03d}",) for k in range(400)], "node string")
+    got = {r["seed"]: r["reached"] for r in L.reached_counts(edges(spark, pairs), seeds).collect()}
+    assert got == {f"e{k:03d}": 102 for k in range(400)} and sum(written) < 20_000
