@@ -1,6 +1,7 @@
 """Similarity join against brute force; closure and components properties."""
 
 import itertools
+import random
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -110,3 +111,37 @@ def test_document_groups_equal_brute_force(spark):
     sizes = Counter(find(d.doc_id) for d in docs)
     want = sorted(n for n in sizes.values() if n > 1)
     assert got == want
+
+
+def test_items_stay_one_row_and_pairs_equal_brute_force(spark):
+    rnd = random.Random(7)
+    words = [f"w{k}" for k in range(400)]
+    base = [[words[min(399, int(rnd.expovariate(0.02)))] for _ in range(rnd.choice([1, 2, 5, 30, 90, 300]))] for _ in range(60)]
+    texts = list(base)
+    for k in range(90):
+        t = list(base[k % 60])
+        for _ in range(rnd.randint(0, max(1, len(t) // 6))):
+            t[rnd.randrange(len(t))] = rnd.choice(words)
+        texts.append(t + rnd.sample(words, rnd.randint(0, len(t) // 5)))
+    rows = [(k % 2, k, " ".join(t)) for k, t in enumerate(texts)]
+    el = SIM.elements(spark.createDataFrame(rows, "grp int, item long, text string"), SIM.doc_tokens(F.col("text")))
+    assert el.count() == len(rows)  # not a row per token
+    for dice in (0.8, 0.6):
+        got = {(r.a, r.b): (r.na, r.nb, round(r.similarity, 9)) for r in SIM.similar_pairs(el, dice).collect()}
+        want = {(a, b): (len(texts[a]), len(texts[b]), round(_dice(texts[a], texts[b]), 9)) for a, b in itertools.combinations(range(len(texts)), 2) if a % 2 == b % 2 and _dice(texts[a], texts[b]) >= dice - 1e-12}
+        assert got == want and len(want) > 20
+
+
+def test_document_pairs_of_repeated_ids_and_nulls_equal_the_sql(spark, tmp_path):
+    import duckdb
+    from lintlake.plans.q_patterns import d09_near_duplicate_documents
+    from lintlake.plans.catalog import load_all
+
+    a = "one two three four five six seven eight nine ten"
+    rows = [(1, a), (1, a), (2, a + " eleven"), (3, "x y z"), (3, "p q r"), (4, "x y z p q r"), (5, None), (None, a + " twelve"), (6, ""), (7, "Z X y p Q r"), (8, a.upper())]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = con.execute(load_all()["d09_near_duplicate_documents"][1]).fetchall()
+    got = d09_near_duplicate_documents(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) > 3
