@@ -37,6 +37,7 @@ from lintlake.operators.components import connected_components
 
 BUCKETS = 64
 BLOCK_BYTES = 32 << 20  # text per block of the frequency scan
+SLICES = 16  # parts in which a block's hashes are sorted
 HOT_SHARE = 1 / 500  # shingles in at least this share of a block's documents are frequent
 COMMON_SHARE = 1e-5  # words with at least this share of a block's words are common: at most 100,000 words
 GROUP = 128  # documents of a token that meet in one task
@@ -75,6 +76,12 @@ def shingles(words: np.ndarray, row: np.ndarray, rows: int, width: int) -> tuple
     return np.concatenate(parts), np.concatenate(owners), np.concatenate(places)
 
 
+def counted(parts: list[np.ndarray], k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, counts) of the k-th slice that occur ``least`` times or more, by their highest bits."""
+    h, n = np.unique(np.concatenate([x[x // U((1 << 64) // SLICES) == U(k)] for x in parts]), return_counts=True)
+    return h[n >= least], n[n >= least]
+
+
 def frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(frequent shingles, their counts, common words), sorted.
 
@@ -90,8 +97,8 @@ def frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, np.nd
 
         def report() -> Iterator[pa.RecordBatch]:
             for kind, parts, least in ((0, grams, max(3, HOT_SHARE * docs_)), (1, words, max(3, COMMON_SHARE * sum(map(len, words))))):
-                h, n = np.unique(np.concatenate(parts), return_counts=True)
-                h, n = h[n >= least], n[n >= least]
+                # A slice of the hashes at a time: sorting a whole block takes several copies of it.
+                h, n = map(np.concatenate, zip(*(counted(parts, k, least) for k in range(SLICES)), strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), kind, np.int32)), pa.array(signed(h)), pa.array(n)], schema=schema)
 
         for b in batches:

@@ -119,3 +119,17 @@ def test_link_counts_do_not_depend_on_blocks(spark, monkeypatch):
     whole = links()
     monkeypatch.setattr(ngramjoin, "ITEMS", 300)
     assert links() == whole
+
+
+def test_slices_count_like_the_whole_block():
+    import numpy as np
+    from lintlake.llm import ngramjoin as N
+
+    rnd = np.random.default_rng(3)
+    pool = rnd.integers(0, 1 << 64, 3000, dtype=np.uint64)
+    parts = [rnd.choice(pool, 4000) for _ in range(5)] + [np.array([0, 0, (1 << 64) - 1, (1 << 64) - 1], np.uint64)]
+    h, n = np.unique(np.concatenate(parts), return_counts=True)
+    found = [N.counted(parts, k, 2) for k in range(N.SLICES)]
+    assert max(len(x) for x, _ in found) < len(h) / 8  # none sorts the whole block
+    got_h, got_n = (np.concatenate(x) for x in zip(*found, strict=True))
+    assert got_h.tolist() == h[n >= 2].tolist() and got_n.tolist() == n[n >= 2].tolist()
