@@ -8,7 +8,7 @@ documents link when 100 * |A ∩ B| >= percent * |A ∪ B|.
   pigeonhole over blocks of text, go last, and shingles of common words only go before them) and differ in the hash that
   orders equals.  A pair is a candidate when it shares prefix tokens under *every* order, its sizes are compatible, and
   the counts of its sets over 64 hash buckets differ by no more than a linked pair's may.  Candidates are verified on
-  whole sets.
+  whole sets, which are shipped once for a neighbourhood of pairs, not once for every pair.
 * *Groups of copies.*  Equal sets are one node.  Large groups of near copies are linked by rounds of stars: every token's
   documents are tested against one seeded pivot, and documents that are already connected need no further test, as the
   result is connectivity.  When few pairs between different components are left, or a round no longer halves them, all
@@ -24,16 +24,17 @@ table gives an empty result; extra columns of the input are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lintlake.llm.common import carried, keep, partitions, restored
 from lintlake.llm.textbuf import U, chunks, mix, ranges, signed, word_hashes
 from lintlake.operators.components import connected_components
+from lintlake.session import remove, steps
 
 BUCKETS = 64
 BLOCK_BYTES = 32 << 20  # text per block of the frequency scan
@@ -43,8 +44,10 @@ COMMON_SHARE = 1e-5  # words with at least this share of a block's words are com
 GROUP = 128  # documents of a token that meet in one task
 STEP = 2048
 ITEMS = 1 << 18  # shingles of a block of a component's sets: 2 MB
+CELL_ITEMS = 1 << 20  # hashes of a block of a place of candidate pairs: 8 MB
 COLUMNS = 1 << 13  # distinct shingles compared at once
 BROADCAST_ROWS = 1 << 21  # wanted documents are broadcast up to this many ids (16 MB), joined by shuffle beyond
+BROADCAST_CELLS = 1 << 18  # the same for rows of cells (some 100 bytes each)
 ORDERS = (U(0x1F83D9ABFB41BD6B), U(0x5BE0CD19137E2179))
 
 
@@ -256,6 +259,110 @@ def near_pairs(g: DataFrame, traits: DataFrame, percent: int) -> DataFrame:
     return spread.mapInArrow(meet, "a long, b long").distinct()
 
 
+def cells(pairs: DataFrame, sized: DataFrame) -> DataFrame:
+    """(cid, place, lo, hi, partners): where the pairs (a, b) are tested; ``partners`` are the nodes b of the pairs (cid, b) of a cell.
+
+    A pair's place is the smallest node in reach of two or three pairs, so the pairs of a group of near copies share one.  A place's nodes are dealt into blocks of about ``CELL_ITEMS`` hashes (``sized``: (cid, n)), and every two blocks with a
+    pair are a cell.
+    """
+    two = pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(pairs.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    near = two.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+    least = keep(two.join(near.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("m").alias("m")), "ngram-places")
+    p = pairs.join(least.select(F.col("u").alias("a"), F.col("m").alias("ma")), "a").join(least.select(F.col("u").alias("b"), F.col("m").alias("mb")), "b")
+    p = p.select("a", "b", F.least("ma", "mb").alias("place"))
+    ends = p.select("place", F.explode(F.array("a", "b")).alias("cid")).distinct().join(sized, "cid")
+    blocks = ends.groupBy("place").agg(F.ceil(F.sum("n") / F.lit(CELL_ITEMS)).alias("blocks"))
+    p = p.join(blocks, "place").withColumns({"x": F.pmod(F.xxhash64("a"), F.col("blocks")), "y": F.pmod(F.xxhash64("b"), F.col("blocks"))})
+    sides = F.array(F.struct(F.col("a").alias("cid"), F.col("b").alias("other")), F.struct(F.col("b").alias("cid"), F.lit(None).cast("long").alias("other")))
+    p = p.select("place", F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi"), F.explode(sides).alias("s"))
+    return p.groupBy(F.col("s.cid").alias("cid"), "place", "lo", "hi").agg(F.collect_list("s.other").alias("partners"))
+
+
+def placed_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(cid, place, lo, hi, partners, items): the rows of ``cells`` with their whole sets, made from the text of the document
+    (rep, s1, s2); repeated documents give repeated rows."""
+    schema = pa.schema([("cid", pa.int64()), ("place", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("partners", pa.list_(pa.int64())), ("items", pa.list_(pa.int64()))])
+
+    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, j, data, off in chunks(b.column("text")):
+                s, _, _, _, _, first, ids = _sets(data, off, j - i, width)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(s)).astype(np.int32)), pa.array(signed(s)))
+                rows = b.slice(i, j - i)
+                mine = (signed(ids[0]) == rows.column("s1").to_numpy()) & (signed(ids[1]) == rows.column("s2").to_numpy())
+                yield pa.RecordBatch.from_arrays([*(rows.column(k).cast(schema.field(k).type) for k in schema.names[:-1]), lists], schema=schema).filter(pa.array(mine))
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text")
+    if wanted.count() <= BROADCAST_CELLS:
+        wanted = F.broadcast(wanted)
+    else:
+        keys = wanted.select(F.col("rep").alias("_rep")).distinct()
+        keys = F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+        texts = texts.join(keys, F.col("_id").eqNullSafe(F.col("_rep")), "left_semi")
+    texts = texts.join(wanted, F.col("_id").eqNullSafe(F.col("rep"))).select("text", "s1", "s2", *schema.names[:-1])
+    return texts.mapInArrow(load, "cid long, place long, lo long, hi long, partners array<long>, items array<long>")
+
+
+def _lists(t: pa.Table, name: str, ordered: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(items, ends): the lists of a column one after the other, each in ascending order, and where they end, from 0."""
+    col = t.column(name).combine_chunks()
+    items, ends = col.flatten().to_numpy().view(np.uint64), np.append(0, np.cumsum(col.value_lengths().to_numpy()))
+    if not ordered:
+        items = items[np.lexsort((items, np.repeat(np.arange(len(col)), np.diff(ends))))]
+    return items, ends
+
+
+def _shared(items: np.ndarray, ends: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Intersection sizes of the pairs (a, b) of non-empty lists; pairs of an a stand together."""
+    out = np.zeros(len(a), np.int64)
+    n = np.diff(ends)
+    at = np.flatnonzero(np.append(True, a[1:] != a[:-1])) if len(a) else a
+    for i, j in zip(at.tolist(), [*at[1:].tolist(), len(a)], strict=True) if len(a) else ():
+        mine, k = items[ends[a[i]] : ends[a[i] + 1]], n[b[i:j]]
+        theirs = items[np.repeat(ends[b[i:j]], k) + ranges(k)]
+        out[i:j] = np.add.reduceat(_in(mine, theirs)[0].astype(np.int64), np.cumsum(k) - k)
+    return out
+
+
+def met(rows: DataFrame, payload: list[str], test: Callable[[pa.Table, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """(a, b): the pairs of the rows of ``cells`` that pass ``test`` (rows with ``payload``, places of the a and of the b)."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def tested(t: pa.Table) -> pa.RecordBatch:
+        place, lo, hi, cid = (t.column(k).to_numpy() for k in ("place", "lo", "hi", "cid"))
+        cell = np.cumsum(np.append(False, (place[1:] != place[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])))
+        once = np.append(True, (cell[1:] != cell[:-1]) | (cid[1:] != cid[:-1]))  # repeated documents
+        if not once.all():
+            t, cell, cid = t.filter(pa.array(once)), cell[once], cid[once]
+        known, at = np.unique(cid, return_inverse=True)
+        key = cell * len(known) + at
+        partners = t.column("partners").combine_chunks()
+        a = np.repeat(np.arange(len(cid)), partners.value_lengths().to_numpy())
+        other = partners.flatten().to_numpy()
+        there, at = _in(known, other)
+        here, b = _in(key, cell[a] * len(known) + at)
+        a, b = a[there & here], b[there & here]
+        ok = test(t, a, b) if len(a) else np.zeros(0, bool)
+        return pa.RecordBatch.from_arrays([pa.array(cid[a[ok]]), pa.array(cid[b[ok]])], schema=schema)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for b in batches:
+            t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            place, lo, hi = (t.column(k).to_numpy() for k in ("place", "lo", "hi"))
+            cut = np.flatnonzero((place[1:] != place[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
+            held = t
+            if len(cut):
+                yield tested(t.slice(0, int(cut[-1])))
+                held = t.slice(int(cut[-1]))
+        if held is not None and held.num_rows:
+            yield tested(held)
+
+    key = ["place", "lo", "hi"]
+    spread = rows.select(*key, "cid", "partners", *payload).repartition(partitions(rows.sparkSession), *key).sortWithinPartitions(*key, "cid")
+    return spread.mapInArrow(meet, "a long, b long")
+
+
 def _join(docs: DataFrame, width: int, percent: int, every_link: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(signatures, nodes, links (a, b) of nodes): all links, or enough of them for the components."""
     sig = signatures(docs, width, percent)
@@ -267,25 +374,35 @@ def _join(docs: DataFrame, width: int, percent: int, every_link: bool) -> tuple[
         return some.select("doc_id", "s1", "s2", *cols).join(reps.drop("n", "copies"), same).filter(F.col("doc_id").eqNullSafe(F.col("rep"))).select("cid", *cols)
 
     post = of_reps("p1", "n").select("cid", "n", F.posexplode("p1").alias("i", "token"))
-    shared = post.groupBy("token").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("token")
-    post = keep(post.join(shared, "token", "left_semi").distinct(), "ngram-postings")
+    shared = F.count(F.lit(1)).over(Window.partitionBy("token"))
+    post = keep(post.withColumn("m", shared).filter("m > 1").drop("m").distinct(), "ngram-postings")
     traits = keep(of_reps("counts", "p2", "n").join(post.select("cid").distinct(), "cid", "left_semi").dropDuplicates(["cid"]), "ngram-traits")
     q = F.lit(percent)
     sizes = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * q)
-    need = F.ceil(q * (F.col("na") + F.col("nb")) / (100 + percent))  # of shared shingles
+
+    def close(t: pa.Table, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether pairs share prefix tokens under the other order and their bucket counts allow a link."""
+        n = t.column("n").to_numpy()
+        counts = t.column("counts").combine_chunks().flatten().to_numpy().reshape(-1, BUCKETS)
+        need = -(-percent * (n[a] + n[b]) // (100 + percent))  # of shared shingles
+        ok = np.concatenate([np.abs(counts[a[k : k + STEP]].astype(np.int32) - counts[b[k : k + STEP]]).sum(1) for k in range(0, len(a), STEP)]) <= n[a] + n[b] - 2 * need
+        ok[ok] = _shared(*_lists(t, "p2", ordered=False), a[ok], b[ok]) > 0
+        return ok
+
+    def linked(t: pa.Table, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        items, ends = _lists(t, "items")
+        n = np.diff(ends)
+        inter = _shared(items, ends, a, b)
+        return 100 * inter >= percent * (n[a] + n[b] - inter)
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The linked ones of distinct (a, b) pairs: prefix tokens under the other order, bucket counts, then whole sets."""
-        ta = traits.select(F.col("cid").alias("a"), F.col("counts").alias("ca"), F.col("p2").alias("pa"), F.col("n").alias("na"))
-        tb = traits.select(F.col("cid").alias("b"), F.col("counts").alias("cb"), F.col("p2").alias("pb"), F.col("n").alias("nb"))
-        apart = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda s, x: s + x)
-        c = pairs.join(ta, "a").join(tb, "b").filter(F.arrays_overlap("pa", "pb")).filter(apart <= F.col("na") + F.col("nb") - 2 * need)
-        c = keep(c.select("a", "b", "na", "nb"), "ngram-candidates")
-        wanted = keep(reps.join(c.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "cid"), "ngram-wanted")
-        sets = keep(whole_sets(docs, wanted, width), "ngram-sets")
-        both = c.join(sets.select(F.col("cid").alias("a"), F.col("items").alias("sa")), "a").join(sets.select(F.col("cid").alias("b"), F.col("items").alias("sb")), "b")
-        inter = F.size(F.array_intersect("sa", "sb"))
-        return keep(both.withColumn("inter", inter).filter(F.col("inter") * 100 >= q * (F.col("na") + F.col("nb") - F.col("inter"))).select("a", "b"), "ngram-links")
+        sized = reps.select("cid", "n")
+        prefix = reps.select("cid", F.ceil(F.col("n") * (100 - percent) / 100 + BUCKETS // 4).alias("n"))
+        near = cells(keep(pairs, "ngram-pairs"), prefix)
+        c = keep(met(near.join(traits, "cid"), ["n", "counts", "p2"], close), "ngram-candidates")
+        wanted = keep(cells(c, sized).join(reps.select("cid", "rep", "s1", "s2"), "cid"), "ngram-wanted")
+        return keep(met(placed_sets(docs, wanted, width), ["items"], linked), "ngram-links")
 
     def grouped(links: DataFrame | None) -> DataFrame:
         if links is None:
@@ -419,7 +536,10 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
 
     Documents without words are no one's duplicates and all stay.
     """
-    found = keep(components(docs, width, percent), "ngram-classes")
+    with steps() as passing:
+        classes = components(docs, width, percent)
+    found = keep(classes, "ngram-classes")
+    remove(docs.sparkSession, passing)
     lead = found.filter("component IS NOT NULL").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id", "th")).alias("x")).select("x.doc_id", "x.th")
     stay = lead.select("doc_id", "th", F.lit(True).alias("once")).unionByName(found.filter("component IS NULL").select("doc_id", "th", F.lit(False).alias("once")).distinct())
     times = found.groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("c"))

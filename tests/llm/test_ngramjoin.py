@@ -1,8 +1,10 @@
+import os
 import random
 
 from helpers import doc, frame, words
 
 from lintlake.llm import ngramjoin
+from lintlake.session import ensure_checkpoint_dir
 
 
 def shingles(text, width):
@@ -133,3 +135,25 @@ def test_slices_count_like_the_whole_block():
     assert max(len(x) for x, _ in found) < len(h) / 8  # none sorts the whole block
     got_h, got_n = (np.concatenate(x) for x in zip(*found, strict=True))
     assert got_h.tolist() == h[n >= 2].tolist() and got_n.tolist() == n[n >= 2].tolist()
+
+
+def test_pairs_of_a_group_share_cells(spark, monkeypatch):
+    pairs = [(a, b) for a in range(12) for b in range(a + 1, 12)] + [(20, 21), (21, 22), (22, 23)]
+    sized = spark.createDataFrame([(k, 5) for k in range(30)], "cid long, n long")
+    frame_ = spark.createDataFrame(pairs, "a long, b long")
+    rows = ngramjoin.cells(frame_, sized).collect()
+    assert sorted(r["cid"] for r in rows if r["place"] == 0) == list(range(12))  # once each, not once a pair
+    monkeypatch.setattr(ngramjoin, "CELL_ITEMS", 10)
+    rows = ngramjoin.cells(frame_, sized)
+    assert rows.filter("lo <> hi").count() > 0
+    far = ngramjoin.met(rows.unionByName(rows), [], lambda t, a, b: t.column("cid").to_numpy()[b] - t.column("cid").to_numpy()[a] > 3)
+    assert sorted((r["a"], r["b"]) for r in far.collect()) == [(a, b) for a, b in pairs if b - a > 3]
+
+
+def test_one_of_each_leaves_no_passing_steps(spark):
+    folder = f"{ensure_checkpoint_dir(spark).removeprefix('file:')}/lintlake-steps"
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    df = frame(spark, [doc(1, "a b c d e f"), doc(2, "a b c d e f"), doc(3, "g h i j k l")])
+    out = ngramjoin.one_of_each(df)
+    assert {p.rsplit("-", 1)[0] for p in set(os.listdir(folder)) - before} == {"ngram-classes", "ngram-stay"}
+    assert sorted(r["doc_id"] for r in out.collect()) == [1, 3]
