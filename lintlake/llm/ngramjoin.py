@@ -34,10 +34,10 @@ from pyspark.sql import functions as F
 from lintlake.llm.common import carried, keep, partitions, restored
 from lintlake.llm.textbuf import U, chunks, mix, ranges, signed, word_hashes
 from lintlake.operators.components import connected_components
-from lintlake.session import remove, steps
+from lintlake.session import released, remove, steps
 
 BUCKETS = 64
-BLOCK_BYTES = 32 << 20  # text per block of the frequency scan
+BLOCK_BYTES = 16 << 20  # text per block of the frequency scan
 SLICES = 16  # parts in which a block's hashes are sorted
 HOT_SHARE = 1 / 500  # shingles in at least this share of a block's documents are frequent
 COMMON_SHARE = 1e-5  # words with at least this share of a block's words are common: at most 100,000 words
@@ -206,15 +206,31 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return sets.join(wanted.select("cid", "s1", "s2"), ["s1", "s2"]).groupBy("cid").agg(F.first("items").alias("items"))
 
 
+def open_tokens(g: DataFrame) -> DataFrame:
+    """The rows of tokens whose documents are in several components: no other token has a pair across components, now or later."""
+    spread = g.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1").select("token")
+    return g.join(spread, "token", "left_semi")
+
+
+def dealt(g: DataFrame) -> DataFrame:
+    """The rows (token, cid, c) of open tokens with the token's ``blocks``, each the component it is for, or -1 if it is for all small ones, and ``blk``, the row's own."""
+    parts = g.groupBy("token", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("token", F.when(F.col("k") > GROUP // 2, F.col("c")).otherwise(-1).alias("c")).agg(F.sum("k").alias("k"))
+    own = F.transform(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("k") / F.lit(GROUP))), lambda _: F.col("c"))
+    blocks = parts.groupBy("token").agg(F.count(F.lit(1)).alias("kinds"), F.min("c").alias("c0"), F.array_sort(F.flatten(F.collect_list(own))).alias("blocks")).filter("kinds > 1 OR c0 < 0")
+    rows = g.join(blocks.drop("kinds", "c0"), "token").withColumn("bc", F.when(F.array_contains("blocks", F.col("c")), F.col("c")).otherwise(-1))
+    mine = F.size(F.filter("blocks", lambda b: b == F.col("bc")))
+    return rows.withColumn("blk", F.array_position("blocks", F.col("bc")) - 1 + F.pmod(F.xxhash64("cid"), mine)).drop("bc")
+
+
 def near_pairs(g: DataFrame, traits: DataFrame, percent: int) -> DataFrame:
     """(a, b): pairs across components that share a prefix token and pass the size, position and bucket filters.
 
     A token's documents are dealt into blocks of about ``GROUP`` and every two blocks meet in a task of their own, so a large
-    group is spread and only pairs that pass the filters leave a task.
+    group is spread and only pairs that pass the filters leave a task.  Components of a block or more have blocks of their
+    own, which do not meet each other: a document is sent only where it can have a pair across components.
     """
-    m = g.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / F.lit(GROUP)).alias("blocks"))
-    rows = g.join(m, "token").join(traits.select("cid", "counts"), "cid")
-    rows = rows.withColumn("blk", F.pmod(F.xxhash64("cid"), F.col("blocks"))).withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = dealt(g).join(traits.select("cid", "counts"), "cid")
+    rows = rows.select("token", "cid", "n", "i", "c", "counts", "blk", F.posexplode("blocks").alias("x", "bc")).filter("bc < 0 OR bc <> c")
     rows = rows.select("token", F.least("blk", "x").alias("lo"), F.greatest("blk", "x").alias("hi"), "blk", "cid", "n", "i", "c", "counts")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -363,20 +379,34 @@ def met(rows: DataFrame, payload: list[str], test: Callable[[pa.Table, np.ndarra
     return spread.mapInArrow(meet, "a long, b long")
 
 
+def _classes(links: DataFrame) -> DataFrame:
+    """(node, component) of the links (a, b), written; the steps on the way are removed."""
+    with steps() as passing:
+        comp = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    out = keep(comp, "ngram-components")
+    remove(links.sparkSession, passing)
+    return out
+
+
 def _join(docs: DataFrame, width: int, percent: int, every_link: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(signatures, nodes, links (a, b) of nodes): all links, or enough of them for the components."""
-    sig = signatures(docs, width, percent)
+    with steps() as signed_:
+        sig = signatures(docs, width, percent)
     some = sig.filter("n > 0")
     reps = keep(some.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies")).withColumn("cid", F.monotonically_increasing_id()), "ngram-nodes")
     same = ["s1", "s2"]
 
-    def of_reps(*cols: str) -> DataFrame:
-        return some.select("doc_id", "s1", "s2", *cols).join(reps.drop("n", "copies"), same).filter(F.col("doc_id").eqNullSafe(F.col("rep"))).select("cid", *cols)
+    def of_reps(nodes: DataFrame, *cols: str) -> DataFrame:
+        return some.select("doc_id", "s1", "s2", *cols).join(nodes.drop("n", "copies"), same).filter(F.col("doc_id").eqNullSafe(F.col("rep")))
 
-    post = of_reps("p1", "n").select("cid", "n", F.posexplode("p1").alias("i", "token"))
+    post = of_reps(reps, "p1", "n").select("cid", "n", F.posexplode("p1").alias("i", "token"))
     shared = F.count(F.lit(1)).over(Window.partitionBy("token"))
     post = keep(post.withColumn("m", shared).filter("m > 1").drop("m").distinct(), "ngram-postings")
-    traits = keep(of_reps("counts", "p2", "n").join(post.select("cid").distinct(), "cid", "left_semi").dropDuplicates(["cid"]), "ngram-traits")
+    shares = reps.join(post.select("cid").distinct(), "cid", "left_semi")
+    traits = of_reps(shares, "counts", "p2", "n").groupBy(*same, "cid").agg(*[F.first(c).alias(c) for c in ("counts", "p2", "n")])  # repeated documents; dealt by their set already
+    traits = keep(traits.drop(*same), "ngram-traits")
+    sig = keep(sig.select("doc_id", "th", "n", *same), "ngram-sets")
+    remove(docs.sparkSession, signed_)
     q = F.lit(percent)
     sizes = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * q)
 
@@ -399,25 +429,33 @@ def _join(docs: DataFrame, width: int, percent: int, every_link: bool) -> tuple[
         """The linked ones of distinct (a, b) pairs: prefix tokens under the other order, bucket counts, then whole sets."""
         sized = reps.select("cid", "n")
         prefix = reps.select("cid", F.ceil(F.col("n") * (100 - percent) / 100 + BUCKETS // 4).alias("n"))
-        near = cells(keep(pairs, "ngram-pairs"), prefix)
-        c = keep(met(near.join(traits, "cid"), ["n", "counts", "p2"], close), "ngram-candidates")
-        wanted = keep(cells(c, sized).join(reps.select("cid", "rep", "s1", "s2"), "cid"), "ngram-wanted")
-        return keep(met(placed_sets(docs, wanted, width), ["items"], linked), "ngram-links")
-
-    def grouped(links: DataFrame | None) -> DataFrame:
-        if links is None:
-            return post.withColumn("c", F.col("cid"))
-        comp = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-        comp = keep(comp, "ngram-components")
-        return post.join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("c", F.coalesce("component", "cid")).drop("component")
+        with steps() as passing:
+            near = cells(keep(pairs, "ngram-pairs"), prefix)
+            c = keep(met(near.join(traits, "cid"), ["n", "counts", "p2"], close), "ngram-candidates")
+            wanted = keep(cells(c, sized).join(reps.select("cid", "rep", "s1", "s2"), "cid"), "ngram-wanted")
+            placed = placed_sets(docs, wanted, width)
+        out = keep(met(placed, ["items"], linked), "ngram-links")
+        remove(docs.sparkSession, passing)
+        return out
+
+    def grouped(rows: DataFrame, links: DataFrame) -> DataFrame:
+        """The rows of open tokens with their components by ``links``."""
+        with steps() as passing:
+            comp = _classes(links)
+            found = rows.drop("c").join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("c", F.coalesce("component", "cid")).drop("component")
+            found = keep(found, "ngram-merged")
+        out = keep(open_tokens(found), "ngram-grouped")
+        remove(docs.sparkSession, passing)
+        return out
 
     def open_pairs(g: DataFrame) -> int:
         parts = g.groupBy("token", "c").agg(F.count(F.lit(1)).alias("k"))
         per = parts.groupBy("token").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("kk"))
-        return int(per.agg(F.sum((F.col("m") * F.col("m") - F.col("kk")) / 2)).first()[0] or 0)
+        with released(docs.sparkSession):
+            return int(per.agg(F.sum((F.col("m") * F.col("m") - F.col("kk")) / 2)).first()[0] or 0)
 
     links: DataFrame | None = None
-    g = grouped(None)
+    g = post.withColumn("c", F.col("cid"))
     few = 2 * post.count()
     turn, waiting = 0, 0 if every_link else open_pairs(g)
     while waiting > few:
@@ -427,7 +465,7 @@ def _join(docs: DataFrame, width: int, percent: int, every_link: bool) -> tuple[
         star = star.select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b")).distinct()
         new = verified(star)
         links = new if links is None else links.unionByName(new)
-        g = keep(grouped(links), "ngram-grouped")
+        g = grouped(g, links)
         turn, before, waiting = turn + 1, waiting, open_pairs(g)
         if waiting > before / 2:  # the rest does not link to a few centres
             break
@@ -509,7 +547,7 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80, every_link: b
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sig, reps, links = _join(docs, width, percent, every_link=False)
-    comp = keep(connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "cid"), "ngram-components")
+    comp = _classes(links).withColumnRenamed("node", "cid")
     named = reps.join(comp, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     more = ["n_links"] if every_link else []

@@ -1,10 +1,11 @@
 import os
 import random
+import time
 
 from helpers import doc, frame, words
 
 from lintlake.llm import ngramjoin
-from lintlake.session import ensure_checkpoint_dir
+from lintlake.session import ensure_checkpoint_dir, materialize, steps
 
 
 def shingles(text, width):
@@ -157,3 +158,48 @@ def test_one_of_each_leaves_no_passing_steps(spark):
     out = ngramjoin.one_of_each(df)
     assert {p.rsplit("-", 1)[0] for p in set(os.listdir(folder)) - before} == {"ngram-classes", "ngram-stay"}
     assert sorted(r["doc_id"] for r in out.collect()) == [1, 3]
+
+
+def test_steps_on_the_way_are_removed_early(spark, monkeypatch):
+    """Signatures and a round's candidates are gone before the components are read."""
+    data = corpus(3, bases=1, copies=20)
+    with steps() as written:
+        out = ngramjoin.components(frame(spark, [doc(i, t) for i, t in data]), 3, 80)
+    left = [os.path.basename(p).rsplit("-", 1)[0] for p in written if os.path.isdir(p.removeprefix("file:"))]
+    assert set(left) == {"ngram-nodes", "ngram-postings", "ngram-traits", "ngram-sets", "ngram-links", "ngram-components"}
+    assert got(out) == brute(data, 3, 80)
+
+
+def test_shuffle_files_go_with_their_step(spark):
+    files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n")
+    before = set(files())
+    out = materialize(spark.range(20_000, numPartitions=7).repartition(11, "id"))
+    for _ in range(50):
+        left = [f for f in set(files()) - before if "shuffle_" in f]
+        if not left:
+            break
+        time.sleep(0.2)
+    assert not left and out.count() == 20_000
+
+
+def test_near_pairs_of_a_large_component(spark, monkeypatch):
+    """Every pair across components, none inside; a large component is sent to the others only, one that is alone nowhere."""
+    group = 4
+    monkeypatch.setattr(ngramjoin, "GROUP", group)
+    sizes = [60, 9, 1, 1, 2, 1, 3]
+    of = [c for c, k in enumerate(sizes) for _ in range(k)]
+    first = [of.index(c) for c in of]
+    rows = [(7, cid, 10, 0, first[cid]) for cid in range(len(of))] + [(8, cid, 10, 0, 0) for cid in range(60)]
+    g = spark.createDataFrame(rows, "token long, cid long, n long, i int, c long")
+    traits = spark.createDataFrame([(cid, [0] * ngramjoin.BUCKETS) for cid in range(len(of))], "cid long, counts array<short>")
+    got_ = sorted((r["a"], r["b"]) for r in ngramjoin.near_pairs(g, traits, 80).collect())
+    assert got_ == [(a, b) for a in range(len(of)) for b in range(a + 1, len(of)) if of[a] != of[b]]
+    sent = ngramjoin.dealt(g).selectExpr("token", "c", "explode(blocks) AS bc").filter("bc < 0 OR bc <> c")
+    assert sent.filter("token = 8").count() == 0
+    others = -(-5 // group) + -(-9 // group) + 1  # blocks of the small ones, of nine and of three
+    assert sent.filter("c = 0").count() == 60 * others
+
+
+def test_rounds_keep_open_tokens_only(spark):
+    g = spark.createDataFrame([(1, 5, 0), (1, 6, 0), (2, 5, 0), (2, 7, 7)], "token long, cid long, c long")
+    assert sorted(tuple(r) for r in ngramjoin.open_tokens(g).collect()) == [(2, 5, 0), (2, 7, 7)]
