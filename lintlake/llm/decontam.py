@@ -9,6 +9,8 @@
    list, rarest first, is intersected at its own offset.  What is left are exact phrases.
 3. *Proximity.*  With ``slop``, a window is near in a document if ``slop`` consecutive words of it hold all the window's
    distinct terms, in any order; the lists are the same, and only runs around the rarest term are tried.
+4. *Memory.*  Index and searches are jobs of their own that hand the Python workers about ``HANDED`` bytes at a time and read
+   few rows at once, so a task holds a few segments, whatever the size of its partition.  A search writes what it found.
 
 Every row of ``docs`` gives one row, repeated ids too.  Defined results: null, empty or wordless texts have no words and no
 hits; null or wordless items have no window; items of equal id are one item; a null item id counts as empty text; an empty
@@ -28,9 +30,14 @@ from pyspark.sql import functions as F
 
 from lintlake.llm.common import keep
 from lintlake.llm.textbuf import LOWER, LOWER_CODE, chunks, prefix_sums, ranges, signed, span_hash, words
+from lintlake.session import remove, settings, steps
 
 SEGMENT = 2 << 20  # bytes of text in a segment
 BLOCK = 1 << 17  # (window, item) pairs sent to the segments at once: at most 20 MB
+HANDED = 4 << 20  # bytes after which a batch of rows is handed to a worker
+READ = 256, 4  # documents and segments read at once
+# Row groups of a few segments; without the second, a writer looks at its size after a hundred rows at first.
+SMALL_GROUPS = {"parquet.block.size": str(16 << 20), "parquet.page.size.row.check.min": "1"}
 STARTS = 1 << 21  # possible starts held at once in a task
 # Words are runs of letters, digits and non-ASCII characters; every byte of a non-ASCII character is at least 0x80.
 SEPARATOR = np.array([b < 0x80 and not (chr(LOWER[b]).isalnum()) for b in range(256)])
@@ -46,6 +53,11 @@ def _terms(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return signed(span_hash(prefix_sums(data, LOWER_CODE), start, end)), np.searchsorted(row, np.arange(len(off))).astype(np.int32)
 
 
+def _bounded(df: DataFrame, rows: int):
+    """Jobs inside read so many rows at once and hand over about ``HANDED`` bytes at a time."""
+    return settings(df.sparkSession, execution__arrow__maxBytesPerBatch=str(HANDED), parquet__columnarReaderBatchSize=str(rows))
+
+
 def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The written segments: (segment, docs, bases, terms, starts, positions).
 
@@ -69,7 +81,8 @@ def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
         cut, f"docs array<{id_type}>, bases array<int>, terms array<long>, starts array<int>, positions array<int>")
-    return keep(out.withColumn("segment", F.monotonically_increasing_id()), "postings")
+    with _bounded(docs, READ[0]):
+        return keep(out.withColumn("segment", F.monotonically_increasing_id()), "postings", **SMALL_GROUPS)
 
 
 def windows(items: DataFrame, window: int, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -193,8 +206,8 @@ class Segment:
         return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
 
 
-def _search(segments: DataFrame, w: Windows, slop: int | None) -> DataFrame:
-    """One row per document: (segment, i, doc, n_words, begins, ends, items, near_items) for a block of windows."""
+def _search(segments: DataFrame, w: Windows, slop: int | None, every: bool = True) -> DataFrame:
+    """One written row per document, or per document with a hit: (segment, i, doc, n_words, begins, ends, items, near_items) for a block of windows."""
     id_type = segments.schema["docs"].dataType.elementType.simpleString()
 
     def grouped(doc: np.ndarray, value: pa.Array, n: int) -> pa.Array:
@@ -223,8 +236,10 @@ def _search(segments: DataFrame, w: Windows, slop: int | None) -> DataFrame:
                      grouped(doc, pa.array(begin - s.bases[doc]), n), grouped(doc, pa.array(end - s.bases[doc]), n), grouped(d, names.take(pa.array(item)), n), grouped(nd, names.take(pa.array(near)), n)],
                     names=["segment", "i", "doc", "n_words", "begins", "ends", "items", "near_items"])
 
-    return segments.select("segment", "docs", "bases", "terms", "starts", "positions").mapInArrow(
+    found = segments.select("segment", "docs", "bases", "terms", "starts", "positions").mapInArrow(
         run, f"segment long, i int, doc {id_type}, n_words long, begins array<long>, ends array<long>, items array<string>, near_items array<string>")
+    with _bounded(segments, READ[1]):
+        return keep(found if every else found.filter((F.size("items") > 0) | (F.size("near_items") > 0)), "found")
 
 
 def _merged(found: DataFrame) -> DataFrame:
@@ -247,17 +262,20 @@ def search(segments: DataFrame, pairs: DataFrame, slop: int | None = None) -> Da
     ``near_items`` those of which a window is near by ``slop`` (none without it).
     """
     n = max(1, -(-pairs.count() // BLOCK))
-    found = [_search(segments, Windows(pairs.filter(F.pmod(F.xxhash64("win", "item"), F.lit(n)) == k).toArrow()), slop) for k in range(n)]
-    out = found[0]
-    if n > 1:
-        hits = [f.filter((F.size("items") > 0) | (F.size("near_items") > 0)) for f in found]
+    blocks = (Windows(pairs.filter(F.pmod(F.xxhash64("win", "item"), F.lit(n)) == k).toArrow()) for k in range(n))
+    if n == 1:
+        out = _search(segments, next(blocks), slop)
+    else:
         rest = _search(segments, Windows(pairs.limit(0).toArrow()), None)
-        out = _merged(reduce(DataFrame.unionByName, [rest, *hits]))
+        out = _merged(reduce(DataFrame.unionByName, [rest, *(_search(segments, w, slop, every=False) for w in blocks)]))
     n_hit = F.aggregate(F.zip_with("begins", "ends", lambda a, z: z - a), F.lit(0).cast("long"), lambda acc, x: acc + x)
     return out.select("doc", "n_words", n_hit.alias("n_hit"), "begins", "ends", F.sort_array("items").alias("items"), F.sort_array("near_items").alias("near_items"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, slop: int | None = None) -> DataFrame:
     """``search`` of all windows of ``benchmark`` in all ``docs``, with ``doc_id`` and ``contaminated`` (any word is hit)."""
-    out = search(index(docs), windows(benchmark, window), slop)
+    with steps() as passing:
+        segments, pairs = index(docs), windows(benchmark, window)
+    out = search(segments, pairs, slop)
+    remove(docs.sparkSession, passing)
     return out.withColumnRenamed("doc", "doc_id").withColumn("contaminated", F.col("n_hit") > 0)

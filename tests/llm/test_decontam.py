@@ -1,3 +1,4 @@
+import os
 import random
 import re
 
@@ -102,3 +103,26 @@ def test_empty(spark):
     docs = [doc(1, "one two")]
     assert run(spark, [], [(1, "one")], 10) == []
     assert run(spark, docs, [], 10) == [(1, 2, 0, [], [])]
+
+
+def test_jobs_hold_few_segments(spark, monkeypatch):
+    """Index and every search run under bounds on what a task holds at once; the index goes when the searches are written."""
+    keys = ["spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.parquet.columnarReaderBatchSize"]
+    seen, kept = [], decontam.keep
+
+    def keep(df, name, **options):
+        out = kept(df, name, **options)
+        seen.append((name, [spark.conf.get(k, None) for k in keys], out.inputFiles()[0].removeprefix("file:")))
+        return out
+
+    before = [spark.conf.get(k, None) for k in keys]
+    monkeypatch.setattr(decontam, "keep", keep)
+    monkeypatch.setattr(decontam, "SEGMENT", 200)
+    monkeypatch.setattr(decontam, "BLOCK", 10)
+    docs, items = case(3)
+    assert run(spark, docs, items, 4) == sorted(brute(docs, items, 4), key=str)
+    bounds = {name: at for name, at, _ in seen}
+    assert bounds["postings"] == [str(decontam.HANDED), str(decontam.READ[0])] and bounds["found"] == [str(decontam.HANDED), str(decontam.READ[1])]
+    assert sum(name == "found" for name, _, _ in seen) > 2
+    assert [spark.conf.get(k, None) for k in keys] == before
+    assert not any(os.path.exists(path) for name, _, path in seen if name == "postings")
