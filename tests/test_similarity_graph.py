@@ -145,3 +145,44 @@ def test_document_pairs_of_repeated_ids_and_nulls_equal_the_sql(spark, tmp_path)
     want = con.execute(load_all()["d09_near_duplicate_documents"][1]).fetchall()
     got = d09_near_duplicate_documents(spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == sorted(want) and len(want) > 3
+
+
+def test_text_elements_are_those_of_the_tokens(spark):
+    """Texts cut where they are hashed give the elements of Spark's tokens, and only items that may match are cut again."""
+    from lintlake.operators import similarity as SIM
+
+    texts = ["A b c  b\tB\x0b\x0cd\r\ne", "", " \n", "İstanbul ÉTÉ ẞ", "x" * 50 + " x", "  \x1c y \x85 z", "one", None] + [f"w{k} w{k + 1} " * 40 for k in range(0, 60, 2)]
+    base = [f"v{k}" for k in range(60)]
+    texts += [" ".join([*base[:k], "new", *base[k + 1 :]]) for k in range(5)]
+    items = spark.createDataFrame([(k % 2, k, t) for k, t in enumerate(texts)], "grp int, item long, text string")
+    rows = lambda df: sorted((r["grp"], r["item"], r["n"], sorted(r["es"])) for r in df.collect())
+    tokens = SIM.elements(items.filter("text IS NOT NULL"), SIM.doc_tokens(F.col("text")))
+    cut = SIM.text_elements(items, F.col("text"))
+    assert rows(cut) == rows(tokens) and len(rows(cut)) == len(texts) - 3
+    asked = []
+
+    def only(keys):
+        asked.append(keys.count())
+        return SIM.text_elements(items.join(keys, ["grp", "item"], "left_semi"), F.col("text"))
+
+    pairs = lambda df: sorted(tuple(r) for r in df.collect())
+    found = pairs(SIM.similar_pairs(cut, 0.8, only=only))
+    assert found == pairs(SIM.similar_pairs(tokens, 0.8)) and len(found) == 4
+    assert asked[0] < 10
+
+
+def test_overlaps_by_marks(monkeypatch):
+    import random
+
+    import numpy as np
+
+    from lintlake.operators import similarity as SIM
+
+    monkeypatch.setattr(SIM, "MET", 20)
+    rnd = random.Random(4)
+    sets = [rnd.sample(range(40), rnd.randint(1, 30)) for _ in range(15)]
+    pairs = [(a, b) for a in range(15) for b in range(15) if rnd.random() < 0.4]
+    rnd.shuffle(pairs)
+    a, b = (np.array(x) for x in zip(*pairs, strict=True))
+    got = SIM._overlaps(np.concatenate(sets).astype(np.int32), np.cumsum([0, *map(len, sets)]), a, b)
+    assert got.tolist() == [len(set(sets[x]) & set(sets[y])) for x, y in pairs]
